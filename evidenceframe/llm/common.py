@@ -58,6 +58,13 @@ def column_of(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def rows_of(batch: pa.RecordBatch, key: str = "doc_id", column: str = "text", step: int = 256):
+    """(key, text as bytes) of each row; only ``step`` rows at a time become Python objects."""
+    for at in range(0, batch.num_rows, step):
+        part = batch.slice(at, step)
+        yield from zip(column_of(part, key), texts_of(part, column), strict=True)
+
+
 def semi_join_bounded(df: DataFrame, ids: DataFrame, key: str, limit: int = 400_000) -> DataFrame:
     """Rows of ``df`` whose key is in ``ids`` (one column, distinct).
 

@@ -7,13 +7,13 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
 2. Each class sends the head of its set (the part that two linked sets must share at least one
    token of, in an order that puts frequent tokens last) to buckets of tokens. A bucket yields the
    tokens that at least two classes hold.
-3. Classes that share a token are first compared with one leader for each token. The links found
-   partition similar classes into groups.
-4. Token-group matrix: each group of at most ``GROUP`` classes stores its token union as one column
-   of bits, a bit for each hash bucket of tokens. A class that shares a token with another group
-   has at most as many tokens in that group as its own bits that the column also has. Groups whose
-   bound is too low stay closed; the members of the others are bounded one by one in the same way
-   and then compared exactly.
+3. Classes that share a token are first compared with one leader for each token. Classes close to
+   a leader form a group with it, in parts of about ``GROUP``; links found here join components.
+4. Token-group matrix: each group stores its token union as one column of bits, a bit for each hash
+   bucket of tokens. Groups that share a token meet. A class has at most as many tokens in the
+   other group as its own bits that the column also has; if that is too few, the group stays closed
+   for it. The members of an opened group that are not yet in the class's component are bounded one
+   by one in the same way and then compared exactly.
 
 Copies are never expanded into pairs, and no list is cut: what the leaders leave open, the matrix
 decides.
@@ -29,15 +29,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column_of, connected_components, partitions, semi_join_bounded, texts_of, work_path, written
+from .common import column_of, connected_components, partitions, rows_of, semi_join_bounded, written
 
 PERCENT = 75
 SHINGLE = 5
-#: Classes in a group of the matrix, at most.
-GROUP = 64
+#: Classes in a group of the matrix, about.
+GROUP = 16
+#: Percent of similarity with its leader that the bits of a member must allow.
+CLOSE = 50
 #: Frequent tokens, known to all tasks, that go last in the order of tokens. This only decides how
 #: long the lists of the first tokens are; any value gives the same links.
-HINTS = 100_000
+HINTS = 400_000
 #: Bytes of packed heads in a bucket.
 BUCKET_BYTES = 16 << 20
 
@@ -49,7 +51,7 @@ class WordHashes(dict):
     """Hashes of words, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -130,7 +132,7 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int, seen: set | None) -> It
     """(doc_id, set, class id, check, first of its class in this task) for each row."""
     ids = WordHashes()
     for batch in batches:
-        for doc, text in zip(column_of(batch, "doc_id"), texts_of(batch), strict=True):
+        for doc, text in rows_of(batch):
             tokens = shingle_set(text, ids, width)
             digest = xxhash.xxh3_128_digest(tokens.tobytes())
             cid, check = np.frombuffer(digest, np.int64).tolist()
@@ -149,7 +151,7 @@ def _first_pass(width: int):
 
         def frequent():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts > 2
+            keep = counts > 1
             for t, c in zip(_signed(values[keep]).tolist(), counts[keep].tolist(), strict=True):
                 rows.append((None, c, t, 0, None, True))
 
@@ -163,10 +165,10 @@ def _first_pass(width: int):
             if first:
                 held.append(tokens)
                 size += len(tokens)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     frequent()
                     held, size = [], 0
-            if len(rows) >= 4096:
+            if len(rows) >= 2048:
                 yield flush()
         if held:
             frequent()
@@ -204,7 +206,7 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets:
                 tokens.append(part)
                 owners.append(np.full(len(part), cid, np.int64))
                 size += len(part)
-                if size > 1_000_000:
+                if size > 400_000:
                     yield flush()
                     tokens, owners, size = [], [], 0
         if tokens:
@@ -229,42 +231,54 @@ def _shared(table: pa.Table) -> pa.Table:
     return pa.table({"token": t[keep], "cid": o[keep], "lead": lead[keep], "many": many[keep].astype(np.int64)})
 
 
-def _bounded_pairs(percent: int):
-    def run(batches):
-        for batch in batches:
-            a, na, xa, b, nb, xb = (column_of(batch, c) for c in ("a", "na", "xa", "b", "nb", "xb"))
-            keep = [may_link(*row, percent) for row in zip(na, xa, nb, xb, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, k in zip(a, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(b, keep, strict=True) if k], pa.int64())], names=["a", "b"]
-            )
+def _led(percent: int):
+    """For pairs of a leader and a class: may they link, and are they close."""
 
-    return run
-
-
-def _bounded_groups(percent: int):
     def run(batches):
         for batch in batches:
-            cid, n, bits, group, column = (column_of(batch, c) for c in ("cid", "n", "bits", "grp", "column"))
-            keep = [may_hold(*row, percent) for row in zip(n, bits, column, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x for x, k in zip(cid, keep, strict=True) if k], pa.int64()), pa.array([x for x, k in zip(group, keep, strict=True) if k], pa.int64())], names=["cid", "grp"]
-            )
+            a, na, xa, b, nb, xb = (column_of(batch, c) for c in ("a", "na", "xa", "b", "nb", "xb"))
+            rows = [(p, q, may_link(n, x, m, y, percent)) for p, n, x, q, m, y in zip(a, na, xa, b, nb, xb, strict=True) if may_link(n, x, m, y, CLOSE)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "may"])
 
     return run
 
 
-def _column(table: pa.Table) -> pa.Table:
-    """The column of a group: the union of its members' bits, of the largest size among them."""
-    bits = table.column("bits").to_pylist()
-    size = max(map(len, bits))
-    out = 0
-    for b in bits:
-        x, have = int.from_bytes(b, "little"), len(b)
+def _grouped(table: pa.Table) -> pa.Table:
+    """A group: its members, and its column of the matrix, the union of their bits."""
+    members = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "root", "n", "bits")), strict=True))
+    size = max(len(m[3]) for m in members)
+    union = 0
+    for *_, bits in members:
+        x, have = int.from_bytes(bits, "little"), len(bits)
         while have < size:  # fewer buckets: the token may be in either half
             x |= x << (8 * have)
             have *= 2
-        out |= x
-    return pa.table({"grp": [table.column("grp")[0].as_py()], "column": pa.array([out.to_bytes(size, "little")], pa.binary())})
+        union |= x
+    cids, roots, ns, bits = zip(*members, strict=True)
+    kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
+    values = (cids, roots, ns, bits, union.to_bytes(size, "little"))
+    columns = [pa.array([list(v) if isinstance(v, tuple) else v], k) for v, k in zip(values, kinds, strict=True)]
+    return pa.table([table.column("grp").slice(0, 1).combine_chunks(), *columns], names=["grp", "cids", "roots", "ns", "bits", "column"])
+
+
+def _opened(percent: int):
+    """Pairs of members of two groups that may link and are not in one component."""
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch, out = whole.slice(at, 512), []
+                left = zip(*(column_of(batch, c) for c in ("cids", "roots", "ns", "bits")), strict=True)
+                right = zip(*(column_of(batch, c) for c in ("cids2", "roots2", "ns2", "bits2", "column2")), strict=True)
+                for (ci, ri, ni, xi), (cj, rj, nj, xj, column) in zip(left, right, strict=True):
+                    for a, ra, n, x in zip(ci, ri, ni, xi, strict=True):
+                        if len(cj) > 1 and not may_hold(n, x, column, percent):
+                            continue
+                        out += [(min(a, b), max(a, b)) for b, rb, m, y in zip(cj, rj, nj, xj, strict=True) if ra != rb and may_link(n, x, m, y, percent)]
+                out = sorted(set(out))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [(), ()])], names=["a", "b"])
+
+    return run
 
 
 def _whole_sets(width: int):
@@ -326,9 +340,6 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     other = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
-    def bounded(pairs: DataFrame) -> DataFrame:
-        return pairs.join(one, "a").join(other, "b").mapInArrow(_bounded_pairs(percent), "a long, b long")
-
     def links(pairs: DataFrame) -> DataFrame:
         """Pairs that link, by their whole sets."""
         pairs = written(pairs, "pairs")
@@ -345,33 +356,36 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
         return written(both.mapInArrow(_compared(percent), "a long, b long"), "links")
 
     # One leader for each shared token.
-    led = links(bounded(shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()))
-    near = connected_components(led)
-
-    # Groups of similar classes, and the matrix. A class without a link is a group of its own.
-    held = shared.where("many > 2").select("token", "cid").join(near.select(F.col("node").alias("cid"), "root"), "cid", "left")
-    held = held.select("token", "cid", F.coalesce("root", "cid").alias("root"))
-    members = near.groupBy("root").agg(F.count("*").alias("size"))
-    members = near.join(members, "root").select(
-        F.col("node").alias("cid"), "root",
-        F.when(F.col("size") <= GROUP, F.col("root")).otherwise(F.xxhash64("root", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / (GROUP / 2))))).alias("grp"),
+    led = shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    led = written(led.join(one, "a").join(other, "b").mapInArrow(_led(percent), "a long, b long, may boolean"), "led")
+    first_links = links(led.where("may").select("a", "b"))
+
+    # Groups of similar classes. A class close to no leader is a group of its own.
+    near = connected_components(first_links).withColumnRenamed("node", "cid")
+    kin = led.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("kin"))
+    groups = shared.select("cid").distinct().join(near, "cid", "left").join(kin, "cid", "left")
+    groups = groups.select("cid", F.coalesce("root", "cid").alias("root"), F.coalesce("kin", "cid").alias("kin"))
+    sizes = groups.groupBy("kin").agg(F.count("*").alias("size")).where("size > 1")
+    groups = groups.join(sizes, "kin", "left")
+    part = F.xxhash64("kin", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP)))
+    groups = written(groups.select("cid", "root", F.when(F.col("size").isNull(), F.xxhash64("kin", F.lit(0).cast("bigint"))).otherwise(part).alias("grp")), "groups")
+
+    # Groups that share a token and are not one component meet.
+    held = shared.where("many > 2").select("token", "cid").join(groups, "cid").groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    mixed = held.groupBy("token").agg(F.min("r0").alias("m0"), F.max("r1").alias("m1")).where("m0 <> m1").select("token")
+    held = written(held.join(mixed, "token", "left_semi"), "held")
+    right = held.select("token", F.col("grp").alias("grp2"), F.col("r0").alias("s0"), F.col("r1").alias("s1"))
+    meet = held.join(right, "token").where("grp <= grp2 and not (r0 = r1 and s0 = s1 and r0 = s0)").select("grp", "grp2").distinct()
+    matrix = groups.join(classes.select("cid", "n", "bits"), "cid").groupBy("grp").applyInArrow(
+        _grouped, "grp long, cids array<long>, roots array<long>, ns array<long>, bits array<binary>, column binary"
     )
-    members = checkpointed(members)
-    held = held.join(members.select("cid", "grp"), "cid", "left").select("token", "cid", "root", F.coalesce("grp", "cid").alias("grp"))
-    held = written(held, "held")
-    mixed = held.groupBy("token").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("token")
-    held = held.join(mixed, "token", "left_semi")
-    queries = held.select("token", "cid", "root")
-    groups = held.select("token", "grp", F.col("root").alias("other")).distinct()
-    asked = queries.join(groups, "token").where("root < other").select("cid", "grp").distinct()
-    matrix = members.join(classes.select("cid", "bits"), "cid").groupBy("grp").applyInArrow(_column, "grp long, column binary")
-    alone = classes.select(F.col("cid").alias("grp"), F.col("bits").alias("own"))
-    asked = asked.join(classes.select("cid", "n", "bits"), "cid").join(matrix, "grp", "left").join(alone, "grp", "left")
-    asked = asked.select("cid", "n", "bits", "grp", F.coalesce("column", "own").alias("column")).mapInArrow(_bounded_groups(percent), "cid long, grp long")
-    opened = asked.join(members.select("grp", F.col("cid").alias("member")), "grp", "left").select(F.col("cid").alias("a"), F.coalesce("member", "grp").alias("b"))
-    late = links(bounded(opened.distinct()))
-
-    roots = connected_components(led.union(late)).select(F.col("node").alias("cid"), "root")
+    matrix = written(matrix, "matrix")
+    asked = matrix.select(F.col("grp").alias("grp2"), F.col("cids").alias("cids2"), F.col("roots").alias("roots2"), F.col("ns").alias("ns2"), F.col("bits").alias("bits2"), F.col("column").alias("column2"))
+    late = meet.join(asked, "grp2").join(matrix.drop("column"), "grp").mapInArrow(_opened(percent), "a long, b long").distinct()
+    tried = led.where("may").select("a", "b")
+    late = links(late.join(tried, ["a", "b"], "left_anti"))
+
+    roots = connected_components(first_links.union(late)).select(F.col("node").alias("cid"), "root")
     merged = classes.select("cid", "rep").join(roots, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = merged.groupBy("root").agg(F.min("rep").alias("component_id"))
     merged = merged.join(least, "root").select("cid", "component_id")

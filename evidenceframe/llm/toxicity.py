@@ -75,9 +75,11 @@ class Features(dict):
 def _gather(batches):
     known = Features()
     for batch in batches:
-        present = [np.sort(np.fromiter(known.present(t), np.uint32)).tobytes() for t in texts_of(batch)]
+        texts = texts_of(batch)
+        marks = [xxhash.xxh3_64_digest(t or b"") for t in texts]
+        present = [np.sort(np.fromiter(known.present(t), np.uint32)).tobytes() for t in texts]
         flags = [pa.array(column_of(batch, c), pa.bool_()) for c in ("positive", "drawn")]
-        yield pa.RecordBatch.from_arrays([*flags, pa.array(present, pa.binary())], names=["positive", "drawn", "features"])
+        yield pa.RecordBatch.from_arrays([*flags, pa.array(marks, pa.binary()), pa.array(present, pa.binary())], names=["positive", "drawn", "mark", "features"])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -164,10 +166,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) ->
     some = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_000)) < int(min(1.0, MAX_UNLABELLED / max(1, total)) * 1_000_000_000)
     taken = texts.where("doc_id is not null").join(F.broadcast(confirmed), "doc_id", "left").where(F.col("positive") | some)
     taken = taken.select(F.coalesce("positive", F.lit(False)).alias("positive"), some.alias("drawn"), "text")
-    rows = taken.mapInArrow(_gather, "positive boolean, drawn boolean, features binary").toArrow().to_pylist()
-    pos = {r["features"] for r in rows if r["positive"]}  # copies count once
-    unl = {r["features"] for r in rows if r["drawn"]}
-    return fit([np.frombuffer(x, np.uint32) for x in sorted(pos)], [np.frombuffer(x, np.uint32) for x in sorted(unl)], positives / n)
+    rows = taken.mapInArrow(_gather, "positive boolean, drawn boolean, mark binary, features binary").toArrow().to_pylist()
+    # copies count once; in order of the mark, so that reruns agree
+    pos = {r["mark"]: r["features"] for r in rows if r["positive"]}
+    unl = {r["mark"]: r["features"] for r in rows if r["drawn"]}
+    pos, unl = ([np.frombuffer(x[k], np.uint32) for k in sorted(x)] for x in (pos, unl))
+    return fit(pos, unl, positives / n)
 
 
 def _scores(model: PuModel):
