@@ -31,8 +31,10 @@ from .common import checkpointed, column_of, partitions, texts_of, work_path, wr
 MIN_REVISIT = 1000
 #: A file is closed when its compressed size reaches this.
 FILE_BYTES = 1 << 30
-#: Bytes of payload in a shard, about.
-SHARD_BYTES = 256 << 20
+#: Bytes of payload in a shard: a 64th of all, but within these bounds.
+SHARD_BYTES = (8 << 20, 1 << 30)
+#: Rows that a join may broadcast, by count; above it both sides are shuffled.
+SMALL = 400_000
 #: Cells of the histogram, at most; one that is too heavy is divided again, so often.
 CELLS, ROUNDS = 4096, 4
 DATE = "2020-01-01T00:00:00Z"
@@ -124,15 +126,20 @@ def records_in(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         data = data[end + 4 + size + 4 :]
 
 
-def shards(pages: DataFrame, shard_bytes: int = SHARD_BYTES, cells: int = CELLS) -> list[int]:
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
+
+
+def shards(pages: DataFrame, shard_bytes: int | None = None, cells: int = CELLS) -> list[int]:
     """First page_ids of the shards after the first, from a histogram of payload bytes.
 
     Cells of equal width between the least and the greatest id are counted; heavy ones are divided
     again. Only cell counts reach the driver.
     """
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
+    low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
     if low is None:
         return []
+    shard_bytes = shard_bytes or min(max(total // 64, SHARD_BYTES[0]), SHARD_BYTES[1])
     todo, done = [(low, high + 1)], []
     for last in [False] * (ROUNDS - 1) + [True]:
         ranges, todo = todo, []
@@ -230,7 +237,7 @@ def _commit(folder: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, prefix: str = "part", file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str, prefix: str = "part", file_bytes: int = FILE_BYTES, shard_bytes: int | None = None) -> DataFrame:
     """Write ``pages`` (page_id, url, html; others ignored) as WARC files; returns the manifest.
 
     A null html is an empty payload, a null url an empty target, and a null page_id sorts first.
@@ -246,16 +253,15 @@ def write_warc(pages: DataFrame, folder: str, prefix: str = "part", file_bytes:
     starts = shards(facts.where("page_id is not null"), shard_bytes)
     groups = facts.where(F.col("payload_bytes") >= MIN_REVISIT).groupBy("key").agg(F.count("*").alias("n"), F.max("page_id").alias("refers_to")).where("n > 1")
     groups = checkpointed(groups.select("key", "refers_to"))
-    rows = pages.join(groups, F.sha2(pages.html, 256) == groups.key, "left").drop("key")
+    rows = pages.join(_small(groups), F.sha2(pages.html, 256) == groups.key, "left").drop("key")
     # the response itself: refers_to is null, unless rows share its id; those are told apart in order
     twice = checkpointed(facts.where("page_id is not null").groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("twin")))
-    rows = rows.join(twice, rows.page_id == twice.twin, "left")
+    rows = rows.join(_small(twice), rows.page_id == twice.twin, "left")
     rows = rows.withColumn("refers_to", F.when((F.col("refers_to") == F.col("page_id")) & F.col("twin").isNull(), F.lit(None)).otherwise(F.col("refers_to"))).drop("twin")
     shard = F.lit(0)
     if starts:
-        bounds = checkpointed(spark.createDataFrame([(s,) for s in starts], "s long"))
-        table = sorted(r["s"] for r in bounds.collect())
-        shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(F.array(*[F.lit(x) for x in table]), lambda x: x <= F.col("page_id"))))
+        bounds = F.array(*map(F.lit, starts))
+        shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("page_id"))))
     rows = rows.withColumn("shard", shard.cast("int"))
     n = max(partitions(spark), min(len(starts) + 1, 100_000))
     rows = rows.repartition(n, "shard") if starts else rows.coalesce(1)
