@@ -14,14 +14,19 @@ def sliding_chunks(text: Column, s: Settings = DEFAULTS) -> Column:
 
     Short pieces are dropped unless they end the text; the last window is the first to reach the end.
     """
-    body, n, step = strip(text), F.length(strip(text)), s.chunk_size - s.chunk_overlap
-    last = F.when(n <= s.chunk_size, 0).otherwise(F.ceil((n - s.chunk_size) / step) * step).cast("int")
-    pieces = F.transform(
-        F.sequence(F.lit(0), last, F.lit(step)),
-        lambda a: F.struct(a.alias("char_start"), F.least(a + s.chunk_size, n).alias("char_end"), strip(F.substring(body, a + 1, F.lit(s.chunk_size))).alias("text")),
-    )
-    kept = F.filter(pieces, lambda p: (F.length(p.text) >= s.chunk_min) | ((p.char_end == n) & (F.length(p.text) > 0)))
-    return F.when(n > 0, kept)
+    step = s.chunk_size - s.chunk_overlap
+
+    def pieces(body: Column) -> Column:
+        n = F.length(body)
+        last = F.when(n <= s.chunk_size, 0).otherwise(F.ceil((n - s.chunk_size) / step) * step).cast("int")
+        cut = F.transform(
+            F.sequence(F.lit(0), last, F.lit(step)),
+            lambda a: F.struct(a.alias("char_start"), F.least(a + s.chunk_size, n).alias("char_end"), strip(F.substring(body, a + 1, F.lit(s.chunk_size))).alias("text")),
+        )
+        return F.filter(cut, lambda p: (F.length(p.text) >= s.chunk_min) | ((p.char_end == n) & (F.length(p.text) > 0)))
+
+    # as a lambda variable, the stripped text is made once a row and not once a piece
+    return F.flatten(F.transform(F.filter(F.array(strip(text)), lambda b: F.length(b) > 0), pieces))
 
 
 def chunk_documents(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
