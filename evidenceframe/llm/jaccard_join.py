@@ -5,15 +5,17 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
 
 1. Documents with one and the same set form a class; from here on a class is one set.
 2. Each class sends the head of its set (the part that two linked sets must share at least one
-   token of, in an order that puts frequent tokens last) to buckets of tokens. A bucket yields the
-   tokens that at least two classes hold.
+   token of, in an order that puts frequent tokens last) to buckets of tokens, with its size as a
+   power of the ratio that linked sizes may have. A bucket yields the tokens that at least two
+   classes of like size hold; classes apart in size hold different tokens from here on.
 3. Classes that share a token are first compared with one leader for each token. Classes close to
    a leader form a group with it, in parts of about ``GROUP``; links found here join components.
 4. Token-group matrix: each group stores its token union as one column of bits, a bit for each hash
    bucket of tokens. Groups that share a token meet. A class has at most as many tokens in the
    other group as its own bits that the column also has; if that is too few, the group stays closed
    for it. The members of an opened group that are not yet in the class's component are bounded one
-   by one in the same way and then compared exactly.
+   by one in the same way. Of those, the likeliest of each two components are compared exactly
+   first; then all that are still in different components.
 
 Copies are never expanded into pairs, and no list is cut: what the leaders leave open, the matrix
 decides.
@@ -42,6 +44,8 @@ CLOSE = 50
 HINTS = 400_000
 #: Bytes of packed heads in a bucket.
 BUCKET_BYTES = 16 << 20
+#: Bytes of a token in its bucket. Two tokens taken for one only add candidates.
+TOKEN_BYTES = 5
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -96,13 +100,15 @@ def needed(n: int, m: int, percent: int) -> int:
     return -(-percent * (n + m) // (100 + percent))
 
 
+def bound(n: int, x: bytes, m: int, y: bytes) -> int:
+    """Twice the intersection is at most this: what the bits show to differ is not in both sets."""
+    size = min(len(x), len(y))
+    return n + m - (folded(x, size) ^ folded(y, size)).bit_count()
+
+
 def may_link(n: int, x: bytes, m: int, y: bytes, percent: int) -> bool:
     """False only if the bits prove that the sets differ in too many tokens."""
-    if 100 * min(n, m) < percent * max(n, m):
-        return False
-    size = min(len(x), len(y))
-    differ = (folded(x, size) ^ folded(y, size)).bit_count()
-    return n + m - differ >= 2 * needed(n, m, percent)
+    return 100 * min(n, m) >= percent * max(n, m) and bound(n, x, m, y) >= 2 * needed(n, m, percent)
 
 
 def may_hold(n: int, x: bytes, column: bytes, percent: int) -> bool:
@@ -124,6 +130,11 @@ def head(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) ->
     return tokens[:size]
 
 
+def size_class(n: int, percent: int) -> int:
+    """Sizes of linked sets are in one class or in two that follow one another; below 256."""
+    return int(np.log(n) / (1.0001 * np.log(max(100 / percent, 1.1))))
+
+
 def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
@@ -181,14 +192,15 @@ def _first_pass(width: int):
 def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets: int):
     def run(batches):
         seen: set[int] = set()
-        tokens, owners = [], []
+        tokens, owners, sizes = [], [], []
         size = 0
 
         def flush():
-            t, o = np.concatenate(tokens), np.concatenate(owners)
+            t, o, k = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
             bucket = ((t >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            t, o, bucket = t[order], o[order], bucket[order]
+            t, o, k, bucket = t[order], o[order], k[order], bucket[order]
+            t = t.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
             cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             ends = np.r_[cut[1:], len(t)]
             return pa.RecordBatch.from_arrays(
@@ -196,8 +208,9 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets:
                     pa.array(bucket[cut]),
                     pa.array([t[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
                     pa.array([o[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
+                    pa.array([k[i:j].tobytes() for i, j in zip(cut, ends, strict=True)], pa.binary()),
                 ],
-                names=["bucket", "tokens", "owners"],
+                names=["bucket", "tokens", "owners", "sizes"],
             )
 
         for _, whole, cid, _, first in _sets(batches, width, seen):
@@ -205,10 +218,11 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets:
                 part = head(whole, hot, rank, percent)
                 tokens.append(part)
                 owners.append(np.full(len(part), cid, np.int64))
+                sizes.append(np.full(len(part), size_class(len(whole), percent), np.uint8))
                 size += len(part)
                 if size > 400_000:
                     yield flush()
-                    tokens, owners, size = [], [], 0
+                    tokens, owners, sizes, size = [], [], [], 0
         if tokens:
             yield flush()
 
@@ -216,19 +230,28 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets:
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Rows (token, cid, lead, many) for the tokens of a bucket that two classes or more hold."""
-    t = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.int64)
+    """Rows (token, cid, lead, many) for the tokens of a bucket that two classes or more hold.
+
+    A token that only two hold is one row: the other one is its leader.
+    """
+    low = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint8).reshape(-1, TOKEN_BYTES)
+    t = np.zeros((len(low), 8), np.uint8)
+    t[:, :TOKEN_BYTES] = low
+    t = t.view(np.uint64).ravel()
     o = np.frombuffer(b"".join(table.column("owners").to_pylist()), np.int64)
-    order = np.lexsort((o, t))
-    t, o = t[order], o[order]
+    k = np.frombuffer(b"".join(table.column("sizes").to_pylist()), np.uint8)
+    order = np.lexsort((o, k, t))
+    t, o, k = t[order], o[order], k[order].astype(np.int64)
     keep = np.r_[True, (t[1:] != t[:-1]) | (o[1:] != o[:-1])]  # a class may come from many tasks
-    t, o = t[keep], o[keep]
-    start = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
+    t, o, k = t[keep], o[keep], k[keep]
+    start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] > k[:-1] + 1)])
     length = np.diff(np.r_[start, len(t)])
     many = np.repeat(length, length)
-    lead = np.repeat(o[start], length)
-    keep = many > 1
-    return pa.table({"token": t[keep], "cid": o[keep], "lead": lead[keep], "many": many[keep].astype(np.int64)})
+    lead = np.repeat(np.minimum.reduceat(o, start), length)
+    place = np.uint64(table.column("bucket")[0].as_py() * int(_M) % 2**64) + np.repeat(k[start], length).astype(np.uint64) * _P
+    token = _signed((t ^ (t >> np.uint64(17))) * _P + place)
+    keep = (many > 2) | (many == 2) & (o != lead)
+    return pa.table({"token": token[keep], "cid": o[keep], "lead": lead[keep], "many": many[keep].astype(np.int64)})
 
 
 def _led(percent: int):
@@ -244,11 +267,11 @@ def _led(percent: int):
 
 
 def _grouped(table: pa.Table) -> pa.Table:
-    """A group: its members, and its column of the matrix, the union of their bits."""
+    """A group: its members, and its column of the matrix, the union of their bits (null if alone)."""
     members = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "root", "n", "bits")), strict=True))
     size = max(len(m[3]) for m in members)
     union = 0
-    for *_, bits in members:
+    for *_, bits in members if len(members) > 1 else ():
         x, have = int.from_bytes(bits, "little"), len(bits)
         while have < size:  # fewer buckets: the token may be in either half
             x |= x << (8 * have)
@@ -256,27 +279,39 @@ def _grouped(table: pa.Table) -> pa.Table:
         union |= x
     cids, roots, ns, bits = zip(*members, strict=True)
     kinds = (pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.binary())
-    values = (cids, roots, ns, bits, union.to_bytes(size, "little"))
+    values = (cids, roots, ns, bits, union.to_bytes(size, "little") if len(members) > 1 else None)
     columns = [pa.array([list(v) if isinstance(v, tuple) else v], k) for v, k in zip(values, kinds, strict=True)]
     return pa.table([table.column("grp").slice(0, 1).combine_chunks(), *columns], names=["grp", "cids", "roots", "ns", "bits", "column"])
 
 
-def _opened(percent: int):
-    """Pairs of members of two groups that may link and are not in one component."""
+def _opened(percent: int, likeliest: bool):
+    """Pairs of members of two groups that may link and are not in one component.
+
+    ``likeliest``: of the pairs between two components only the one with the highest bound, and
+    ``more`` where that leaves some out.
+    """
 
     def run(batches):
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch, out = whole.slice(at, 512), []
-                left = zip(*(column_of(batch, c) for c in ("cids", "roots", "ns", "bits")), strict=True)
-                right = zip(*(column_of(batch, c) for c in ("cids2", "roots2", "ns2", "bits2", "column2")), strict=True)
-                for (ci, ri, ni, xi), (cj, rj, nj, xj, column) in zip(left, right, strict=True):
+                left = zip(*(column_of(batch, c) for c in ("grp", "cids", "roots", "ns", "bits")), strict=True)
+                right = zip(*(column_of(batch, c) for c in ("grp2", "cids2", "roots2", "ns2", "bits2", "column2")), strict=True)
+                for (gi, ci, ri, ni, xi), (gj, cj, rj, nj, xj, column) in zip(left, right, strict=True):
+                    found = {}
                     for a, ra, n, x in zip(ci, ri, ni, xi, strict=True):
                         if len(cj) > 1 and not may_hold(n, x, column, percent):
                             continue
-                        out += [(min(a, b), max(a, b)) for b, rb, m, y in zip(cj, rj, nj, xj, strict=True) if ra != rb and may_link(n, x, m, y, percent)]
-                out = sorted(set(out))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [(), ()])], names=["a", "b"])
+                        for b, rb, m, y in zip(cj, rj, nj, xj, strict=True):
+                            if ra != rb and may_link(n, x, m, y, percent):
+                                found[min(a, b), max(a, b)] = (min(ra, rb), max(ra, rb)), bound(n, x, m, y) / (n + m)
+                    if likeliest:
+                        best = {roots: pair for pair, (roots, _) in sorted(found.items(), key=lambda e: (e[1][1], e[0]))}
+                        out += [(a, b, gi, gj, len(best) < len(found)) for a, b in best.values()]
+                    else:
+                        out += [(a, b, gi, gj, False) for a, b in found]
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=["a", "b", "grp", "grp2", "more"])
 
     return run
 
@@ -329,10 +364,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     by_hash = np.argsort(hot)
     hot, rank = hot[by_hash], hints["c"].to_numpy(np.int64)[by_hash]
     total = some.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, partitions(spark), -(-int(total * (100 - percent) / 100 * 16) // BUCKET_BYTES))
+    buckets = max(1, partitions(spark), -(-int(total * (100 - percent) / 100 * (TOKEN_BYTES + 9)) // BUCKET_BYTES))
     shared = (
         docs.where("text is not null")
-        .mapInArrow(_heads(width, percent, hot, rank, buckets), "bucket long, tokens binary, owners binary")
+        .mapInArrow(_heads(width, percent, hot, rank, buckets), "bucket long, tokens binary, owners binary, sizes binary")
         .groupBy("bucket")
         .applyInArrow(_shared, "token long, cid long, lead long, many long")
     )
@@ -356,14 +391,14 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
         return written(both.mapInArrow(_compared(percent), "a long, b long"), "links")
 
     # One leader for each shared token.
-    led = shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
-    led = written(led.join(one, "a").join(other, "b").mapInArrow(_led(percent), "a long, b long, may boolean"), "led")
+    met = written(shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "met")
+    led = written(met.join(one, "a").join(other, "b").mapInArrow(_led(percent), "a long, b long, may boolean"), "led")
     first_links = links(led.where("may").select("a", "b"))
 
     # Groups of similar classes. A class close to no leader is a group of its own.
     near = connected_components(first_links).withColumnRenamed("node", "cid")
     kin = led.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("kin"))
-    groups = shared.select("cid").distinct().join(near, "cid", "left").join(kin, "cid", "left")
+    groups = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(near, "cid", "left").join(kin, "cid", "left")
     groups = groups.select("cid", F.coalesce("root", "cid").alias("root"), F.coalesce("kin", "cid").alias("kin"))
     sizes = groups.groupBy("kin").agg(F.count("*").alias("size")).where("size > 1")
     groups = groups.join(sizes, "kin", "left")
@@ -376,16 +411,33 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     held = written(held.join(mixed, "token", "left_semi"), "held")
     right = held.select("token", F.col("grp").alias("grp2"), F.col("r0").alias("s0"), F.col("r1").alias("s1"))
     meet = held.join(right, "token").where("grp <= grp2 and not (r0 = r1 and s0 = s1 and r0 = s0)").select("grp", "grp2").distinct()
-    matrix = groups.join(classes.select("cid", "n", "bits"), "cid").groupBy("grp").applyInArrow(
-        _grouped, "grp long, cids array<long>, roots array<long>, ns array<long>, bits array<binary>, column binary"
-    )
-    matrix = written(matrix, "matrix")
-    asked = matrix.select(F.col("grp").alias("grp2"), F.col("cids").alias("cids2"), F.col("roots").alias("roots2"), F.col("ns").alias("ns2"), F.col("bits").alias("bits2"), F.col("column").alias("column2"))
-    late = meet.join(asked, "grp2").join(matrix.drop("column"), "grp").mapInArrow(_opened(percent), "a long, b long").distinct()
-    tried = led.where("may").select("a", "b")
-    late = links(late.join(tried, ["a", "b"], "left_anti"))
 
-    roots = connected_components(first_links.union(late)).select(F.col("node").alias("cid"), "root")
+    def matrix_of(groups: DataFrame) -> DataFrame:
+        return written(groups.join(classes.select("cid", "n", "bits"), "cid").groupBy("grp").applyInArrow(
+            _grouped, "grp long, cids array<long>, roots array<long>, ns array<long>, bits array<binary>, column binary"
+        ), "matrix")
+
+    def opened(matrix: DataFrame, meet: DataFrame, likeliest: bool) -> DataFrame:
+        """Candidates of groups that meet, are of like size and open for one another."""
+        ranges = matrix.select("grp", F.array_min("ns").alias("lo"), F.array_max("ns").alias("hi"))
+        meet = meet.join(ranges, "grp").join(ranges.select(F.col("grp").alias("grp2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2")), "grp2")
+        meet = meet.where(f"100 * hi >= {percent} * lo2 and 100 * hi2 >= {percent} * lo").select("grp", "grp2")
+        asked = matrix.select(*(F.col(c).alias(f"{c}2") for c in ("grp", "cids", "roots", "ns", "bits", "column")))
+        found = meet.join(asked, "grp2").join(matrix.drop("column"), "grp")
+        return written(found.mapInArrow(_opened(percent, likeliest), "a long, b long, grp long, grp2 long, more boolean"), "opened")
+
+    likely = opened(matrix_of(groups), meet, True)
+    tried = led.where("may").select("a", "b").union(likely.select("a", "b"))
+    found = first_links.union(links(likely.select("a", "b").distinct().join(led.where("may"), ["a", "b"], "left_anti")))
+    rest = written(likely.where("more").select("grp", "grp2").distinct(), "rest")
+    if rest.limit(1).count():
+        now = connected_components(found).select(F.col("node").alias("cid"), "root")
+        some_groups = rest.select(F.explode(F.array("grp", "grp2")).alias("grp")).distinct()
+        again = groups.drop("root").join(some_groups, "grp", "left_semi").join(now, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "grp")
+        late = opened(matrix_of(again), rest, False).select("a", "b").distinct()
+        found = found.union(links(late.join(tried, ["a", "b"], "left_anti")))
+
+    roots = connected_components(found).select(F.col("node").alias("cid"), "root")
     merged = classes.select("cid", "rep").join(roots, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = merged.groupBy("root").agg(F.min("rep").alias("component_id"))
     merged = merged.join(least, "root").select("cid", "component_id")
