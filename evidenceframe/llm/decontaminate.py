@@ -34,8 +34,8 @@ SIMILARITY = 0.75
 MIN_WORDS = 5
 WALKS, BANDS, SAMPLED = 10, 4, 2
 BLOCK_WORDS = 200_000
-#: Bytes of text worked on at a time.
-CHUNK = 8_000_000
+#: Bytes of text, and rows, worked on at a time.
+CHUNK, ROWS = 2_000_000, 2_048
 
 _BREAKS = bytes.maketrans(bytes(c for c in range(128) if not chr(c).isalnum()), b" " * (128 - 62))
 
@@ -239,11 +239,17 @@ class Index:
         return [(doc, item, *entry) for (doc, item), entry in sorted(best.items())]
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ROWS rows, so that few texts are Python objects at a time."""
+    for batch in batches:
+        yield from (batch.slice(at, ROWS) for at in range(0, batch.num_rows, ROWS))
+
+
 def _matched(index: Index):
     names = ("doc_id", "item_id", "edits", "n_words", "start_word", "end_word")
 
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             ids, texts = column_of(batch, "doc_id"), texts_of(batch)
             rows, at = [], 0
             while at < len(ids):
@@ -287,7 +293,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
 def _clean(index: Index):
     def run(batches):
-        for batch in batches:
+        for batch in _pieces(batches):
             texts = texts_of(batch)
             keep, at = np.ones(len(texts), bool), 0
             while at < len(texts):

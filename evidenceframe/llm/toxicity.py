@@ -200,8 +200,10 @@ def _kept(model: PuModel, threshold: float):
     def run(batches):
         known = Features(frozenset(model.weights))
         for batch in batches:
-            keep = [model.score(known.present(t)) < threshold for t in texts_of(batch)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 2_048):  # few texts are Python objects at a time
+                piece = batch.slice(at, 2_048)
+                keep = [model.score(known.present(t)) < threshold for t in texts_of(piece)]
+                yield piece.filter(pa.array(keep, pa.bool_()))
 
     return run
 
