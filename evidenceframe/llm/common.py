@@ -58,6 +58,18 @@ def column_of(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
 
 
+def released(run):
+    """``run`` for the batches of a task; memory that Arrow keeps for reuse goes back at its end."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def rows_of(batch: pa.RecordBatch, key: str = "doc_id", column: str = "text", step: int = 256):
     """(key, text as bytes) of each row; only ``step`` rows at a time become Python objects."""
     for at in range(0, batch.num_rows, step):

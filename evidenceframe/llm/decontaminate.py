@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, column_of, texts_of
+from .common import WORD_SQL, column_of, released, texts_of
 
 SIMILARITY = 0.75
 #: Items of fewer words are too weak as evidence and match nothing.
@@ -286,7 +286,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
     schema = "doc_id long, item_id long, edits long, n_words long, start_word long, end_word long"
     out = None
     for items in blocks_of(benchmark):
-        part = docs.mapInArrow(_matched(Index(items, similarity)), schema)
+        part = docs.mapInArrow(released(_matched(Index(items, similarity))), schema)
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -311,5 +311,5 @@ def _clean(index: Index):
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without the rows that any item contaminates; all columns stay."""
     for items in blocks_of(benchmark):
-        docs = docs.mapInArrow(_clean(Index(items, similarity)), docs.schema)
+        docs = docs.mapInArrow(released(_clean(Index(items, similarity))), docs.schema)
     return docs

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, connected_components, partitions, rows_of, semi_join_bounded, written
+from .common import column_of, connected_components, partitions, released, rows_of, semi_join_bounded, written
 
 PERCENT = 75
 SHINGLE = 5
@@ -350,7 +350,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = written(docs.mapInArrow(_first_pass(width), "doc_id long, n long, cid long, check long, bits binary, hot boolean"), "sets")
+    first = written(docs.mapInArrow(released(_first_pass(width)), "doc_id long, n long, cid long, check long, bits binary, hot boolean"), "sets")
     rows = first.where("not hot").select("doc_id", "n", "cid", "check")
     some = rows.where("n > 0")
     classes = written(
@@ -367,7 +367,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     buckets = max(1, partitions(spark), -(-int(total * (100 - percent) / 100 * (TOKEN_BYTES + 9)) // BUCKET_BYTES))
     shared = (
         docs.where("text is not null")
-        .mapInArrow(_heads(width, percent, hot, rank, buckets), "bucket long, tokens binary, owners binary, sizes binary")
+        .mapInArrow(released(_heads(width, percent, hot, rank, buckets)), "bucket long, tokens binary, owners binary, sizes binary")
         .groupBy("bucket")
         .applyInArrow(_shared, "token long, cid long, lead long, many long")
     )
@@ -384,7 +384,7 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
         whole = semi_join_bounded(docs, reps.where("doc_id is not null").distinct(), "doc_id")
         if reps.where("doc_id is null").limit(1).count():
             whole = whole.union(docs.where("doc_id is null"))
-        whole = written(whole.mapInArrow(_whole_sets(width), "cid long, tokens binary").dropDuplicates(["cid"]), "whole")
+        whole = written(whole.mapInArrow(released(_whole_sets(width)), "cid long, tokens binary").dropDuplicates(["cid"]), "whole")
         both = pairs.join(whole.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(
             whole.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b"
         )

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, texts_of
+from .common import column_of, released, texts_of
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
@@ -56,7 +56,7 @@ class Features(dict):
         self.used = used
 
     def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) > 250_000:
+        if len(self) > 60_000:
             self.clear()
         out = features_of(word)
         if self.used is not None:
@@ -166,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) ->
     some = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_000)) < int(min(1.0, MAX_UNLABELLED / max(1, total)) * 1_000_000_000)
     taken = texts.where("doc_id is not null").join(F.broadcast(confirmed), "doc_id", "left").where(F.col("positive") | some)
     taken = taken.select(F.coalesce("positive", F.lit(False)).alias("positive"), some.alias("drawn"), "text")
-    rows = taken.mapInArrow(_gather, "positive boolean, drawn boolean, mark binary, features binary").toArrow().to_pylist()
+    rows = taken.mapInArrow(released(_gather), "positive boolean, drawn boolean, mark binary, features binary").toArrow().to_pylist()
     # copies count once; in order of the mark, so that reruns agree
     pos = {r["mark"]: r["features"] for r in rows if r["positive"]}
     unl = {r["mark"]: r["features"] for r in rows if r["drawn"]}
@@ -192,7 +192,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
     """
     model = train(docs, labels)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    scored = rows.mapInArrow(_scores(model), "doc_id long, score double")
+    scored = rows.mapInArrow(released(_scores(model)), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -210,4 +210,4 @@ def _kept(model: PuModel, threshold: float):
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` without the rows whose score reaches the threshold; all columns stay."""
-    return docs.mapInArrow(_kept(train(docs, labels), threshold), docs.schema)
+    return docs.mapInArrow(released(_kept(train(docs, labels), threshold)), docs.schema)
