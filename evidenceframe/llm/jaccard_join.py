@@ -359,10 +359,12 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
         ).withColumn("n", F.when(F.col("c0") == F.col("c1"), F.col("n")).otherwise(F.raise_error(F.lit("two sets with one hash")).cast("long"))).drop("c0", "c1"),
         "classes",
     )
-    hints = first.where("hot").groupBy("cid").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "cid").limit(HINTS).toPandas()
-    hot = hints["cid"].to_numpy(np.int64).view(np.uint64)
+    # Written first: the top rows are merged by a task, not by the driver.
+    hints = written(first.where("hot").groupBy("cid").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "cid").limit(HINTS), "hints").toArrow()
+    hot = hints.column("cid").to_numpy().astype(np.int64).view(np.uint64)
     by_hash = np.argsort(hot)
-    hot, rank = hot[by_hash], hints["c"].to_numpy(np.int64)[by_hash]
+    hot, rank = hot[by_hash], hints.column("c").to_numpy().astype(np.int64)[by_hash]
+    del hints
     total = some.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, partitions(spark), -(-int(total * (100 - percent) / 100 * (TOKEN_BYTES + 9)) // BUCKET_BYTES))
     shared = (
