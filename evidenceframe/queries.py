@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import boxes
 from .functions.text import overlap_ratio, token_estimate, tokens
-from .operators import chunking, evidence, fusion, lexical, linking, metrics, rerank, vectors
+from .operators import chunking, evidence, fusion, layout, lexical, linking, metrics, relevance, rerank, splitting, variants, vectors
 from .plans.retrieval import Corpus
+from .sources import history
 from .streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -450,3 +451,128 @@ def join10_case_results(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").select("doc_id").join(labels, "doc_id", "left")
     outcome = F.when(F.col("quality").isNull(), "missing_result").when(F.col("quality") == 1, "passed").otherwise("failed")
     return joined.select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), outcome.alias("outcome"))
+
+
+# Splits, layout blocks, relevance and history
+
+
+@query()
+def chk07_hard_split(spark, sf_dir):
+    """Parts of every document; a fold that SQL does not express, so the tests compare with brute force."""
+    parts = splitting.hard_split(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(parts).alias("part", "text"))
+
+
+def _blocks(spark, sf_dir):
+    """Events as the layout blocks of a document for each user."""
+    kind, where = F.expr("(event_id * 7 + user_id) % 5"), F.expr("CAST(floor(value / 25) AS BIGINT)")
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source"), F.col("event_id").alias("ord"), F.concat(F.lit("b"), F.col("event_id").cast("string")).alias("block_id"),
+        F.when(kind < 2, "heading").when(kind < 4, "text").otherwise("table").alias("type"),
+        F.when(F.expr("event_id % 6 <> 0"), F.concat_ws(" ", "event_type", kind.cast("string"))).alias("text"),
+        F.when(F.expr("event_id % 11 <> 0"), F.expr("CAST(event_id % 4 + 1 AS INT)")).alias("page"),
+        F.when(F.expr("event_id % 3 <> 0"), F.array(where.cast("double"), F.lit(0.0), (where * 2 + 10).cast("double"), F.lit(10.0))).alias("box"),
+        F.when(where % 4 == 0, "layout").when(where % 4 == 1, "block_list").when(where % 4 == 2, "model").alias("source_kind"),
+    )
+
+
+BLOCKS = """
+blocks AS (SELECT user_id AS source, event_id AS ord, 'b' || event_id AS block_id,
+  CASE WHEN (event_id * 7 + user_id) % 5 < 2 THEN 'heading' WHEN (event_id * 7 + user_id) % 5 < 4 THEN 'text' ELSE 'table' END AS type,
+  CASE WHEN event_id % 6 <> 0 THEN event_type || ' ' || (event_id * 7 + user_id) % 5 END AS text,
+  CASE WHEN event_id % 11 <> 0 THEN CAST(event_id % 4 + 1 AS INTEGER) END AS page,
+  CASE WHEN event_id % 3 <> 0 THEN CAST(floor(value / 25) AS BIGINT) END AS x,
+  CASE CAST(floor(value / 25) AS BIGINT) % 4 WHEN 0 THEN 'layout' WHEN 1 THEN 'block_list' WHEN 2 THEN 'model' END AS source_kind FROM events)
+"""
+
+
+@query(f"""WITH {BLOCKS}, l AS (SELECT *, lag(type) OVER (PARTITION BY source ORDER BY ord) AS before FROM blocks)
+SELECT block_id, CAST(nullif(sum(CASE WHEN type = 'heading' AND before IS DISTINCT FROM 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ord), 0) AS INTEGER) AS title_region FROM l""")
+def chk08b_title_regions(spark, sf_dir):
+    return layout.title_regions(_blocks(spark, sf_dir)).select("block_id", "title_region")
+
+
+@query(f"""WITH {BLOCKS}, runs AS (SELECT b.*, sum(CASE WHEN type <> 'heading' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM blocks b),
+h AS (SELECT source, coalesce(run, 0) AS run, max_by(block_id, ord) AS heading_block, max_by(text, ord) AS heading_text FROM runs WHERE type = 'heading' AND text IS NOT NULL GROUP BY ALL)
+SELECT block_id, heading_block, heading_text FROM runs r LEFT JOIN h ON h.source = r.source AND h.run = coalesce(r.run, 0) AND r.type = 'text'""")
+def chk08c_heading_context(spark, sf_dir):
+    return layout.heading_context(_blocks(spark, sf_dir)).select("block_id", "heading_block", "heading_text")
+
+
+@query(f"""WITH {BLOCKS}, u AS (SELECT *, coalesce(source_kind, 'unknown') AS k FROM blocks WHERE type IN ('text', 'heading', 'formula') AND page IS NOT NULL AND text IS NOT NULL),
+g AS (SELECT source, k, row_number() OVER (PARTITION BY source ORDER BY CASE k WHEN 'layout' THEN 105 WHEN 'block_list' THEN 105 WHEN 'model' THEN 80 ELSE 10 END DESC, count(x) DESC, count(*) DESC, min(ord)) AS r FROM u GROUP BY source, k)
+SELECT block_id, coalesce(source_kind, 'none') AS source_kind FROM u JOIN g USING (source, k) WHERE r = 1""")
+def ext10_best_source_kind(spark, sf_dir):
+    return layout.best_source_kind(_blocks(spark, sf_dir)).select("block_id", F.coalesce("source_kind", F.lit("none")).alias("source_kind"))
+
+
+@query(f"""WITH {BLOCKS}, g AS (SELECT source, x, count(*) AS n, min(ord) AS first FROM blocks WHERE x IS NOT NULL GROUP BY source, x)
+SELECT source, CAST(x AS DOUBLE) AS x0, CAST(x * 2 + 10 AS DOUBLE) AS x1, n FROM g QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, x, first) = 1""")
+def ext18_consensus_box(spark, sf_dir):
+    return layout.consensus_boxes(_blocks(spark, sf_dir), "source").select("source", F.col("box")[0].alias("x0"), F.col("box")[2].alias("x1"), "n")
+
+
+@query(f"WITH {BLOCKS} SELECT source, coalesce(page, 0) AS page, type, count(*) AS n, count(x) AS with_box, count(text) AS with_text FROM blocks GROUP BY source, page, type")
+def ext19_block_diagnostics(spark, sf_dir):
+    return layout.diagnostics(_blocks(spark, sf_dir)).withColumn("page", F.coalesce("page", F.lit(0)))
+
+
+def _judged(spark, sf_dir):
+    """Lines of an order as ranked hits, and three specifications for each order: a page, a source, both."""
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    hits = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.row_number().over(order).alias("rank"), F.col("l_partkey").cast("string").alias("node_id"),
+        F.col("l_suppkey").cast("string").alias("doc_id"), F.col("l_linenumber").alias("page"), F.concat(F.lit("Mode "), F.col("l_returnflag"), F.lit("-"), F.col("l_linestatus")).alias("source"),
+    )
+    spec = F.explode(F.expr("""array(
+        named_struct('spec_idx', 0, 'spec_id', cast(null as string), 'spec_page', cast(o_orderkey % 7 as int), 'spec_source', cast(null as string), 'grade', 1.0D),
+        named_struct('spec_idx', 1, 'spec_id', null, 'spec_page', null, 'spec_source', 'mode a', 'grade', 2.0D),
+        named_struct('spec_idx', 2, 'spec_id', null, 'spec_page', 3, 'spec_source', 'N-O', 'grade', null))""")).alias("s")
+    return hits, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("query_id"), spec).select("query_id", "s.*")
+
+
+@query("""WITH hits AS (SELECT l_orderkey AS query_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rank, l_linenumber AS page, l_returnflag AS a, l_linestatus AS b FROM lineitem),
+m AS (SELECT h.*, o_orderkey IS NOT NULL AND a = 'A' AS s1, o_orderkey IS NOT NULL AND abs(page - o_orderkey % 7) <= 1 AS s0, o_orderkey IS NOT NULL AND abs(page - 3) <= 1 AND a = 'N' AND b = 'O' AS s2 FROM hits h LEFT JOIN orders ON o_orderkey = query_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, CAST(CASE WHEN s1 THEN 1 WHEN s0 THEN 0 WHEN s2 THEN 2 ELSE -1 END AS INTEGER) AS spec_idx, CASE WHEN s1 THEN 2.0::DOUBLE WHEN s0 OR s2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS grade FROM m""")
+def flt13_spec_grades(spark, sf_dir):
+    got = relevance.graded(*_judged(spark, sf_dir), page_tolerance=1)
+    return got.select("query_id", "rank", F.coalesce("spec_idx", F.lit(-1)).alias("spec_idx"), "grade")
+
+
+@query()
+def join11_spec_match_once(spark, sf_dir):
+    """Each specification serves one hit; the choice is sequential, so the tests compare with brute force."""
+    got = relevance.graded(*_judged(spark, sf_dir), page_tolerance=1, once=True)
+    return got.select("query_id", "rank", F.coalesce("spec_idx", F.lit(-1)).alias("spec_idx"), "grade")
+
+
+@query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+def src26_latest_record(spark, sf_dir):
+    records = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return history.latest_records(records, "user_id", order="event_id")
+
+
+@query()
+def qry01_query_variants(spark, sf_dir):
+    """Variants of each benchmark question; decomposition of characters is beyond SQL, so tests give examples."""
+    return variants.query_variants(Corpus(spark, sf_dir).questions)
+
+
+TOKEN = r"[A-Za-z][A-Za-z0-9_.-]*|[0-9]+(?:\.[0-9]+)?"
+
+
+@query(f"""WITH t AS (SELECT item_id, list_filter(regexp_extract_all(text, '{TOKEN}'), lambda w: length(w) >= 3 OR regexp_matches(w, '[0-9_]')) AS w FROM benchmark),
+e AS (SELECT item_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM t),
+f AS (SELECT item_id, arg_min(word, i) AS word, min(i) AS i FROM e GROUP BY item_id, lower(word))
+SELECT item_id, coalesce(string_agg(word, ' ' ORDER BY i), '') AS keywords FROM t LEFT JOIN f USING (item_id) GROUP BY item_id""")
+def qry03_keyword_variant(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", variants.keyword_variant(F.col("text")).alias("keywords"))
+
+
+@query()
+def flt07_anchor_overlap(spark, sf_dir):
+    """Hits of each question with whether they share a loose anchor with it."""
+    c = Corpus(spark, sf_dir)
+    asked = c.questions.select("query_id", variants.anchors(F.col("text"), strong=False).alias("anchors"))
+    hits = lexical.search(c.bm25(), c.questions).join(c.nodes.select("node_id", "text"), "node_id").join(asked, "query_id")
+    return variants.with_shared_anchor(hits).select("query_id", "node_id", "rank", "shares_anchor")

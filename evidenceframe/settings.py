@@ -11,6 +11,7 @@ class Settings:
     chunk_min: int = 80
     table_small_rows: int = 12
     table_group_rows: int = 8
+    split_tokens: int = 7936
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     top_k: int = 12
@@ -25,6 +26,8 @@ class Settings:
     support_min: float = 0.45
     support_strong: float = 0.75
     support_weights: tuple[float, ...] = (0.30, 0.20, 0.15, 0.10, 0.10, 0.10, 0.05)
+    variants_most: int = 4
+    variant_min_letters: int = 3
     variant_boost: float = 0.03
     variant_boost_most: float = 0.12
     rerank_top: int = 8
