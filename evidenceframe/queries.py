@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import boxes
 from .functions.text import overlap_ratio, token_estimate, tokens
-from .operators import chunking, evidence, fusion, layout, lexical, linking, metrics, relevance, rerank, splitting, variants, vectors
+from .operators import chunking, evidence, fusion, layout, lexical, linking, metrics, relevance, rerank, selection, splitting, variants, vectors
 from .plans.retrieval import Corpus
 from .sources import history
 from .streaming import events
@@ -576,3 +576,71 @@ def flt07_anchor_overlap(spark, sf_dir):
     asked = c.questions.select("query_id", variants.anchors(F.col("text"), strong=False).alias("anchors"))
     hits = lexical.search(c.bm25(), c.questions).join(c.nodes.select("node_id", "text"), "node_id").join(asked, "query_id")
     return variants.with_shared_anchor(hits).select("query_id", "node_id", "rank", "shares_anchor")
+
+
+# Choosing hits
+
+
+LINES = """
+h AS (SELECT l_orderkey AS query_id, l_partkey AS node_id, l_extendedprice AS score, l_returnflag AS flag,
+  row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey, l_linenumber, l_suppkey, l_quantity) AS rank FROM lineitem),
+d AS (SELECT query_id, node_id, score, flag, row_number() OVER (PARTITION BY query_id ORDER BY rank, node_id) AS rank FROM (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, node_id ORDER BY rank) = 1))
+"""
+
+
+def _lines(spark, sf_dir):
+    """Lines of an order as hits by price; a part may be there twice."""
+    order = Window.partitionBy("l_orderkey").orderBy(F.desc("l_extendedprice"), "l_partkey", "l_linenumber", "l_suppkey", "l_quantity")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("node_id"), F.col("l_extendedprice").alias("score"), F.col("l_returnflag").alias("flag"), F.row_number().over(order).alias("rank")
+    )
+
+
+@query(f"WITH {LINES} SELECT query_id, node_id, score, flag, CAST(rank AS INTEGER) AS rank FROM d")
+def set01_distinct_hits(spark, sf_dir):
+    return selection.distinct_hits(_lines(spark, sf_dir))
+
+
+@query(f"""WITH {LINES}, n AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM d)
+SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank FROM n WHERE rank <= 6 OR rank > n - 2 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 8""")
+def topk02_head_tail(spark, sf_dir):
+    return selection.head_tail(selection.distinct_hits(_lines(spark, sf_dir))).select("query_id", "node_id", "rank")
+
+
+@query(f"""WITH {LINES}, a AS (SELECT * FROM d WHERE rank <= 4), b AS (SELECT query_id, node_id, score / 2 AS score, rank FROM d WHERE flag = 'A'),
+m AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.node_id, b.node_id) AS node_id, coalesce(b.score, a.score) AS score, a.rank AS r0, b.rank AS r1 FROM a FULL JOIN b ON a.query_id = b.query_id AND a.node_id = b.node_id)
+SELECT query_id, node_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY r0 IS NULL, r0, r1) AS INTEGER) AS rank, CASE WHEN r1 IS NULL THEN 'none' WHEN r0 IS NULL THEN 'added' ELSE 'replaced' END AS carry FROM m""")
+def join08_carry_forward(spark, sf_dir):
+    hits = selection.distinct_hits(_lines(spark, sf_dir))
+    got = selection.carried_forward(hits.where("rank <= 4"), hits.where("flag = 'A'").withColumn("score", F.col("score") / 2))
+    return got.withColumn("carry", F.coalesce("carry", F.lit("none")))
+
+
+@query(f"""WITH {LINES} SELECT query_id, node_id, CAST(rank AS INTEGER) AS rank, (query_id, node_id) IN (SELECT query_id, node_id FROM h WHERE flag = 'R') AS removed FROM h""")
+def flt11_dropped_before(spark, sf_dir):
+    hits = _lines(spark, sf_dir)
+    kept, removed = selection.without_dropped(hits, hits.where("flag = 'R'"))
+    both = kept.withColumn("removed", F.lit(False)).unionByName(removed.withColumn("removed", F.lit(True)))
+    return both.select("query_id", "node_id", "rank", "removed")
+
+
+@query(f"""WITH {CHUNKS}, {POSTINGS}, {ASKED}, {_bm25()}, m AS (SELECT node_id, doc_id, page, chunk_index, CASE WHEN chunk_index % 3 = 0 THEN 'image' ELSE 'text' END AS modality FROM nodes),
+hits AS (SELECT query_id, node_id, score / 100 AS score, rank FROM bm25),
+t AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY chunk_index, node_id) AS k FROM m WHERE modality = 'text' QUALIFY k <= 3),
+added AS (SELECT query_id, t.node_id, least(1, greatest(0, hits.score * 0.7)) AS score, rank AS a, k AS b, 'image_context' AS channel FROM hits JOIN m USING (node_id) JOIN t ON t.doc_id = m.doc_id AND t.page = m.page
+  WHERE m.modality = 'image' AND (query_id, t.node_id) NOT IN (SELECT query_id, node_id FROM hits) QUALIFY row_number() OVER (PARTITION BY query_id, t.node_id ORDER BY rank, k) = 1),
+u AS (SELECT query_id, node_id, score, rank AS a, 0 AS b, 'search' AS channel FROM hits UNION ALL SELECT * FROM added)
+SELECT query_id, node_id, round(score, 6) AS score, channel, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, channel = 'image_context', a, b) AS INTEGER) AS rank FROM u""")
+def join05_image_context(spark, sf_dir):
+    """Search hits, every third chunk taken for an image, with the texts of their pages."""
+    c = Corpus(spark, sf_dir)
+    nodes = c.nodes.withColumn("modality", F.when(F.col("chunk_index") % 3 == 0, "image").otherwise("text"))
+    hits = lexical.search(c.bm25(), c.questions).withColumn("score", F.col("score") / 100)
+    return selection.image_context(hits, nodes).withColumn("score", F.round("score", 6))
+
+
+@query("SELECT source AS category, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS passed, round(count(*) FILTER (WHERE quality = 1)::DOUBLE / count(*), 6) AS pass_rate FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def agg10_category_breakdown(spark, sf_dir):
+    judged = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("category")).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    counts = judged.groupBy("category").agg(F.count("*").alias("n"), F.count_if(F.col("quality") == 1).alias("passed"))
+    return counts.withColumn("pass_rate", F.round(F.col("passed") / F.col("n"), 6))

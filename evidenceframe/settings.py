@@ -32,6 +32,11 @@ class Settings:
     variant_boost_most: float = 0.12
     rerank_top: int = 8
     context_top: int = 6
+    grade_head: int = 6
+    grade_tail: int = 2
+    grade_most: int = 8
+    image_context_top: int = 3
+    image_context_weight: float = 0.70
     prompt_chars: int = 12_000
     prompt_min_chars: int = 300
     slow_ms: int = 2000
