@@ -58,10 +58,10 @@ class Corpus:
         return hits.join(self.nodes.select("node_id", "source", "text"), "node_id")
 
     def relevant(self) -> DataFrame:
-        """(query_id, doc_id) of documents that contain the start of the question's passage."""
-        asked = self.questions.select("query_id", F.left("text", F.lit(60)).alias("start"))
+        """(query_id, doc_id) of documents that contain the question's passage, all of it."""
+        asked = self.questions.select("query_id", F.col("text").alias("passage"))
         # the passages are a few; each document is tested against all of them in one pass
-        return self.documents.select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("start"))).select("query_id", "doc_id")
+        return self.documents.select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
 
     def ranking_metrics(self, k: int = 10) -> DataFrame:
         right = self.relevant()
