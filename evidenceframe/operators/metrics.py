@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.boxes import iou
+from ..functions.boxes import area, intersection, iou, union_area
 from ..functions.text import safe_div, tokens
 
 
@@ -60,6 +60,41 @@ def region_metrics(hits: DataFrame, regions: DataFrame, relevant: float = 0.5, c
     )
 
 
+def region_areas(hits: DataFrame, regions: DataFrame, counted: float = 0.1) -> DataFrame:
+    """Per case: hit rate, best IoU, precision over hits above ``counted``, recall by area, and F1.
+
+    hits (case_id, hit_id, page, box) meet regions (case_id, region_id, page, box) of the same page
+    only. Recall is the area of the regions that hits cover, each point once a region, over their
+    whole area. The area metrics are the same three values, as in the reference. Boxes outside the
+    0..1000 range do not count; a case without regions, or without hits, has nulls.
+    """
+    hits = hits.withColumn("box", _ordered(F.col("box"))).where("box is not null")
+    specs = regions.select("case_id", "region_id", "page", _ordered(F.col("box")).alias("region"))
+    pairs = specs.where("region is not null").join(hits, ["case_id", "page"])
+    best = hits.select("case_id", "hit_id").distinct().join(
+        pairs.groupBy("case_id", "hit_id").agg(F.max(iou(F.col("box"), F.col("region"))).alias("v")), ["case_id", "hit_id"], "left"
+    )
+    best = best.groupBy("case_id").agg(F.max(F.coalesce("v", F.lit(0.0))).alias("most"), F.avg((F.coalesce("v", F.lit(0.0)) > counted).cast("double")).alias("p"))
+    met = pairs.groupBy("case_id", "region_id").agg(F.collect_list(intersection(F.col("box"), F.col("region"))).alias("common"))
+    whole = area(F.col("region"))
+    covered = specs.join(met, ["case_id", "region_id"], "left").withColumn("covered", F.when(whole > 0, F.least(F.coalesce(union_area(F.col("common")), F.lit(0.0)), whole)))
+    sums = covered.groupBy("case_id").agg(F.sum("covered").alias("covered"), F.sum(F.when(whole > 0, whole)).alias("expected"))
+    out = sums.withColumn("specs", F.lit(1)).join(best, "case_id", "full")
+    judged = F.col("specs").isNotNull() & F.col("most").isNotNull()
+    r = F.when(F.col("expected") > 0, F.col("covered") / F.col("expected"))
+    f1 = F.when(r.isNotNull() & (F.col("p") + r > 0), 2 * F.col("p") * r / (F.col("p") + r)).otherwise(0.0)
+    values = {"bbox_hit_rate": F.when(F.col("covered") > 0, 1.0).otherwise(0.0), "bbox_precision": F.col("p"), "bbox_recall": r, "bbox_f1": f1}
+    values |= {"bbox_area_precision": F.col("p"), "bbox_area_recall": r, "bbox_area_f1": f1, "bbox_max_iou": F.col("most")}
+    return out.select("case_id", *[F.when(judged, F.round(v, 6)).alias(k) for k, v in values.items()])
+
+
+def _ordered(box: Column) -> Column:
+    """A box with its corners in order, in the 0..1000 range, else null."""
+    b = F.array(F.least(box[0], box[2]), F.least(box[1], box[3]), F.greatest(box[0], box[2]), F.greatest(box[1], box[3]))
+    most = F.array_max(F.transform(b, F.abs))
+    return F.when(most <= 1, F.transform(b, lambda x: x * 1000)).when(most <= 1000, b)
+
+
 def summary(records: DataFrame, *names: str) -> DataFrame:
     """(metric, value, n): mean of each metric over the records that have it."""
     cols = [F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("v")) for n in names]

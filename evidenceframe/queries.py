@@ -386,6 +386,23 @@ def met07_region_metrics(spark, sf_dir):
     return metrics.region_metrics(hits, hits.where("vec_id % 20 = 0"))
 
 
+@query()
+def met07_region_areas(spark, sf_dir):
+    """All MET-07 metrics: each vector's first box against the box of the next four numbers of every vector.
+
+    Both tables are whole. 24 neighbouring vectors are a case.
+    """
+    e = lambda i: F.col("embedding")[i].cast("double")
+
+    def side(i: int, name: str):
+        x, y = 400 + 300 * e(i), 400 + 300 * e(i + 1)
+        box = F.array(x, y, x + 50 + 200 * F.abs(e(i + 2)), y + 50 + 200 * F.abs(e(i + 3)))
+        case = F.floor(F.col("vec_id") / 24).alias("case_id")
+        return table(spark, sf_dir, "embeddings").select(case, F.col("vec_id").alias(name), (F.col("vec_id") % 3).cast("int").alias("page"), box.alias("box"))
+
+    return metrics.region_areas(side(0, "hit_id"), side(4, "region_id"))
+
+
 @query()
 def fn07_union_area(spark, sf_dir):
     grouped = _boxes(spark, sf_dir).groupBy("case_id", "page").agg(F.array_sort(F.collect_list("box")).alias("b"))
