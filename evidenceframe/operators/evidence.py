@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clip01, compact
+from ..functions.text import clip01, compact, overlap_ratio
 from ..settings import DEFAULTS, Settings
 
 # Words of a question that are no keywords.
@@ -20,12 +20,45 @@ def keyword_terms(question: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS) & ~w.rlike(r"^\d+(\.\d+)?%?$")))
 
 
+NUMBER = r"(?<![A-Za-z])(?:19|20)\d{2}(?!\d)|\d+(?:\.\d+)?%?"
+SOURCE = r"(?iU)[\w一-鿿 ._-]+\.(?:pdf|md|docx?|txt|pptx?|xlsx?)"
+_MODALITIES = {
+    "table": "表|统计|对比|排名|百分比|增长|下降|多少",
+    "image": "图片|图像|截图|图中|示意图|趋势图|视觉|照片|(?i:figure|fig\\.|chart|screenshot|diagram|photo)",
+    "formula": "公式|方程|表达式|(?i:latex|formula|equation)",
+}
+_PAGE_WORDS = "第|页|上下文|图中"
+_COMPARES = "对比|差异|多个文档|冲突|比较|compare|different"
+_POLAR = (
+    r"(?i)^\s*(is|are|was|were|do|does|did|can|could|should|would|will|has|have)\b"
+    r"|\b(whether|true|false|supported|contradict|contradiction|conflict|consistent|inconsistent)\b"
+    "|是否|是不是|能否|可否|有没有|对吗|正确吗|成立吗|支持吗|冲突|矛盾|一致|对比|差异|不同文档"
+)
+_COUNTED = (
+    r"(?i)\b(how many|how much|percent|percentage|accuracy|score|rate|increase|decrease|number|numeric|value|statistics|rank)\b"
+    "|多少|数值|数量|百分比|占比|比例|准确率|得分|分数|指标|增长|下降|排名|统计|表格|平均|最高|最低"
+)
+_NEGATIVE = r"(?i)\b(no|false|not|cannot|can't)\b|不是|不支持|不可以|不存在|没有|无"
+_POSITIVE = r"(?i)\b(yes|true|support|supports|supported)\b|(?<!不)是|(?<!不)支持|(?<!不)可以|(?<!不)存在|(?<!没)有"
+
+
 def page_refs(question: Column) -> Column:
-    return F.transform(F.regexp_extract_all(question, F.lit(r"(?i)\bpage\s+(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    """Page numbers that a question names, as text without leading zeros."""
+    found = [F.regexp_extract_all(question, F.lit(p), F.lit(1)) for p in (r"第\s*(\d+)\s*页", r"(?i)\bpage\s*(\d+)\b", r"(?i)\bp\.?\s*(\d+)\b")]
+    return F.array_distinct(F.transform(F.concat(*found), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")))
 
 
 def numeric_refs(question: Column) -> Column:
-    return F.regexp_extract_all(question, F.lit(r"\d+(?:\.\d+)?%?"), F.lit(0))
+    return F.array_distinct(F.regexp_extract_all(question, F.lit(NUMBER), F.lit(0)))
+
+
+def source_refs(question: Column) -> Column:
+    """File names that a question names."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(question, F.lit(SOURCE), F.lit(0)), lambda x: F.lower(F.trim(x))))
+
+
+def modality_refs(question: Column) -> Column:
+    return F.array_compact(F.array(*[F.when(question.rlike(p), F.lit(m)) for m, p in _MODALITIES.items()]))
 
 
 def keyword_coverage(terms: Column, evidence: Column) -> Column:
@@ -52,7 +85,11 @@ def features(hits: DataFrame) -> DataFrame:
     return out.withColumn("avg_top5", mean).drop("scores")
 
 
-def support_score(values: list[tuple[Column, float]], hits: Column, conflict: Column | None = None) -> Column:
+#: The features of the support score, in the order of ``support_weights``.
+FEATURES = ("top_score", "avg_top5", "score_consistency", "rerank_score", "source_diversity", "slot_coverage", "keyword_coverage")
+
+
+def support_score(values: list[tuple[Column, float | Column]], hits: Column, conflict: Column | None = None) -> Column:
     """Weighted mean of the clipped values, lowered by conflicts, with 4 decimals."""
     total = sum((clip01(v) * w for v, w in values), F.lit(0.0)) / sum(w for _, w in values)
     if conflict is not None:
@@ -66,25 +103,98 @@ def support_level(score: Column, missing: Column, s: Settings = DEFAULTS) -> Col
     )
 
 
-def gate(questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage: float = 0.5, s: Settings = DEFAULTS) -> DataFrame:
-    """Per question (query_id, text): features, support score and level, and the decision.
+def consistency(routes: DataFrame) -> DataFrame:
+    """(query_id, score_consistency): how far the vector and BM25 hits (query_id, channel, node_id, source) agree."""
+    of = lambda channel, c: F.coalesce(F.collect_set(F.when(F.col("channel") == channel, F.col(c))), F.array())
+    got = routes.groupBy("query_id").agg(*[of(k, c).alias(f"{k}_{c}") for k in ("vector", "bm25") for c in ("node_id", "source")])
+    both = F.greatest(overlap_ratio(F.col("vector_node_id"), F.col("bm25_node_id")), 0.5 * overlap_ratio(F.col("vector_source"), F.col("bm25_source")))
+    one = (F.size("vector_node_id") == 0) | (F.size("bm25_node_id") == 0)
+    return got.select("query_id", F.when(one, 0.5).otherwise(both).alias("score_consistency"))
+
+
+def _conflicts(tolerance: float) -> Column:
+    """Reasons from ``first``, the best six hits of a question."""
+    flags = F.transform("first", lambda h: F.struct(h.source.alias("source"), h.text.rlike(_POSITIVE).alias("pos"), h.text.rlike(_NEGATIVE).alias("neg")))
+    any_ = lambda f: F.exists(flags, f)
+    mixed = any_(lambda h: h.pos) & any_(lambda h: h.neg)
+    polar = F.col("cross_doc") | F.col("question").rlike(_POLAR)
+    tables = F.transform("first", lambda h: F.struct(F.concat_ws(":", h.source, h.page).alias("at"), F.regexp_extract_all(h.text, F.lit(NUMBER), F.lit(0)).alias("values")))
+    tables = F.filter(tables, lambda t: F.size(t["values"]) > 0)
+    values = F.array_distinct(F.flatten(F.transform(tables, lambda t: t["values"])))
+    values = number_buckets(values, tolerance) if tolerance > 0 else values
+    asks = (F.size("numbers") > 0) | F.col("question").rlike(_COUNTED)
+    numeric = asks & (F.size(F.array_distinct(F.transform(tables, lambda t: t["at"]))) > 1) & (F.size(values) > 1)
+    found = (
+        (polar & any_(lambda h: h.pos & h.neg), "same_hit_positive_negative"), (polar & mixed, "mixed_positive_negative_evidence"),
+        (numeric, "numeric_value_conflict"), (F.col("cross_doc") & mixed, "cross_source_polarity_conflict"),
+    )
+    return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in found]))
+
+
+def gate(questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage: float = 0.5, s: Settings = DEFAULTS, routes: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
+    """Per question (query_id, text): features, slots, conflicts, support score and level, and the decision.
 
-    A missing hard slot refuses, weak support asks for a retry, the rest passes.
+    hits may also have page, modality and rerank_score; questions may have cross_doc. ``routes``
+    are the hits of the channels, for the consistency. A missing hard slot (hits, or a page, source,
+    number or modality that the question names) refuses, weak support asks for a retry, the rest
+    passes. Without rerank scores their weight is left out.
     """
-    got = questions.select("query_id", keyword_terms(F.col("text")).alias("terms")).join(features(hits), "query_id", "left")
+    for name, kind in (("page", "int"), ("modality", "string"), ("rerank_score", "double")):
+        hits = hits if name in hits.columns else hits.withColumn(name, F.lit(None).cast(kind))
+    hits = hits.withColumns({"score": F.coalesce("rerank_score", "score"), "text": F.concat_ws(" ", "text", "source")})
+    best = F.array_sort(F.collect_list(F.struct("rank", "node_id", "source", F.col("page").cast("string").alias("page"), "text")))
+    seen = hits.groupBy("query_id").agg(
+        best.alias("all"), F.collect_set("modality").alias("modalities"), F.collect_set(F.col("page").cast("string")).alias("pages"), F.max("rerank_score").alias("rerank_score"),
+        F.lower(F.concat_ws(" ", F.collect_set(F.col("source").cast("string")))).alias("sources"),
+    )
+    cross = F.coalesce(F.col("cross_doc"), F.lit(False)) if "cross_doc" in questions.columns else F.lit(False)
+    asked = questions.select("query_id", F.coalesce("text", F.lit("")).alias("question"), cross.alias("cross_doc"))
+    text = F.col("question")
+    asked = asked.withColumns({"terms": keyword_terms(text), "page_refs": page_refs(text), "source_refs": source_refs(text), "modality_refs": modality_refs(text)})
+    asked = asked.withColumn("numbers", F.filter(numeric_refs(text), lambda v: ~F.array_contains("page_refs", F.regexp_replace(v, "%$", ""))))
+    got = asked.join(features(hits), "query_id", "left").join(seen, "query_id", "left")
     got = got.withColumns({"hit_count": F.coalesce("hit_count", F.lit(0)), "top_score": F.coalesce("top_score", F.lit(0.0)), "avg_top5": F.coalesce("avg_top5", F.lit(0.0)), "source_diversity": F.coalesce("source_diversity", F.lit(0.0))})
-    got = got.withColumn("keyword_coverage", F.round(keyword_coverage(F.col("terms"), F.coalesce("evidence", F.lit(""))), 6))
-    missing = F.when(F.col("hit_count") < min_hits, 1).otherwise(0)
-    w = s.support_weights
-    values = [(F.col("top_score"), w[0]), (F.col("avg_top5"), w[1]), (F.col("keyword_coverage"), w[2]), (F.col("source_diversity"), w[3])]
-    got = got.withColumn("support_score", support_score(values, F.col("hit_count"))).withColumn("support_level", support_level(F.col("support_score"), missing, s))
+    got = got.withColumns({"evidence": F.coalesce("evidence", F.lit("")), "sources": F.coalesce("sources", F.lit(""))} | {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("pages", "modalities")})
+    got = got.withColumn("keyword_coverage", F.round(keyword_coverage(F.col("terms"), F.col("evidence")), 6))
+    got = got.join(consistency(routes), "query_id", "left") if routes is not None else got.withColumn("score_consistency", F.lit(None).cast("double"))
+    got = got.withColumn("score_consistency", F.coalesce("score_consistency", F.when(F.col("hit_count") > 0, 0.5).otherwise(0.0)))
+    got = got.withColumn("first", F.slice(F.coalesce("all", F.array()), 1, 6))
+
+    low = F.lower("evidence")
+    absent = [
+        ("hits", F.col("hit_count") < min_hits),
+        ("page", (F.size("page_refs") > 0) & ~F.arrays_overlap("page_refs", "pages")),
+        ("source", F.exists("source_refs", lambda x: ~F.col("sources").contains(x))),
+        ("numeric", (F.size("numbers") > 0) & ~F.exists("numbers", lambda v: low.contains(v))),
+    ]
+    absent += [(f"modality:{m}", F.array_contains("modality_refs", m) & ~F.array_contains("modalities", m)) for m in _MODALITIES]
+    slots = [(F.size("page_refs") > 0) | text.rlike(_PAGE_WORDS), F.size("source_refs") > 0, F.size("numbers") > 0]
+    n_slots = sum((x.cast("int") for x in slots), F.size("modality_refs"))
+    got = got.withColumn("missing_slots", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in absent])))
+    uncovered = F.size(F.filter("missing_slots", lambda x: x != "hits"))
+    got = got.withColumn("slot_coverage", F.when(n_slots == 0, 1.0).otherwise((n_slots - uncovered) / n_slots))
+    got = got.withColumn("conflict_reasons", _conflicts(tolerance))
+    high = F.arrays_overlap("conflict_reasons", F.array(F.lit("same_hit_positive_negative"), F.lit("cross_source_polarity_conflict")))
+    got = got.withColumn("conflict_level", F.when(high, "high").when(F.size("conflict_reasons") > 0, "medium").otherwise("none"))
+
+    values = {name: F.coalesce(name, F.lit(0.0)) for name in FEATURES}
+    values["source_diversity"] = F.when(F.col("cross_doc") | text.rlike(_COMPARES), F.col("source_diversity")).otherwise(1.0)
+    weights = dict(zip(FEATURES, s.support_weights, strict=True))
+    weights["rerank_score"] = F.when(F.col("rerank_score") > 0, weights["rerank_score"]).otherwise(0.0)
+    missing = F.size("missing_slots")
+    score = support_score([(values[name], weights[name]) for name in FEATURES], F.col("hit_count"), F.col("conflict_level"))
+    got = got.withColumn("support_score", score).withColumn("support_level", support_level(F.col("support_score"), missing, s))
     decision = F.when(missing > 0, "refuse").when(F.col("support_level").isin("weak", "none") | (F.col("keyword_coverage") < min_coverage), "retry").otherwise("pass")
-    return got.select("query_id", "hit_count", F.round("top_score", 6).alias("top_score"), F.round("avg_top5", 6).alias("avg_top5"), F.round("source_diversity", 6).alias("source_diversity"), "keyword_coverage", "support_score", "support_level", decision.alias("decision"))
+    return got.select(
+        "query_id", "hit_count", *[F.round(c, 6).alias(c) for c in ("top_score", "avg_top5", "score_consistency", "source_diversity", "slot_coverage")], "keyword_coverage",
+        "missing_slots", "conflict_level", "conflict_reasons", "support_score", "support_level", decision.alias("decision"),
+    )
 
 
 def number_buckets(values: Column, tolerance: float) -> Column:
-    """Numbers that count as one: half-even rounding to multiples of the tolerance."""
-    return F.array_distinct(F.transform(values, lambda v: F.bround(F.regexp_replace(v, "%", "").cast("double") / tolerance).cast("bigint")))
+    """Numbers that count as one: half-even rounding to multiples of the tolerance; percentages stay apart."""
+    bucket = lambda v: F.bround(F.regexp_replace(v, "%", "").cast("double") / tolerance).cast("bigint").cast("string")
+    return F.array_distinct(F.transform(values, lambda v: F.concat(bucket(v), F.when(v.endswith("%"), "%").otherwise(""))))
 
 
 def evidence_gain(old: Column, new: Column) -> Column:

@@ -55,7 +55,13 @@ class Corpus:
 
     def scored_texts(self) -> DataFrame:
         hits = self.scored().select("query_id", "node_id", "rank", F.col("score_composite").alias("score"))
-        return hits.join(self.nodes.select("node_id", "source", "text"), "node_id")
+        return hits.join(self.nodes.select("node_id", "source", "page", "text"), "node_id")
+
+    def routes(self) -> DataFrame:
+        """(query_id, channel, node_id, source): the hits of each channel before fusion."""
+        channels = {"vector": self.cover(), "bm25": lexical.search(self.index, self.questions)}
+        vector, bm25 = (hits.select("query_id", F.lit(name).alias("channel"), "node_id") for name, hits in channels.items())
+        return vector.union(bm25).join(self.nodes.select("node_id", "source"), "node_id")
 
     def relevant(self) -> DataFrame:
         """(query_id, doc_id) of documents that contain the question's passage, all of it."""

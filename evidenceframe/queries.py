@@ -436,7 +436,7 @@ def evd03_features(spark, sf_dir):
 @query()
 def evd02_gate(spark, sf_dir):
     c = Corpus(spark, sf_dir)
-    return evidence.gate(c.questions, c.scored_texts())
+    return evidence.gate(c.questions, c.scored_texts(), routes=c.routes())
 
 
 # Events

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from evidenceframe.operators import metrics
+from evidenceframe.operators import evidence, metrics
 from evidenceframe.plans.retrieval import Corpus
 
 
@@ -54,3 +54,22 @@ def test_region_areas_equal_brute_force(spark):
         assert got[i] == pytest.approx(region_truth(h, s), abs=1e-6)
     assert got[90][1:4] == pytest.approx([0.5, 1.0, 2 / 3], abs=1e-6) and got[91][1:3] == [1.0, 1.0]
     assert got[95] == got[96] == got[97] == [None] * 8
+
+
+def test_gate_slots_weights_and_conflicts(spark):
+    asked = {1: "alpha on page 3", 2: "alpha on page 9", 3: "alpha in 2021", 4: "alpha in 1999", 5: "b.pdf", 6: "z.pdf", 7: "is alpha supported", 8: "how many alpha", 9: "alpha", 10: "chart of alpha", 11: "is alpha so"}
+    hit = lambda q, n, t: (q, f"n{n}", f"{'ab'[n]}.pdf", 0.8, n + 1, t, 3)
+    texts = {q: ("alpha in 2021", "alpha") for q in asked} | {7: ("alpha yes", "alpha not"), 8: ("alpha 10", "alpha 20"), 11: ("alpha true, not false", "alpha")}
+    hits = spark.createDataFrame([hit(q, n, t) for q, both in texts.items() for n, t in enumerate(both)], "query_id long, node_id string, source string, score double, rank int, text string, page int")
+    routes = spark.createDataFrame([(9, "vector", "n0", "a.pdf"), (9, "vector", "n1", "b.pdf"), (9, "bm25", "n1", "b.pdf"), (9, "bm25", "n2", "c.pdf")], "query_id long, channel string, node_id string, source string")
+    got = {r.query_id: r for r in evidence.gate(spark.createDataFrame(list(asked.items()), "query_id long, text string"), hits, routes=routes).collect()}
+    missing = {2: ["page"], 4: ["numeric"], 6: ["source"], 10: ["modality:image"]}
+    assert {q: r.missing_slots for q, r in got.items()} == {q: missing.get(q, []) for q in asked}
+    assert {q for q, r in got.items() if r.decision == "refuse"} == set(missing)
+    assert [got[q].conflict_level for q in (7, 8, 9, 11)] == ["medium", "medium", "none", "high"]
+    # rerank is left out: the other six weights add up to 0.9
+    score = lambda consistency, slots, keyword, factor: round((0.3 * 0.8 + 0.2 * 0.8 + 0.15 * consistency + 0.1 + 0.1 * slots + 0.05 * keyword) / 0.9 * factor, 4)
+    assert got[9].support_score == pytest.approx(score(0.5, 1, 1, 1), abs=1e-4)
+    assert got[2].support_score == pytest.approx(score(0.5, 0, got[2].keyword_coverage, 1), abs=1e-4)
+    assert got[7].support_score == pytest.approx(score(0.5, 1, got[7].keyword_coverage, 0.95), abs=1e-4)
+    assert got[11].support_score == pytest.approx(score(0.5, 1, got[11].keyword_coverage, 0.9), abs=1e-4)
