@@ -260,7 +260,7 @@ def _led(percent: int):
     def run(batches):
         for batch in batches:
             a, na, xa, b, nb, xb = (column_of(batch, c) for c in ("a", "na", "xa", "b", "nb", "xb"))
-            rows = [(p, q, may_link(n, x, m, y, percent)) for p, n, x, q, m, y in zip(a, na, xa, b, nb, xb, strict=True) if may_link(n, x, m, y, CLOSE)]
+            rows = [(p, q, may_link(n, x, m, y, percent)) for p, n, x, q, m, y in zip(a, na, xa, b, nb, xb, strict=True) if may_link(n, x, m, y, min(CLOSE, percent))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "may"])
 
     return run
