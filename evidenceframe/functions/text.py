@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,30 @@ from pyspark.sql import functions as F
 TOKEN = r"[一-鿿]|[a-zA-Z0-9_]+"
 
 
+#: Fixed value: a CJK character, or words of ASCII letters and digits joined by hyphens and underscores.
+MIXED = r"[一-鿿]|[a-zA-Z0-9_]+(?:[-_][a-zA-Z0-9_]+)*"
+
+
+def folded(text: Column) -> Column:
+    """Compatibility form (NFKC) in lower case; null is empty. The form is beyond the built-in functions."""
+
+    @F.arrow_udf("string")
+    def nfkc(x: pa.Array) -> pa.Array:
+        return pa.array([t if t.isascii() else unicodedata.normalize("NFKC", t).lower() for t in x.to_pylist()], pa.string())
+
+    return nfkc(F.lower(F.coalesce(text, F.lit(""))))
+
+
+def mixed_tokens(text: Column) -> Column:
+    """Tokens that keep hyphenated words whole."""
+    return F.regexp_extract_all(folded(text), F.lit(MIXED), F.lit(0))
+
+
+def normal_text(text: Column) -> Column:
+    """Letters, digits and underscores of any script, in compatibility form and lower case."""
+    return F.regexp_replace(folded(text), r"(?U)[^\p{L}\p{N}_]+", "")
+
+
 def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 

@@ -21,7 +21,9 @@ def rrf(channels: list[tuple[str, DataFrame]], k: int = DEFAULTS.rrf_k, top: int
         part = hits.select("query_id", "node_id", F.col("score").cast("double").alias("score"), F.col("rank").cast("int").alias("r"), F.lit(at).alias("at"), F.lit(name).alias("channel"))
         stacked = part if stacked is None else stacked.unionByName(part)
     order = F.struct("at", "r")
-    fused = stacked.groupBy("query_id", "node_id").agg(
+    # Spark 4.1 takes a union of equally partitioned inputs as partitioned alike, which it is not once
+    # adaptive execution has coalesced them; so the exchange of the aggregation is asked for.
+    fused = stacked.repartition("query_id", "node_id").groupBy("query_id", "node_id").agg(
         F.round(F.sum(1.0 / (k + F.col("r"))), 9).alias("score_rrf"),
         F.max(F.when(F.col("channel") == "vector", F.col("score"))).alias("score_vector"),
         F.max(F.when(F.col("channel") == "bm25", F.col("score"))).alias("score_bm25"),
@@ -52,21 +54,40 @@ def weighted(parts: list[tuple[Column, float]]) -> Column:
 
 
 def composite(hits: DataFrame, stage: str = "initial", s: Settings = DEFAULTS) -> DataFrame:
-    """Add score_composite. A hit without a vector score uses its fused score in that place."""
+    """Add score_composite for a stage: initial, rerank, final, or a retry.
+
+    The weighted mean of the components that a hit has. A hit without a vector score uses its own
+    score in that place (the fused one where there is no ``score``). A final stage keeps a composite
+    that is there. A hit that a relation brought, and that has no other component, keeps what it
+    inherited. In a rerank, hits of a low prior score are lowered.
+    """
     has = set(hits.columns)
-    col = lambda c: F.col(c) if c in has else F.lit(None).cast("double")
-    full = hits.withColumns({c: col(c) for c in ("rerank_score", "inherited_score", "agent_score")})
-    vector = clip01(F.coalesce("score_vector", "score_rrf"))
-    clip = lambda c: F.when(F.col(c).isNotNull(), clip01(F.col(c)))
+    names = ("score_vector", "score_bm25", "score_rrf", "rerank_score", "inherited_score", "agent_score", "score_composite", "score_composite_prior")
+    full = hits.withColumns({c: (F.col(c) if c in has else F.lit(None)).cast("double") for c in names} | {"score_policy": F.col("score_policy") if "score_policy" in has else F.lit(None).cast("string")})
+    clip = lambda c: F.when(c.isNotNull(), clip01(c))
+    vector = clip(F.coalesce("score_vector", "score" if "score" in has else "score_rrf"))
+    normed = full.withColumns({"__vector": vector, "__bm25": min_max("score_bm25"), "__rrf": min_max("score_rrf"), "__rerank": rerank_norm("rerank_score")})
+    late = stage in ("rerank", "final", "final_after_retry")
     parts = [
-        (vector, s.weights["vector"]), (min_max("score_bm25"), s.weights["bm25"]), (min_max("score_rrf"), s.weights["rrf"]),
-        (rerank_norm("rerank_score"), s.weights["rerank"] if stage == "rerank" else 0.0),
-        (clip("inherited_score"), s.weights["relationship"]), (clip("agent_score"), s.weights["agent"]),
+        (F.col("__vector"), s.weights["vector"]), (F.col("__bm25"), s.weights["bm25"]), (F.col("__rrf"), s.weights["rrf"]), (F.col("__rerank"), s.weights["rerank"] if late else 0.0),
+        (clip(F.col("inherited_score")), s.weights["relationship"]), (clip(F.col("agent_score")), s.weights["agent"]),
     ]
     score = weighted([(v, w) for v, w in parts if w > 0])
-    if stage == "rerank" and "score_composite_prior" in has:
+    if stage == "rerank":
         score = F.when(F.col("score_composite_prior") < s.prior_min, score * s.prior_penalty).otherwise(score)
-    return full.withColumn("score_composite", F.round(score, 6))
+    alone = (F.coalesce("__vector", F.lit(0.0)) == 0) & F.col("__bm25").isNull() & F.col("__rrf").isNull() & F.col("__rerank").isNull()
+    inherits = (F.col("score_policy") == "inherited_relationship_v1") & F.col("inherited_score").isNotNull() & alone
+    score = F.when(inherits, F.col("inherited_score")).otherwise(score)
+    if stage.startswith("final"):
+        score = F.coalesce("score_composite", score)
+    out = normed.withColumn("score_composite", F.round(score, 6)).drop("__vector", "__bm25", "__rrf", "__rerank")
+    return out.drop(*[c for c in ("score_composite_prior", "score_policy") if c not in has])
+
+
+def threshold_of(stage: Column, s: Settings = DEFAULTS) -> Column:
+    """The least composite score that a stage lets pass."""
+    late = (stage == "rerank") | (stage.startswith("retry") & stage.contains("rerank"))
+    return F.when(late, s.rerank_threshold).when(stage == "final", s.final_threshold).otherwise(s.initial_threshold)
 
 
 def split_by_threshold(hits: DataFrame, threshold: float) -> DataFrame:
@@ -87,8 +108,3 @@ def merge_variants(hits: DataFrame) -> DataFrame:
         F.max("score").alias("score"), F.count("*").alias("variant_hits"), F.array_sort(F.collect_set("variant")).alias("variants")
     )
 
-
-def distinct_hits(hits: DataFrame) -> DataFrame:
-    """The first hit of each node by rank."""
-    w = Window.partitionBy("query_id", "node_id").orderBy("rank")
-    return hits.withColumn("seen", F.row_number().over(w)).where("seen = 1").drop("seen")

@@ -7,19 +7,74 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip01
 
-# Weight and priority of each relation.
+# Weight, priority and family of each relation, in the order in which a node's edges are followed.
 RELATIONS = {
-    "related_table_node_ids": (0.90, 100),
-    "related_formula_node_ids": (0.85, 100),
-    "related_image_node_ids": (0.80, 100),
-    "context_node_ids": (0.60, 80),
-    "context_prev_node_id": (0.60, 80),
-    "context_next_node_id": (0.60, 80),
-    "prev_id": (0.50, 60),
-    "next_id": (0.50, 60),
-    "same_page_node_ids": (0.30, 40),
-    "page_window": (0.30, 20),
+    "prev_id": (0.50, 60, "context"),
+    "next_id": (0.50, 60, "context"),
+    "context_prev_node_id": (0.60, 80, "context"),
+    "context_next_node_id": (0.60, 80, "context"),
+    "context_node_ids": (0.60, 80, "context"),
+    "parent_id": (0.60, 30, "structure"),
+    "child_ids": (0.60, 30, "structure"),
+    "doc_prev_node_id": (0.50, 30, "structure"),
+    "doc_next_node_id": (0.50, 30, "structure"),
+    "same_page_node_ids": (0.30, 40, "page"),
+    "page_window": (0.30, 20, "page"),
+    "related_table_node_ids": (0.90, 100, "related"),
+    "related_formula_node_ids": (0.85, 100, "related"),
+    "related_image_node_ids": (0.80, 100, "related"),
 }
+# Weight and priority of any other relation; seed scores and ranks by family, then for page and structure by mode.
+OTHER = (0.60, 10, "other")
+SEEDS = {"related": (0.30, 6), "context": (0.45, 4), "routed": (0.55, 3), "retry": (0.55, 3)}
+CROSS_REASONS = ("need_cross_doc", "possible_conflict", "numeric_value_conflict", "cross_source_polarity_conflict")
+
+
+def _of_relation(relation: Column, at: int) -> Column:
+    out = F.lit(OTHER[at])
+    for name, row in RELATIONS.items():
+        out = F.when(relation == name, row[at]).otherwise(out)
+    return out
+
+
+def relation_weight(relation: Column) -> Column:
+    return _of_relation(relation, 0)
+
+
+def relation_priority(relation: Column) -> Column:
+    return _of_relation(relation, 1)
+
+
+def relation_family(relation: Column) -> Column:
+    return _of_relation(relation, 2)
+
+
+def allowed_in_mode(relation: Column, mode: Column, reason: Column) -> Column:
+    """Whether a mode follows a relation: auto only to related and context nodes; retry not to related ones, and
+    along the structure only for a conflict; routed everywhere."""
+    family = relation_family(relation)
+    retry = family.isin("context", "page") | ((family == "structure") & F.coalesce(reason.isin(*CROSS_REASONS), F.lit(False)))
+    return F.when(mode == "auto", family.isin("related", "context")).when(mode == "retry", retry).otherwise(family != "other")
+
+
+def candidate_pool(relation: Column, mode: Column) -> Column:
+    """The pool whose caps count for a relation."""
+    family = relation_family(relation)
+    far = family.isin("page", "structure") & mode.isin("routed", "retry")
+    return F.when(family == "related", "related_modality").when(far, mode).when(family == "context", "context").otherwise("relationship")
+
+
+def seed_threshold(relation: Column, mode: Column) -> Column:
+    """The least score of a seed that a relation is followed from; null where there is none."""
+    family = relation_family(relation)
+    by_family = F.when(family == "related", SEEDS["related"][0]).when(family == "context", SEEDS["context"][0])
+    return F.coalesce(by_family, F.when(mode == "routed", SEEDS["routed"][0]).when(mode == "retry", SEEDS["retry"][0]))
+
+
+def inherited_score(seed: Column, relation: Column, own: Column) -> Column:
+    """What a neighbour inherits: the seed's score by the relation's weight, mixed with its own composite if that is more."""
+    passed = clip01(seed * relation_weight(relation))
+    return F.greatest(passed, F.coalesce(own * 0.2 + passed * 0.8, passed))
 
 
 def adjacent_edges(nodes: DataFrame) -> DataFrame:
@@ -49,20 +104,6 @@ def nearest_text(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", "modality", before.alias("context_prev_node_id"), after.alias("context_next_node_id")).where("modality <> 'text'").drop("modality")
 
 
-def relation_weight(relation: Column) -> Column:
-    out = F.lit(0.3)
-    for name, (weight, _) in RELATIONS.items():
-        out = F.when(relation == name, weight).otherwise(out)
-    return out
-
-
-def relation_priority(relation: Column) -> Column:
-    out = F.lit(10)
-    for name, (_, priority) in RELATIONS.items():
-        out = F.when(relation == name, priority).otherwise(out)
-    return out
-
-
 def expand(seeds: DataFrame, edges: DataFrame, floor: float = 0.45, seed_ranks: int = 4, per_seed: int = 2) -> DataFrame:
     """Neighbours of seeds (query_id, node_id, score_composite, rank) with the score they inherit.
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import area, intersection, iou, union_area
-from ..functions.text import safe_div, tokens
+from ..functions.text import mixed_tokens, safe_div
 
 
 def ranking_metrics(ranked: DataFrame, totals: DataFrame, k: int = 10) -> DataFrame:
@@ -35,16 +35,19 @@ def ranking_metrics(ranked: DataFrame, totals: DataFrame, k: int = 10) -> DataFr
 
 
 def token_overlap(pairs: DataFrame, left: str = "prediction", right: str = "reference") -> DataFrame:
-    """Precision, recall and F1 of the multisets of tokens of two columns, keyed by case_id."""
-    a = pairs.select("case_id", F.explode(tokens(F.col(left))).alias("t")).groupBy("case_id", "t").agg(F.count("*").alias("a"))
-    b = pairs.select("case_id", F.explode(tokens(F.col(right))).alias("t")).groupBy("case_id", "t").agg(F.count("*").alias("b"))
-    both = a.join(b, ["case_id", "t"]).groupBy("case_id").agg(F.sum(F.least("a", "b")).alias("both"))
-    sizes = pairs.select("case_id", F.size(tokens(F.col(left))).alias("na"), F.size(tokens(F.col(right))).alias("nb"))
-    out = sizes.join(both, "case_id", "left").withColumn("both", F.coalesce("both", F.lit(0)))
-    empty = (F.col("na") == 0) & (F.col("nb") == 0)
-    p = F.when(empty, 1.0).otherwise(safe_div(F.col("both").cast("double"), F.col("na")))
-    q = F.when(empty, 1.0).otherwise(safe_div(F.col("both").cast("double"), F.col("nb")))
-    return out.select("case_id", F.round(p, 6).alias("token_precision"), F.round(q, 6).alias("token_recall"), F.round(safe_div(2 * p * q, p + q), 6).alias("token_f1"))
+    """(case_id, token_precision, token_recall, token_f1) of the multisets of tokens of two columns.
+
+    A pair is one row, so the common tokens are counted there: both lists are sorted by token and
+    number of repetition, and what they have in common is their intersection. Two empty texts agree.
+    """
+    numbered = lambda c: F.transform(c, lambda t, i: F.concat(t, F.lit("#"), (i - F.array_position(c, t)).cast("string")))
+    rows = pairs.select("case_id", F.array_sort(mixed_tokens(F.col(left))).alias("l"), F.array_sort(mixed_tokens(F.col(right))).alias("r"))
+    both = F.size(F.array_intersect(numbered(F.col("l")), numbered(F.col("r")))).cast("double")
+    rows = rows.select("case_id", F.size("l").alias("nl"), F.size("r").alias("nr"), both.alias("both"))
+    empty = (F.col("nl") == 0) & (F.col("nr") == 0)
+    p = F.when(empty, 1.0).otherwise(safe_div(F.col("both"), F.col("nl")))
+    q = F.when(empty, 1.0).otherwise(safe_div(F.col("both"), F.col("nr")))
+    return rows.select("case_id", F.round(p, 6).alias("token_precision"), F.round(q, 6).alias("token_recall"), F.round(safe_div(2 * p * q, p + q), 6).alias("token_f1"))
 
 
 def region_metrics(hits: DataFrame, regions: DataFrame, relevant: float = 0.5, counted: float = 0.1) -> DataFrame:

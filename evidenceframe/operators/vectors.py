@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import mixed_tokens
 from ..settings import DEFAULTS
 from .lexical import ranked
 
-#: Query vectors that go to the tasks at a time.
-BLOCK = 2_048
+#: Query vectors that go to the tasks at a time, and that are scored at a time there.
+BLOCK, STEP = 65_536, 512
 
 
 def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
@@ -25,60 +27,109 @@ def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
     return np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k, metric: str = "cosine") -> DataFrame:
-    """(query_id, vec_id, score, rank): the k best of ``vectors`` (vec_id, embedding) for each query.
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = DEFAULTS.top_k, metric: str = "cosine", key: str = "vec_id") -> DataFrame:
+    """(query_id, key, score, rank): the k best of ``vectors`` (key, embedding) for each query.
 
-    Queries go to the tasks in blocks of ``BLOCK``; each task returns its k best for each query, and
-    one window ranks what the tasks return. Scores have 6 decimals, ties go by vec_id.
+    Queries go to the tasks as Arrow, ``BLOCK`` at a time; each task returns its k best for each
+    query, and one window ranks what the tasks return. Scores have 6 decimals, ties go by the key.
+    Rows whose embedding is null or holds a null are left out. Keys and ids are of any type.
     """
-    spark = vectors.sparkSession
-    total = queries.count()
-    numbered = queries.select("query_id", F.col("embedding").alias("q"), F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-total // BLOCK)))).alias("block"))
-    out = spark.createDataFrame([], "query_id long, vec_id long, score double")
-    for block in range(max(1, -(-total // BLOCK))):
-        rows = numbered.where(F.col("block") == block).collect()
-        if not rows:
+    whole = lambda c: F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull())
+    queries = queries.where(whole("embedding")).select("query_id", F.col("embedding").alias("q"))
+    vectors = vectors.where(whole("embedding")).select(key, "embedding")
+    blocks = max(1, -(-queries.count() // BLOCK))
+    schema = f"query_id {queries.schema['query_id'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
+    out = vectors.sparkSession.createDataFrame([], schema)
+    for block in range(blocks):
+        table = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
+        if not table.num_rows:
             continue
-        ids = np.array([r["query_id"] for r in rows])
-        q = np.array([r["q"] for r in rows], np.float64)
-
-        def best(batches, ids=ids, q=q):
-            kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for batch in batches:
-                v = np.array(batch.column("vec_id").to_pylist(), np.int64)
-                if not len(v):
-                    continue
-                x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
-                s = np.round(_scores(x, q, metric), 6) + 0.0
-                order = np.lexsort((np.broadcast_to(v, s.shape), -s))[:, :k]
-                rows = np.repeat(np.arange(len(q)), order.shape[1])
+        ids = pa.concat_arrays(table.column("query_id").chunks)
+        q = np.array(table.column("q").to_pylist(), np.float64)
+        out = out.union(vectors.mapInArrow(_best(ids, q, k, metric, key), schema))
+    return ranked(out, "score", k, key)
+
+
+def _best(ids: pa.Array, q: np.ndarray, k: int, metric: str, key: str):
+    def run(batches):
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            v = np.array(batch.column(key).to_pylist())
+            if not len(v):
+                continue
+            x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(v), -1)
+            by_key = np.argsort(np.argsort(v, kind="stable"), kind="stable")
+            for first in range(0, len(q), STEP):
+                s = np.round(_scores(x, q[first : first + STEP], metric), 6) + 0.0
+                order = np.lexsort((np.broadcast_to(by_key, s.shape), -s))[:, :k]
+                rows = np.repeat(np.arange(first, first + len(s)), order.shape[1])
                 kept.append((rows, v[order.ravel()], np.take_along_axis(s, order, 1).ravel()))
-            if kept:
-                r, v, s = (np.concatenate(x) for x in zip(*kept, strict=True))
-                order = np.lexsort((v, -s, r))
-                r, v, s = r[order], v[order], s[order]
-                place = np.arange(len(r)) - np.searchsorted(r, r)
-                keep = place < k
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r[keep]]), pa.array(v[keep]), pa.array(s[keep])], names=["query_id", "vec_id", "score"])
-
-        out = out.union(vectors.select("vec_id", "embedding").mapInArrow(best, "query_id long, vec_id long, score double"))
-    return ranked(out, "score", k, "vec_id")
-
-
-def with_floor(hits: DataFrame, floor: float = DEFAULTS.min_vector_score) -> DataFrame:
-    """Hits at or above the floor; a query of which none is keeps all of them."""
-    good = hits.where(F.col("score") >= floor)
-    return good.unionByName(hits.join(good.select("query_id").distinct(), "query_id", "left_anti"))
-
-
-def hash_embedding(texts: DataFrame, dim: int, key: str = "node_id") -> DataFrame:
-    """(key, bucket, value): each token adds +1 or -1 to a bucket of its MD5; rows have length 1."""
-    digest = F.md5(F.col("term"))
-    bucket = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % dim).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
-    sums = texts.select(key, F.explode(tokens(F.col("text"))).alias("term")).groupBy(key, bucket.alias("bucket")).agg(F.sum(sign).alias("v")).where("v <> 0")
-    norms = sums.groupBy(key).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, key).select(key, "bucket", F.round(F.col("v") / F.col("norm"), 6).alias("value"))
+            kept = [_first(kept, k)]
+        if kept:
+            r, v, s = kept[0]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), pa.array(v.tolist()), pa.array(s)], names=["query_id", key, "score"])
+
+    return run
+
+
+def _first(kept: list[tuple], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query among (query, key, score)."""
+    r, v, s = (np.concatenate(x) for x in zip(*kept, strict=True))
+    order = np.lexsort((v, -s, r))
+    r, v, s = r[order], v[order], s[order]
+    keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+    return r[keep], v[keep], s[keep]
+
+
+def store_filter(filters: dict[str, object] | None) -> Column:
+    """Conditions of a vector search: every key must match, a list by any of its values, by their text; None is no condition."""
+    out = F.lit(True)
+    for key, value in (filters or {}).items():
+        if value is not None:
+            wanted = [str(v) for v in value] if isinstance(value, list | tuple) else [str(value)]
+            out = out & F.coalesce(F.col(key.removeprefix("metadata.")).cast("string").isin(wanted), F.lit(False))
+    return out
+
+
+def with_fallback(filtered: DataFrame, unfiltered: DataFrame, floor: float = DEFAULTS.min_vector_score) -> DataFrame:
+    """Hits of a filtered search at or above the floor, with ``fallback_used``.
+
+    A query that has none takes those of the search without the filter, at the floor as well.
+    """
+    good = filtered.where(F.col("score") >= floor).withColumn("fallback_used", F.lit(False))
+    other = unfiltered.where(F.col("score") >= floor).withColumn("fallback_used", F.lit(True))
+    return good.unionByName(other.join(good.select("query_id").distinct(), "query_id", "left_anti"))
+
+
+def hash_vectors(texts: DataFrame, dim: int, key: str = "node_id") -> DataFrame:
+    """(key, embedding): each token adds +1 or -1 to a bucket of its MD5; rows have length 1.
+
+    A text without tokens, or whose signs cancel, has zeros.
+    """
+
+    def run(batches):
+        known: dict[str, tuple[int, float]] = {}
+
+        def place(token: str) -> tuple[int, float]:
+            if token not in known:
+                if len(known) > 100_000:
+                    known.clear()
+                digest = hashlib.md5(token.encode()).digest()
+                known[token] = int.from_bytes(digest[:4], "big") % dim, 1.0 if digest[4] % 2 == 0 else -1.0
+            return known[token]
+
+        for batch in batches:
+            rows = []
+            for words in batch.column("words").to_pylist():
+                v = np.zeros(dim)
+                for at, sign in map(place, words):
+                    v[at] += sign
+                norm = np.sqrt((v * v).sum())
+                rows.append((v / norm if norm else v).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(rows, pa.list_(pa.float64()))], names=[key, "embedding"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, mixed_tokens(F.col("text")).alias("words")).mapInArrow(run, f"{key} {kind}, embedding array<double>")
 
 
 def merged(vectors: DataFrame, key: str = "node_id") -> DataFrame:

@@ -7,12 +7,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import store
 from ..functions.text import tokens
-from ..operators import chunking, fusion, lexical, metrics
+from ..operators import chunking, fusion, lexical, metrics, vectors
+from ..settings import DEFAULTS
 
 
 class Corpus:
-    """Lazy DataFrames of one corpus; nothing runs until a result is asked for."""
+    """One corpus: nodes, indexes and results. Nodes, postings and vectors are built on first use and
+    kept in the shared folder for the session, so that a corpus is chunked and tokenised once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -24,9 +27,13 @@ class Corpus:
     def documents(self) -> DataFrame:
         return self.table("documents")
 
+    @cached_property
+    def mark(self) -> str:
+        return store.fingerprint(self.spark, [f"{self.dir}/documents.parquet"], DEFAULTS)
+
     @cached_property
     def nodes(self) -> DataFrame:
-        return chunking.text_nodes(self.documents)
+        return store.built(self.spark, "nodes", self.mark, lambda: chunking.text_nodes(self.documents))
 
     @cached_property
     def questions(self) -> DataFrame:
@@ -34,7 +41,22 @@ class Corpus:
 
     @cached_property
     def index(self) -> lexical.Bm25Index:
-        return lexical.build(self.nodes)
+        made = lexical.build(self.nodes)
+        postings = store.built(self.spark, "postings", self.mark, lambda: made.postings)
+        terms = store.built(self.spark, "terms", self.mark, lambda: lexical.terms_of(postings))
+        return lexical.Bm25Index(postings, terms, store.built(self.spark, "corpus", self.mark, lambda: made.corpus))
+
+    @cached_property
+    def vectors(self) -> DataFrame:
+        """(node_id, embedding): the offline provider, hashed tokens."""
+        return store.built(self.spark, "vectors", self.mark, lambda: vectors.hash_vectors(self.nodes, DEFAULTS.hash_dim))
+
+    def asked_vectors(self) -> DataFrame:
+        return vectors.hash_vectors(self.questions, DEFAULTS.hash_dim, "query_id")
+
+    def vector(self, k: int = DEFAULTS.top_k) -> DataFrame:
+        """The vector channel: (query_id, node_id, score, rank) by cosine, at the least score or above."""
+        return vectors.top_k(self.vectors, self.asked_vectors(), k, key="node_id").where(F.col("score") >= DEFAULTS.min_vector_score)
 
     def bm25(self) -> lexical.Bm25Index:
         return self.index
@@ -43,12 +65,12 @@ class Corpus:
         """Nodes by the share of the question's distinct terms that they hold."""
         asked = self.questions.select("query_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
         size = asked.groupBy("query_id").agg(F.count("*").alias("nq"))
-        both = self.index.postings.join(asked, "term").groupBy("query_id", "node_id").agg(F.count("*").alias("both"))
+        both = self.index.postings.join(lexical.small(asked), "term").groupBy("query_id", "node_id").agg(F.count("*").alias("both"))
         hits = both.join(size, "query_id").select("query_id", "node_id", F.round(F.col("both") / F.col("nq"), 6).alias("score"))
         return lexical.ranked(hits, "score", k, "node_id")
 
     def fused(self) -> DataFrame:
-        return fusion.rrf([("vector", self.cover()), ("bm25", lexical.search(self.index, self.questions))])
+        return fusion.rrf([("vector", self.vector()), ("bm25", lexical.search(self.index, self.questions))])
 
     def scored(self) -> DataFrame:
         return fusion.composite(self.fused())
@@ -59,15 +81,30 @@ class Corpus:
 
     def routes(self) -> DataFrame:
         """(query_id, channel, node_id, source): the hits of each channel before fusion."""
-        channels = {"vector": self.cover(), "bm25": lexical.search(self.index, self.questions)}
+        channels = {"vector": self.vector(), "bm25": lexical.search(self.index, self.questions)}
         vector, bm25 = (hits.select("query_id", F.lit(name).alias("channel"), "node_id") for name, hits in channels.items())
-        return vector.union(bm25).join(self.nodes.select("node_id", "source"), "node_id")
+        # dealt again, as Spark 4.1 may take the union for partitioned by query
+        return vector.union(bm25).repartition("query_id").join(self.nodes.select("node_id", "source"), "node_id")
 
     def relevant(self) -> DataFrame:
-        """(query_id, doc_id) of documents that contain the question's passage, all of it."""
-        asked = self.questions.select("query_id", F.col("text").alias("passage"))
-        # the passages are a few; each document is tested against all of them in one pass
-        return self.documents.select("doc_id", "text").join(F.broadcast(asked), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+        """(query_id, doc_id) of documents that contain the question's passage, all of it.
+
+        A passage is found by three tokens that follow one another inside it, which a document that
+        contains it has too; only those documents are searched for the whole passage. Passages of
+        fewer than five tokens have no such three, and are looked for in every document.
+        """
+        asked = self.questions.select("query_id", F.col("text").alias("passage"), tokens(F.col("text")).alias("w"))
+        key = lambda w, i: F.xxhash64(F.concat_ws(" ", F.slice(w, i + 1, F.lit(3))))
+        long = lexical.small(asked.where(F.size("w") >= 5).select("query_id", "passage", key(F.col("w"), F.lit(1)).alias("key")))
+        words = self.documents.select("doc_id", tokens(F.col("text")).alias("w")).where(F.size("w") >= 3)
+        grams = words.select("doc_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 3), lambda i: key(F.col("w"), i)))).alias("key"))
+        near = grams.join(long, "key").select("doc_id", "query_id", "passage")
+        near = self.documents.select("doc_id", "text").join(lexical.small(near), "doc_id").where(F.col("text").contains(F.col("passage")))
+        brief = asked.where(F.size("w") < 5).select("query_id", "passage")
+        found = near.select("query_id", "doc_id")
+        if not brief.limit(1).count():
+            return found
+        return found.union(self.documents.join(lexical.small(brief), F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"))
 
     def ranking_metrics(self, k: int = 10) -> DataFrame:
         right = self.relevant()

@@ -51,6 +51,17 @@ postings AS (SELECT term, node_id, any_value(doc_id) AS doc_id, any_value(len(wo
 terms AS (SELECT term, count(*) AS df FROM postings GROUP BY term),
 corpus AS (SELECT count(*) AS n, avg(len(words)) AS avgdl FROM words)
 """
+MIXED = r"regexp_extract_all(lower({}), '[\x{{4e00}}-\x{{9fff}}]|[a-zA-Z0-9_]+(?:[-_][a-zA-Z0-9_]+)*')"
+HASHED = """
+{0}t AS (SELECT {1}, md5(unnest({2})) AS d FROM {3}),
+{0}s AS (SELECT {1}, CAST('0x' || substring(d, 1, 8) AS BIGINT) % {4} AS bucket, sum(CASE WHEN CAST('0x' || substring(d, 9, 2) AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM {0}t GROUP BY ALL),
+{0}v AS (SELECT {1}, bucket, v / sqrt(sum(v * v) OVER (PARTITION BY {1})) AS v FROM {0}s QUALIFY sum(v * v) OVER (PARTITION BY {1}) > 0)
+"""
+VECTOR = f"""
+{HASHED.format("n", "node_id", MIXED.format("text"), "nodes", 128)}, {HASHED.format("q", "item_id", MIXED.format("text"), "benchmark", 128)},
+dots AS (SELECT item_id AS query_id, node_id, round(sum(qv.v * nv.v), 6) AS score FROM qv JOIN nv USING (bucket) GROUP BY ALL),
+vec AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM dots WHERE score >= 0.15 QUALIFY rank <= 12)
+"""
 ASKED = f"""
 asked AS (SELECT query_id, term, count(*) AS qf FROM (SELECT item_id AS query_id, unnest({TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL)
 """
@@ -189,17 +200,42 @@ def vec01_euclid_topk(spark, sf_dir):
     return _vector(spark, sf_dir, "euclid")
 
 
-@query(f"""WITH h AS ({_vector_sql('list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[])')}), g AS (SELECT * FROM h WHERE rank > 1), good AS (SELECT * FROM g WHERE score >= 0.8)
-SELECT * FROM good UNION ALL SELECT * FROM g WHERE query_id NOT IN (SELECT query_id FROM good)""")
-def flt03_score_floor(spark, sf_dir):
-    return vectors.with_floor(_vector(spark, sf_dir, "cosine").where("rank > 1"), 0.8)
+def _some_labels(labels: str) -> str:
+    return f"""SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) + 0.0 AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) DESC, v.vec_id) AS rank
+  FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 {labels}) WHERE rank <= 12"""
+
+
+@query(f"""WITH f AS (SELECT * FROM ({_some_labels("AND CAST(v.label AS VARCHAR) IN ('1', '2', '3')")}) WHERE score >= 0.5), w AS (SELECT * FROM ({_some_labels("")}) WHERE score >= 0.5)
+SELECT *, false AS fallback_used FROM f UNION ALL SELECT *, true FROM w WHERE query_id NOT IN (SELECT query_id FROM f)""")
+def flt03_filter_fallback(spark, sf_dir):
+    """A search among three labels; a query without a hit at the floor asks again without the filter."""
+    vecs = table(spark, sf_dir, "embeddings")
+    asked = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    some = vectors.top_k(vecs.where(vectors.store_filter({"metadata.label": [1, 2, 3], "source": None})), asked)
+    return vectors.with_fallback(some, vectors.top_k(vecs, asked), 0.5)
 
 
-@query(f"""WITH t AS (SELECT item_id, md5(unnest({TOKENS.format('text')})) AS d FROM benchmark),
-s AS (SELECT item_id, CAST(CAST('0x' || substring(d, 1, 8) AS BIGINT) % 64 AS INTEGER) AS bucket, sum(CASE WHEN CAST('0x' || substring(d, 9, 2) AS BIGINT) % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS v FROM t GROUP BY ALL HAVING v <> 0)
-SELECT item_id, bucket, round(v / sqrt(sum(v * v) OVER (PARTITION BY item_id)), 6) AS value FROM s""")
+@query(_some_labels("AND CAST(v.label AS VARCHAR) = '2'"))
+def flt02_store_filter(spark, sf_dir):
+    vecs = table(spark, sf_dir, "embeddings")
+    asked = vecs.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vectors.top_k(vecs.where(vectors.store_filter({"label": 2})), asked)
+
+
+@query(f"""WITH {HASHED.format("b", "item_id", MIXED.format("text"), "benchmark", 64)}
+SELECT item_id, CAST(i AS INTEGER) AS bucket, round(coalesce(v, 0.0), 6) + 0.0 AS value FROM benchmark CROSS JOIN generate_series(0, 63) g(i) LEFT JOIN bv USING (item_id) WHERE bv.bucket = i
+UNION ALL SELECT item_id, CAST(i AS INTEGER), 0.0 FROM benchmark b CROSS JOIN generate_series(0, 63) g(i) WHERE NOT EXISTS (SELECT 1 FROM bv WHERE bv.item_id = b.item_id AND bv.bucket = i)""")
 def vec05_hash_embedding(spark, sf_dir):
-    return vectors.hash_embedding(table(spark, sf_dir, "benchmark"), 64, key="item_id")
+    found = vectors.hash_vectors(table(spark, sf_dir, "benchmark"), 64, key="item_id")
+    return found.select("item_id", F.posexplode("embedding").alias("bucket", "value")).withColumn("value", F.round("value", 6) + 0.0)
+
+
+@query(f"WITH {CHUNKS}, {VECTOR} SELECT query_id, node_id, score, CAST(rank AS INTEGER) AS rank FROM vec")
+def vec01_question_topk(spark, sf_dir):
+    """The vector channel over all nodes."""
+    return Corpus(spark, sf_dir).vector()
 
 
 @query("""SELECT label, CAST(i AS INTEGER) AS i, round(sum(v * (vec_id % 7 + 1)) / sum(vec_id % 7 + 1), 6) AS value
@@ -212,11 +248,11 @@ def vec03_weighted_mean(spark, sf_dir):
 # Fusion and scores
 
 FUSED = f"""
-{_bm25()},
+{_bm25()}, {VECTOR},
 overlap AS (SELECT query_id, node_id, round(CAST(shared_n AS DOUBLE) / nq, 6) AS score FROM (
   SELECT query_id, node_id, count(*) AS shared_n FROM asked JOIN postings USING (term) GROUP BY ALL) JOIN (SELECT query_id, count(*) AS nq FROM asked GROUP BY query_id) USING (query_id)),
 cover AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM overlap QUALIFY rank <= 12),
-stacked AS (SELECT query_id, node_id, score, rank, 0 AS src_no, 'vector' AS channel FROM cover UNION ALL SELECT query_id, node_id, score, rank, 1, 'bm25' FROM bm25),
+stacked AS (SELECT query_id, node_id, score, rank, 0 AS src_no, 'vector' AS channel FROM vec UNION ALL SELECT query_id, node_id, score, rank, 1, 'bm25' FROM bm25),
 sums AS (SELECT query_id, node_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score_rrf, max(CASE WHEN channel = 'vector' THEN score END) AS score_vector,
   max(CASE WHEN channel = 'bm25' THEN score END) AS score_bm25, min(src_no * 1000 + rank) AS seen, max(CASE WHEN channel = 'bm25' THEN 'bm25' END) AS other FROM stacked GROUP BY query_id, node_id),
 fused AS (SELECT query_id, node_id, score_rrf, score_vector, score_bm25, coalesce(other, 'vector') AS channel, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score_rrf DESC, seen) AS INTEGER) AS rank FROM sums QUALIFY rank <= 12)
@@ -321,10 +357,12 @@ def join01_expand(spark, sf_dir):
 
 
 F1 = f"""
-q AS (SELECT item_id AS query_id, {TOKENS.format('text')} AS w FROM benchmark),
-qt AS (SELECT query_id, t, count(*) AS c FROM (SELECT query_id, unnest(w) AS t FROM q) GROUP BY ALL),
-ov AS (SELECT f.query_id, f.node_id, f.rank, coalesce(sum(CASE WHEN p.tf IS NULL THEN 0 ELSE least(qt.c, p.tf) END), 0) AS shared_n FROM fused f LEFT JOIN qt ON qt.query_id = f.query_id LEFT JOIN postings p ON p.node_id = f.node_id AND p.term = qt.t GROUP BY ALL),
-pr AS (SELECT query_id, node_id, rank, CAST(shared_n AS DOUBLE) / len(q.w) AS p, CAST(shared_n AS DOUBLE) / len(words.words) AS r FROM ov JOIN q USING (query_id) JOIN words USING (node_id)),
+q AS (SELECT item_id AS query_id, {MIXED.format('text')} AS w FROM benchmark),
+qtok AS (SELECT query_id, t, count(*) AS c FROM (SELECT query_id, unnest(w) AS t FROM q) GROUP BY ALL),
+hw AS (SELECT query_id, node_id, rank, {MIXED.format('text')} AS words FROM fused JOIN nodes USING (node_id)),
+ht AS (SELECT query_id, node_id, t, count(*) AS tf FROM (SELECT query_id, node_id, unnest(words) AS t FROM hw) GROUP BY ALL),
+ov AS (SELECT hw.query_id, hw.node_id, hw.rank, any_value(len(words)) AS nw, coalesce(sum(CASE WHEN qtok.c IS NOT NULL THEN least(qtok.c, ht.tf) END), 0) AS shared_n FROM hw LEFT JOIN ht ON ht.query_id = hw.query_id AND ht.node_id = hw.node_id LEFT JOIN qtok ON qtok.query_id = hw.query_id AND qtok.t = ht.t GROUP BY ALL),
+pr AS (SELECT query_id, node_id, rank, CAST(shared_n AS DOUBLE) / len(q.w) AS p, CAST(shared_n AS DOUBLE) / nw AS r FROM ov JOIN q USING (query_id)),
 rr AS (SELECT query_id, node_id, rank AS previous_rank, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS rerank_score FROM pr),
 rer AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, previous_rank) AS INTEGER) AS rerank_rank FROM rr)
 """
@@ -342,8 +380,8 @@ def prj13_prompt_context(spark, sf_dir):
     return rerank.prompt_context(c.fused().join(c.nodes.select("node_id", "text"), "node_id"))
 
 
-@query(f"""{BASE}, graded AS (SELECT c.query_id, c.rank, CASE WHEN contains(d.text, left(b.text, 60)) THEN 1.0 ELSE 0.0 END AS grade FROM composite c JOIN nodes n USING (node_id) JOIN documents d ON d.doc_id = n.doc_id JOIN benchmark b ON b.item_id = c.query_id),
-tot AS (SELECT item_id AS query_id, count(*) FILTER (WHERE contains(d.text, left(b.text, 60))) AS relevant FROM benchmark b, documents d GROUP BY item_id),
+@query(f"""{BASE}, graded AS (SELECT c.query_id, c.rank, CASE WHEN contains(d.text, b.text) THEN 1.0 ELSE 0.0 END AS grade FROM composite c JOIN nodes n USING (node_id) JOIN documents d ON d.doc_id = n.doc_id JOIN benchmark b ON b.item_id = c.query_id),
+tot AS (SELECT item_id AS query_id, count(*) FILTER (WHERE contains(d.text, b.text)) AS relevant FROM benchmark b, documents d GROUP BY item_id),
 run AS (SELECT *, sum(grade) OVER (PARTITION BY query_id ORDER BY rank) AS h FROM graded WHERE rank <= 10),
 agg AS (SELECT query_id, sum(grade) AS hits, count(*) AS ret, min(CASE WHEN grade > 0 THEN rank END) AS first, sum(CASE WHEN rank <= 1 THEN grade ELSE 0 END) AS h1, sum(CASE WHEN rank <= 3 THEN grade ELSE 0 END) AS h3,
   sum(CASE WHEN grade > 0 THEN h / rank ELSE 0 END) AS ps, sum((pow(2, grade) - 1) / log2(rank + 1)) AS dcg FROM run GROUP BY query_id),
@@ -356,15 +394,17 @@ def met01_ranking_metrics(spark, sf_dir):
     return Corpus(spark, sf_dir).ranking_metrics()
 
 
-@query(f"""WITH a AS (SELECT conv_id, turn, {TOKENS.format('text')} AS w FROM conversations), p AS (SELECT x.conv_id, x.turn, x.w AS l, y.w AS r FROM a x JOIN a y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
-k AS (SELECT conv_id, turn, l, r, (SELECT coalesce(sum(least(len(list_filter(l, lambda z: z = t)), len(list_filter(r, lambda z: z = t)))), 0) FROM (SELECT DISTINCT unnest(l) AS t)) AS shared_n FROM p)
-SELECT conv_id, turn, round(CASE WHEN len(l) + len(r) = 0 THEN 1 WHEN len(l) = 0 THEN 0 ELSE shared_n::DOUBLE / len(l) END, 6) AS token_precision, round(CASE WHEN len(l) + len(r) = 0 THEN 1 WHEN len(r) = 0 THEN 0 ELSE shared_n::DOUBLE / len(r) END, 6) AS token_recall FROM k""")
+@query(f"""WITH a AS (SELECT conv_id, turn, {MIXED.format('text')} AS w FROM conversations WHERE text IS NOT NULL), p AS (SELECT x.conv_id, x.turn, x.w AS l, y.w AS r FROM a x JOIN a y ON y.conv_id = x.conv_id AND y.turn = x.turn + 1),
+c AS (SELECT conv_id, turn, t, count(*) FILTER (WHERE s = 0) AS a, count(*) FILTER (WHERE s = 1) AS b FROM (SELECT conv_id, turn, unnest(l) AS t, 0 AS s FROM p UNION ALL SELECT conv_id, turn, unnest(r), 1 FROM p) GROUP BY conv_id, turn, t),
+k AS (SELECT conv_id, turn, len(l) AS nl, len(r) AS nr, coalesce((SELECT sum(least(a, b)) FROM c WHERE c.conv_id = p.conv_id AND c.turn = p.turn), 0) AS shared_n FROM p),
+v AS (SELECT conv_id, turn, CASE WHEN nl + nr = 0 THEN 1 WHEN nl = 0 THEN 0 ELSE shared_n::DOUBLE / nl END AS p, CASE WHEN nl + nr = 0 THEN 1 WHEN nr = 0 THEN 0 ELSE shared_n::DOUBLE / nr END AS r FROM k)
+SELECT conv_id, turn, round(p, 6) AS token_precision, round(r, 6) AS token_recall, round(CASE WHEN p + r = 0 THEN 0 ELSE 2 * p * r / (p + r) END, 6) AS token_f1 FROM v""")
 def met10_token_overlap(spark, sf_dir):
     """Each turn of a conversation against the next."""
     turns = table(spark, sf_dir, "conversations").where("text is not null")
     after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("reference"))
     pairs = turns.select("conv_id", "turn", F.col("text").alias("prediction")).join(after, ["conv_id", "turn"]).withColumn("case_id", F.struct("conv_id", "turn"))
-    return metrics.token_overlap(pairs).select("case_id.conv_id", "case_id.turn", "token_precision", "token_recall")
+    return metrics.token_overlap(pairs).select("case_id.conv_id", "case_id.turn", "token_precision", "token_recall", "token_f1")
 
 
 BOXES = """b AS (SELECT vec_id, label, CAST(vec_id % 3 AS INTEGER) AS page, [500 + 400 * e[1], 500 + 400 * e[2], 500 + 400 * e[1] + 50 + 300 * abs(e[3]), 500 + 400 * e[2] + 50 + 300 * abs(e[4])] AS box FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),

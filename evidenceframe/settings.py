@@ -15,12 +15,19 @@ class Settings:
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     top_k: int = 12
+    page_top_k: int = 8
+    table_top_k: int = 8
+    hash_dim: int = 128
     min_vector_score: float = 0.15
     rrf_k: int = 60
     weights: dict[str, float] = field(
         default_factory=lambda: {"vector": 0.30, "bm25": 0.10, "rrf": 0.25, "rerank": 0.35, "relationship": 1.0, "agent": 0.20}
     )
+    initial_threshold: float = 0.0
+    rerank_threshold: float = 0.0
     final_threshold: float = 0.20
+    guardrail_hits: int = 3
+    guardrail_score: float = 0.30
     prior_min: float = 0.15
     prior_penalty: float = 0.70
     support_min: float = 0.45
@@ -32,6 +39,12 @@ class Settings:
     variant_boost_most: float = 0.12
     rerank_top: int = 8
     context_top: int = 6
+    carry_top: int = 4
+    carry_score: float = 0.35
+    max_retries: int = 2
+    budget_ms: int = 30_000
+    budget_tokens: int = 12_000
+    min_gain: float = 0.05
     grade_head: int = 6
     grade_tail: int = 2
     grade_most: int = 8
