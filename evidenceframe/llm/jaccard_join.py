@@ -8,8 +8,9 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
    token of, in an order that puts frequent tokens last) to buckets of tokens, with its size as a
    power of the ratio that linked sizes may have. A bucket yields the tokens that at least two
    classes of like size hold; classes apart in size hold different tokens from here on.
-3. Classes that share a token are first compared with one leader for each token. Classes close to
-   a leader form a group with it, in parts of about ``GROUP``; links found here join components.
+3. Classes that share a token meet one leader for each token. A class is compared with the likeliest
+   of its leaders; links found join components, and then only leaders in other components are left.
+   Classes close to a leader form a group with it, in parts of about ``GROUP``.
 4. Token-group matrix: each group stores its token union as one column of bits, a bit for each hash
    bucket of tokens. Groups that share a token meet. A class has at most as many tokens in the
    other group as its own bits that the column also has; if that is too few, the group stays closed
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, connected_components, partitions, released, rows_of, semi_join_bounded, written
+from .common import column_of, partitions, pieces, relabelled, released, rows_of, semi_join_bounded, written
 
 PERCENT = 75
 SHINGLE = 5
@@ -46,6 +47,10 @@ HINTS = 400_000
 BUCKET_BYTES = 16 << 20
 #: Bytes of a token in its bucket. Two tokens taken for one only add candidates.
 TOKEN_BYTES = 5
+#: A frequent token with more holders than this is dealt to several buckets.
+WIDE_HEADS = 200_000
+#: In place of the size, for tokens that are dealt to several buckets.
+WIDE = 255
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xBF58476D1CE4E5B9)
@@ -139,48 +144,70 @@ def _signed(a: np.ndarray) -> np.ndarray:
     return a.view(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], width: int, seen: set | None) -> Iterator[tuple[object, np.ndarray, int, int, bool]]:
-    """(doc_id, set, class id, check, first of its class in this task) for each row."""
+class Ids:
+    """The id of a set: 64 bits of its digest, and a new one for a set that shares them with another.
+
+    ``renamed`` has the new ids by (id, check). By the birthday bound it is tiny: about 300 sets of
+    10^11. ``bits`` makes ids short, for tests.
+    """
+
+    def __init__(self, bits: int = 64, renamed: dict[tuple[int, int], int] | None = None):
+        self.bits, self.renamed = bits, renamed or {}
+
+    def __call__(self, tokens: np.ndarray) -> tuple[int, int]:
+        cid, check = np.frombuffer(xxhash.xxh3_128_digest(tokens.tobytes()), np.int64).tolist()
+        if self.bits < 64:
+            cid &= (1 << self.bits) - 1
+        return self.renamed.get((cid, check), cid), check
+
+
+def _sets(batches: Iterator[pa.RecordBatch], width: int, seen: set | None, ids_of: Ids) -> Iterator[tuple[object, np.ndarray, int, int, bool]]:
+    """(key, set, class id, check, first of its class in this task) for each row."""
     ids = WordHashes()
     for batch in batches:
         for doc, text in rows_of(batch):
             tokens = shingle_set(text, ids, width)
-            digest = xxhash.xxh3_128_digest(tokens.tobytes())
-            cid, check = np.frombuffer(digest, np.int64).tolist()
+            cid, check = ids_of(tokens)
             first = bool(len(tokens)) and cid not in seen
             if first:
                 seen.add(cid)
             yield doc, tokens, cid, check, first
 
 
-def _first_pass(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("hot", pa.bool_())])
+def _first_pass(width: int, ids_of: Ids):
+    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("n", pa.int64()), ("cid", pa.int64()), ("check", pa.int64()), ("bits", pa.binary()), ("hot", pa.bool_())])
 
     def run(batches):
-        seen: set[int] = set()
+        seen: set[tuple] = set()
+        ids = WordHashes()
         rows, held, size = [], [], 0
 
         def frequent():
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             keep = counts > 1
             for t, c in zip(_signed(values[keep]).tolist(), counts[keep].tolist(), strict=True):
-                rows.append((None, c, t, 0, None, True))
+                rows.append((None, None, c, t, 0, None, True))
 
         def flush():
             out = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
             rows.clear()
             return out
 
-        for doc, tokens, cid, check, first in _sets(batches, width, seen):
-            rows.append((doc, len(tokens), cid, check, bits_of(tokens) if first else None, False))
-            if first:
-                held.append(tokens)
-                size += len(tokens)
-                if size > 2_000_000:
-                    frequent()
-                    held, size = [], 0
-            if len(rows) >= 2048:
-                yield flush()
+        for batch in batches:
+            for (doc, text), mark in zip(rows_of(batch), column_of(batch, "mark"), strict=True):
+                tokens = shingle_set(text, ids, width)
+                cid, check = ids_of(tokens)
+                first = bool(len(tokens)) and (cid, check) not in seen
+                rows.append((doc, mark, len(tokens), cid, check, bits_of(tokens) if first else None, False))
+                if first:
+                    seen.add((cid, check))
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size > 2_000_000:
+                        frequent()
+                        held, size = [], 0
+                if len(rows) >= 2048:
+                    yield flush()
         if held:
             frequent()
         if rows:
@@ -189,15 +216,17 @@ def _first_pass(width: int):
     return run
 
 
-def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets: int):
+def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, salts: np.ndarray, buckets: int, ids_of: Ids):
+    """Heads of sets, packed by bucket. ``salts`` has in how many parts a frequent token is dealt."""
+
     def run(batches):
         seen: set[int] = set()
-        tokens, owners, sizes = [], [], []
+        tokens, owners, sizes, parts = [], [], [], []
         size = 0
 
         def flush():
             t, o, k = np.concatenate(tokens), np.concatenate(owners), np.concatenate(sizes)
-            bucket = ((t >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
+            bucket = (((t >> np.uint64(40)) + np.concatenate(parts) * _P) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             t, o, k, bucket = t[order], o[order], k[order], bucket[order]
             t = t.view(np.uint8).reshape(-1, 8)[:, :TOKEN_BYTES]
@@ -213,16 +242,21 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets:
                 names=["bucket", "tokens", "owners", "sizes"],
             )
 
-        for _, whole, cid, _, first in _sets(batches, width, seen):
+        for _, whole, cid, _, first in _sets(batches, width, seen, ids_of):
             if first:
                 part = head(whole, hot, rank, percent)
+                into = np.ones(len(part), np.uint64)
+                if len(hot):
+                    at = np.minimum(np.searchsorted(hot, part), len(hot) - 1)
+                    into = np.where(hot[at] == part, salts[at], 1).astype(np.uint64)
                 tokens.append(part)
                 owners.append(np.full(len(part), cid, np.int64))
-                sizes.append(np.full(len(part), size_class(len(whole), percent), np.uint8))
+                sizes.append(np.where(into > 1, WIDE, size_class(len(whole), percent)).astype(np.uint8))
+                parts.append(np.uint64(cid % (1 << 64) * int(_M) % (1 << 64) >> 20) % into)
                 size += len(part)
                 if size > 400_000:
                     yield flush()
-                    tokens, owners, sizes, size = [], [], [], 0
+                    tokens, owners, sizes, parts, size = [], [], [], [], 0
         if tokens:
             yield flush()
 
@@ -232,7 +266,8 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, buckets:
 def _shared(table: pa.Table) -> pa.Table:
     """Rows (token, cid, lead, many) for the tokens of a bucket that two classes or more hold.
 
-    A token that only two hold is one row: the other one is its leader.
+    A token that only two hold is one row: the other one is its leader. Of a token that is dealt in
+    parts, each part has a leader of its own and all its rows stay; parts meet in the matrix.
     """
     low = np.frombuffer(b"".join(table.column("tokens").to_pylist()), np.uint8).reshape(-1, TOKEN_BYTES)
     t = np.zeros((len(low), 8), np.uint8)
@@ -246,22 +281,24 @@ def _shared(table: pa.Table) -> pa.Table:
     t, o, k = t[keep], o[keep], k[keep]
     start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] > k[:-1] + 1)])
     length = np.diff(np.r_[start, len(t)])
-    many = np.repeat(length, length)
+    wide = k == WIDE
+    many = np.where(wide, 3, np.repeat(length, length))
     lead = np.repeat(np.minimum.reduceat(o, start), length)
     place = np.uint64(table.column("bucket")[0].as_py() * int(_M) % 2**64) + np.repeat(k[start], length).astype(np.uint64) * _P
-    token = _signed((t ^ (t >> np.uint64(17))) * _P + place)
+    token = _signed((t ^ (t >> np.uint64(17))) * _P + np.where(wide, np.uint64(1), place))
     keep = (many > 2) | (many == 2) & (o != lead)
     return pa.table({"token": token[keep], "cid": o[keep], "lead": lead[keep], "many": many[keep].astype(np.int64)})
 
 
 def _led(percent: int):
-    """For pairs of a leader and a class: may they link, and are they close."""
+    """For pairs of a leader and a class: may they link, and how like they may be; distant ones go."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1024):
             a, na, xa, b, nb, xb = (column_of(batch, c) for c in ("a", "na", "xa", "b", "nb", "xb"))
-            rows = [(p, q, may_link(n, x, m, y, percent)) for p, n, x, q, m, y in zip(a, na, xa, b, nb, xb, strict=True) if may_link(n, x, m, y, min(CLOSE, percent))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 3, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], names=["a", "b", "may"])
+            rows = [(p, q, may_link(n, x, m, y, percent), bound(n, x, m, y) / (n + m)) for p, n, x, q, m, y in zip(a, na, xa, b, nb, xb, strict=True) if may_link(n, x, m, y, min(CLOSE, percent))]
+            kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 4, kinds, strict=True)], names=["a", "b", "may", "like"])
 
     return run
 
@@ -292,34 +329,33 @@ def _opened(percent: int, likeliest: bool):
     """
 
     def run(batches):
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, out = whole.slice(at, 512), []
-                left = zip(*(column_of(batch, c) for c in ("grp", "cids", "roots", "ns", "bits")), strict=True)
-                right = zip(*(column_of(batch, c) for c in ("grp2", "cids2", "roots2", "ns2", "bits2", "column2")), strict=True)
-                for (gi, ci, ri, ni, xi), (gj, cj, rj, nj, xj, column) in zip(left, right, strict=True):
-                    found = {}
-                    for a, ra, n, x in zip(ci, ri, ni, xi, strict=True):
-                        if len(cj) > 1 and not may_hold(n, x, column, percent):
-                            continue
-                        for b, rb, m, y in zip(cj, rj, nj, xj, strict=True):
-                            if ra != rb and may_link(n, x, m, y, percent):
-                                found[min(a, b), max(a, b)] = (min(ra, rb), max(ra, rb)), bound(n, x, m, y) / (n + m)
-                    if likeliest:
-                        best = {roots: pair for pair, (roots, _) in sorted(found.items(), key=lambda e: (e[1][1], e[0]))}
-                        out += [(a, b, gi, gj, len(best) < len(found)) for a, b in best.values()]
-                    else:
-                        out += [(a, b, gi, gj, False) for a, b in found]
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=["a", "b", "grp", "grp2", "more"])
+        for batch in pieces(batches, 512):
+            out = []
+            left = zip(*(column_of(batch, c) for c in ("grp", "cids", "roots", "ns", "bits")), strict=True)
+            right = zip(*(column_of(batch, c) for c in ("grp2", "cids2", "roots2", "ns2", "bits2", "column2")), strict=True)
+            for (gi, ci, ri, ni, xi), (gj, cj, rj, nj, xj, column) in zip(left, right, strict=True):
+                found = {}
+                for a, ra, n, x in zip(ci, ri, ni, xi, strict=True):
+                    if len(cj) > 1 and not may_hold(n, x, column, percent):
+                        continue
+                    for b, rb, m, y in zip(cj, rj, nj, xj, strict=True):
+                        if ra != rb and may_link(n, x, m, y, percent):
+                            found[min(a, b), max(a, b)] = (min(ra, rb), max(ra, rb)), bound(n, x, m, y) / (n + m)
+                if likeliest:
+                    best = {roots: pair for pair, (roots, _) in sorted(found.items(), key=lambda e: (e[1][1], e[0]))}
+                    out += [(a, b, gi, gj, len(best) < len(found)) for a, b in best.values()]
+                else:
+                    out += [(a, b, gi, gj, False) for a, b in found]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], names=["a", "b", "grp", "grp2", "more"])
 
     return run
 
 
-def _whole_sets(width: int):
+def _whole_sets(width: int, ids_of: Ids):
     def run(batches):
         seen: set[int] = set()
-        for doc, tokens, cid, _, first in _sets(batches, width, seen):
+        for _, tokens, cid, _, first in _sets(batches, width, seen, ids_of):
             if first:
                 yield pa.RecordBatch.from_arrays([pa.array([cid], pa.int64()), pa.array([tokens.tobytes()], pa.binary())], names=["cid", "tokens"])
 
@@ -328,7 +364,7 @@ def _whole_sets(width: int):
 
 def _compared(percent: int):
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 64):
             a, ta, b, tb = (column_of(batch, c) for c in ("a", "ta", "b", "tb"))
             out = []
             for i, x, y in zip(range(len(a)), ta, tb, strict=True):
@@ -341,35 +377,48 @@ def _compared(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; others ignored).
+def _classes(first: DataFrame, ids_of: Ids) -> tuple[DataFrame, DataFrame, Ids]:
+    """Rows and classes of the first pass, under ids that no two sets share, and those ids.
 
-    component_id is the smallest doc_id that links reach. Null or empty texts, and texts of white
-    space, have no shingles and link with nothing. Repeated rows each return a row. Rows whose
-    doc_id is null take part in links; alone, they have a null component_id.
+    Sets are told apart by all 128 bits of their digest.
     """
+    rows = first.where("not hot").select("doc_id", "mark", "n", "cid", "check")
+    classes = first.where("not hot and n > 0").groupBy("cid", "check").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"))
+    classes = written(classes, "classes")
+    twice = classes.groupBy("cid").agg(F.count("*").alias("k")).where("k > 1").select("cid")
+    clash = classes.join(twice, "cid", "left_semi").select("cid", "check").collect()  # as few as the birthday bound allows
+    if not clash:
+        return rows, classes.drop("check"), ids_of
+    keys = sorted((r["cid"], r["check"]) for r in clash)
+    fresh = {k: int.from_bytes(xxhash.xxh3_128_digest(f"{k[0]}/{k[1]}".encode())[:8], "little", signed=True) for k in keys}
+    table = F.broadcast(first.sparkSession.createDataFrame([(*k, v) for k, v in fresh.items()], "cid long, check long, fresh long"))
+
+    def anew(df: DataFrame) -> DataFrame:
+        return df.join(table, ["cid", "check"], "left").withColumn("cid", F.coalesce("fresh", "cid")).drop("fresh")
+
+    classes = written(anew(classes), "classes")
+    if classes.groupBy("cid").agg(F.count("*").alias("k")).where("k > 1").limit(1).count():
+        raise ValueError("two sets share an id, and their new ids too")
+    return anew(rows), classes.drop("check"), Ids(ids_of.bits, fresh)
+
+
+def _components(docs: DataFrame, percent: int, width: int, wide: int, id_bits: int) -> DataFrame:
+    """(doc_id, mark, n, cid, root, component_id) for each row of docs (doc_id, mark, text)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = written(docs.mapInArrow(released(_first_pass(width)), "doc_id long, n long, cid long, check long, bits binary, hot boolean"), "sets")
-    rows = first.where("not hot").select("doc_id", "n", "cid", "check")
-    some = rows.where("n > 0")
-    classes = written(
-        first.where("not hot and n > 0").groupBy("cid").agg(
-            F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.max("bits").alias("bits"), F.min("check").alias("c0"), F.max("check").alias("c1"),
-        ).withColumn("n", F.when(F.col("c0") == F.col("c1"), F.col("n")).otherwise(F.raise_error(F.lit("two sets with one hash")).cast("long"))).drop("c0", "c1"),
-        "classes",
-    )
+    ids_of = Ids(id_bits)
+    first = written(docs.mapInArrow(released(_first_pass(width, ids_of)), "doc_id long, mark long, n long, cid long, check long, bits binary, hot boolean"), "sets")
+    rows, classes, ids_of = _classes(first, ids_of)
     # Written first: the top rows are merged by a task, not by the driver.
     hints = written(first.where("hot").groupBy("cid").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "cid").limit(HINTS), "hints").toArrow()
     hot = hints.column("cid").to_numpy().astype(np.int64).view(np.uint64)
     by_hash = np.argsort(hot)
     hot, rank = hot[by_hash], hints.column("c").to_numpy().astype(np.int64)[by_hash]
     del hints
-    total = some.agg(F.sum("n")).first()[0] or 0
+    total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, partitions(spark), -(-int(total * (100 - percent) / 100 * (TOKEN_BYTES + 9)) // BUCKET_BYTES))
     shared = (
         docs.where("text is not null")
-        .mapInArrow(released(_heads(width, percent, hot, rank, buckets)), "bucket long, tokens binary, owners binary, sizes binary")
+        .mapInArrow(released(_heads(width, percent, hot, rank, -(-rank // wide), buckets, ids_of)), "bucket long, tokens binary, owners binary, sizes binary")
         .groupBy("bucket")
         .applyInArrow(_shared, "token long, cid long, lead long, many long")
     )
@@ -377,42 +426,56 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
     other = classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("xb"))
 
-    def links(pairs: DataFrame) -> DataFrame:
-        """Pairs that link, by their whole sets."""
-        pairs = written(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
-        reps = classes.join(ids, "cid", "left_semi").select(F.col("rep").alias("doc_id"))
-        reps = written(reps, "reps")
-        whole = semi_join_bounded(docs, reps.where("doc_id is not null").distinct(), "doc_id")
+    def sets_for(pairs: DataFrame) -> DataFrame:
+        """(cid, tokens) of the classes of some pairs, from the text of one document of each."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        reps = written(classes.join(ids, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), "reps")
+        whole = semi_join_bounded(docs, reps.where("doc_id is not null").select("doc_id").distinct(), "doc_id")
         if reps.where("doc_id is null").limit(1).count():
-            whole = whole.union(docs.where("doc_id is null"))
-        whole = written(whole.mapInArrow(released(_whole_sets(width)), "cid long, tokens binary").dropDuplicates(["cid"]), "whole")
+            whole = whole.select("doc_id", "text").union(docs.where("doc_id is null").select("doc_id", "text"))
+        whole = whole.mapInArrow(released(_whole_sets(width, ids_of)), "cid long, tokens binary")
+        return written(whole.join(reps.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]), "whole")
+
+    def links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+        """Pairs that link, by their whole sets."""
         both = pairs.join(whole.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(
             whole.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b"
         )
-        return written(both.mapInArrow(_compared(percent), "a long, b long"), "links")
+        return written(both.mapInArrow(released(_compared(percent)), "a long, b long"), "links")
 
-    # One leader for each shared token.
+    # One leader for each shared token. Of its leaders a class is first compared with the likeliest.
     met = written(shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "met")
-    led = written(met.join(one, "a").join(other, "b").mapInArrow(_led(percent), "a long, b long, may boolean"), "led")
-    first_links = links(led.where("may").select("a", "b"))
+    led = written(met.join(one, "a").join(other, "b").mapInArrow(released(_led(percent)), "a long, b long, may boolean, like double"), "led")
+    may = led.where("may")
+    best = written(may.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b"), "best")
+    whole = sets_for(may)
+    nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    labels = relabelled(written(nodes.select("node", F.col("node").alias("root")), "labels"), links(best, whole))
+    # Then with those that are still in another component.
+    ra, rb = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    apart = may.select("a", "b").join(ra, "a").join(rb, "b").where("ra <> rb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    labels = relabelled(labels, links(apart, whole))
 
     # Groups of similar classes. A class close to no leader is a group of its own.
-    near = connected_components(first_links).withColumnRenamed("node", "cid")
-    kin = led.groupBy(F.col("b").alias("cid")).agg(F.min("a").alias("kin"))
-    groups = met.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(near, "cid", "left").join(kin, "cid", "left")
-    groups = groups.select("cid", F.coalesce("root", "cid").alias("root"), F.coalesce("kin", "cid").alias("kin"))
-    sizes = groups.groupBy("kin").agg(F.count("*").alias("size")).where("size > 1")
-    groups = groups.join(sizes, "kin", "left")
-    part = F.xxhash64("kin", F.pmod(F.xxhash64("cid"), F.ceil(F.col("size") / GROUP)))
-    groups = written(groups.select("cid", "root", F.when(F.col("size").isNull(), F.xxhash64("kin", F.lit(0).cast("bigint"))).otherwise(part).alias("grp")), "groups")
-
-    # Groups that share a token and are not one component meet.
+    kin = led.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("kin"))
+    groups = labels.join(kin, "node", "left").select(F.col("node").alias("cid"), "root", F.coalesce("kin", "node").alias("kin"))
+    # The sizes of large groups; they are met by parts, as a group may hold any share of the classes.
+    salt = F.pmod(F.xxhash64("cid", F.lit(11)), F.lit(GROUP))
+    sizes = groups.groupBy("kin").agg(F.count("*").alias("size")).where(F.col("size") > GROUP)
+    sizes = sizes.select("kin", "size", F.explode(F.sequence(F.lit(0), F.lit(GROUP - 1)).cast("array<bigint>")).alias("salt"))
+    groups = groups.withColumn("salt", salt).join(sizes, ["kin", "salt"], "left")
+    part = F.pmod(F.xxhash64("cid"), F.ceil(F.coalesce("size", F.lit(1)) / GROUP))
+    groups = written(groups.select("cid", "root", F.xxhash64("kin", part).alias("grp")), "groups")
+
+    # Groups that share a token and are not one component meet. Of a token's groups those that lie
+    # in the component which has most of them do not meet one another.
     held = shared.where("many > 2").select("token", "cid").join(groups, "cid").groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    mixed = held.groupBy("token").agg(F.min("r0").alias("m0"), F.max("r1").alias("m1")).where("m0 <> m1").select("token")
-    held = written(held.join(mixed, "token", "left_semi"), "held")
-    right = held.select("token", F.col("grp").alias("grp2"), F.col("r0").alias("s0"), F.col("r1").alias("s1"))
-    meet = held.join(right, "token").where("grp <= grp2 and not (r0 = r1 and s0 = s1 and r0 = s0)").select("grp", "grp2").distinct()
+    held = written(held, "held")
+    most = held.where("r0 = r1").groupBy("token", "r0").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("r0", F.struct("c", "r0")).alias("major"))
+    held = written(held.join(most, "token", "left").withColumn("odd", F.expr("major is null or r0 <> major or r1 <> major")).drop("major"), "held")
+    odd = held.where("odd").select("token", F.col("grp").alias("grp2"), F.col("r0").alias("s0"), F.col("r1").alias("s1"))
+    meet = held.join(odd, "token").where("(not odd or grp <= grp2) and not (r0 = r1 and s0 = s1 and r0 = s0)")
+    meet = meet.select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2")).distinct()
 
     def matrix_of(groups: DataFrame) -> DataFrame:
         return written(groups.join(classes.select("cid", "n", "bits"), "cid").groupBy("grp").applyInArrow(
@@ -426,38 +489,67 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHI
         meet = meet.where(f"100 * hi >= {percent} * lo2 and 100 * hi2 >= {percent} * lo").select("grp", "grp2")
         asked = matrix.select(*(F.col(c).alias(f"{c}2") for c in ("grp", "cids", "roots", "ns", "bits", "column")))
         found = meet.join(asked, "grp2").join(matrix.drop("column"), "grp")
-        return written(found.mapInArrow(_opened(percent, likeliest), "a long, b long, grp long, grp2 long, more boolean"), "opened")
+        return written(found.mapInArrow(released(_opened(percent, likeliest)), "a long, b long, grp long, grp2 long, more boolean"), "opened")
 
     likely = opened(matrix_of(groups), meet, True)
-    tried = led.where("may").select("a", "b").union(likely.select("a", "b"))
-    found = first_links.union(links(likely.select("a", "b").distinct().join(led.where("may"), ["a", "b"], "left_anti")))
+    tried = may.select("a", "b").union(likely.select("a", "b"))
+    pairs = written(likely.select("a", "b").distinct().join(may, ["a", "b"], "left_anti"), "pairs")
+    labels = relabelled(labels, links(pairs, sets_for(pairs)))
     rest = written(likely.where("more").select("grp", "grp2").distinct(), "rest")
     if rest.limit(1).count():
-        now = connected_components(found).select(F.col("node").alias("cid"), "root")
         some_groups = rest.select(F.explode(F.array("grp", "grp2")).alias("grp")).distinct()
-        again = groups.drop("root").join(some_groups, "grp", "left_semi").join(now, "cid", "left").select("cid", F.coalesce("root", "cid").alias("root"), "grp")
+        again = groups.drop("root").join(some_groups, "grp", "left_semi").join(labels.withColumnRenamed("node", "cid"), "cid").select("cid", "root", "grp")
         late = opened(matrix_of(again), rest, False).select("a", "b").distinct()
-        found = found.union(links(late.join(tried, ["a", "b"], "left_anti")))
+        pairs = written(late.join(tried, ["a", "b"], "left_anti"), "pairs")
+        labels = relabelled(labels, links(pairs, sets_for(pairs)))
 
-    roots = connected_components(found).select(F.col("node").alias("cid"), "root")
-    merged = classes.select("cid", "rep").join(roots, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+    merged = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
     least = merged.groupBy("root").agg(F.min("rep").alias("component_id"))
-    merged = merged.join(least, "root").select("cid", "component_id")
-    return rows.join(merged, "cid", "left").select(
+    merged = merged.join(least, "root").select("cid", "root", "component_id")
+    return rows.join(merged, "cid", "left").select("doc_id", "mark", "n", "cid", "root", "component_id")
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE, wide: int = WIDE_HEADS, id_bits: int = 64) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text; others ignored).
+
+    component_id is the smallest doc_id that links reach. Null or empty texts, and texts of white
+    space, have no shingles and link with nothing. Repeated rows each return a row. Rows whose
+    doc_id is null take part in links; alone, they have a null component_id. ``wide`` and
+    ``id_bits`` change how the work is dealt, not the result.
+    """
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(0).cast("bigint").alias("mark"), F.col("text").cast("string").alias("text"))
+    found = _components(docs, percent, width, wide, id_bits)
+    return found.select(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+    )
 
 
 def keep_one_of_each(docs: DataFrame, percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one with the smallest doc_id.
+    """``docs`` with one row of each component: the one with the smallest doc_id (null last).
 
-    Of rows that repeat a kept doc_id with the same text, one stays. Rows without a doc_id or
-    without words are kept.
+    Each row is judged by its own text, also where rows share a doc_id: of several texts of the
+    smallest doc_id the one with the least hash stays, and of rows that repeat that doc_id and text
+    one, whichever comes first. Rows without words are kept.
     """
-    found = jaccard_components(docs, percent, width)
-    drop = found.where("n_shingles > 0 and doc_id <> component_id").select("doc_id").distinct()
-    drop = written(drop, "dropped")
-    limit = 400_000
-    right = F.broadcast(drop) if drop.limit(limit + 1).count() <= limit else drop
-    return docs.join(right, "doc_id", "left_anti")
+    key, mark = F.col("doc_id").cast("bigint"), F.xxhash64(F.col("text").cast("string"))
+    found = _components(docs.select(key.alias("doc_id"), mark.alias("mark"), F.col("text").cast("string").alias("text")), percent, width, WIDE_HEADS, 64)
+    found = written(found.where("n > 0").groupBy("root", "doc_id", "mark").agg(F.count("*").alias("c")), "judged")
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")).alias("f")).select(F.col("root").alias("r"), "f.*")
+    # One of a component's rows: small components are most, so the join is on the root alone.
+    judged = found.join(first.select("r", F.col("doc_id").alias("d"), F.col("mark").alias("m")), F.col("root") == F.col("r"))
+    stays = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("mark") == F.col("m"))
+    judged = judged.select(F.col("doc_id").alias("__doc"), F.col("mark").alias("__mark"), "c", stays.alias("stays"))
+
+    def named(rows: DataFrame, name: str) -> DataFrame:
+        rows = written(rows.select("__doc", "__mark"), name)
+        limit = 400_000
+        return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+
+    same = key.eqNullSafe(F.col("__doc")) & (mark == F.col("__mark"))
+    kept = docs.join(named(judged.where("not stays"), "dropped"), same, "left_anti")
+    repeated = named(judged.where("stays and c > 1"), "repeated")
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, same, "left_semi").withColumn("__mark", mark).dropDuplicates(["doc_id", "__mark"]).drop("__mark")
+    return kept.join(repeated, same, "left_anti").unionByName(once)
