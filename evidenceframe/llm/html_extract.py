@@ -1,93 +1,130 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a row of blocks. A classifier gives each block a cost of being content and a cost
-of being boilerplate, the capacities of its edges to the two terminals. Neighbours in the page and
-next siblings in the DOM are joined by edges that cost more the closer they are in the tree. The
-minimum cut separates content from boilerplate.
+A page becomes a row of blocks. A linear classifier gives each block the log-odds of being content,
+from its words, its links and punctuation, and what its elements and their names suggest; the two
+losses of that estimate are the capacities of its edges to the terminals. Neighbours in the page,
+and blocks of one parent, are joined by edges that cost more the closer they are in the tree. The
+minimum cut separates content from boilerplate. The weights are set by hand, as pages carry no
+labels; those of names are small enough for a block's neighbours to outweigh them.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
-from collections import deque
+from collections import Counter, deque
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, texts_of
+from .common import column_of, text_of, texts_of
 
 # HTML elements by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math canvas audio video select datalist textarea button title".split())
+RAW = frozenset("script style noscript template iframe object svg canvas audio video select datalist textarea title".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
+    "a abbr acronym b bdi bdo big button cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
+MATHML = frozenset("math menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BAD_TAGS = frozenset("nav aside footer form dialog menu head".split())
+PROSE = frozenset("p blockquote pre".split())
 GOOD_TAGS = frozenset("article main".split())
+BAD_TAGS = frozenset("nav aside footer form dialog menu head header".split())
+BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
+
+# Words of class names and ids: what is seldom anything but boilerplate, what often is, what says nothing, what speaks for content.
 BAD_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adbox promo promoted promotion sponsor sponsored sponsors banner cookie cookies consent gdpr "
-    "notice notices notification popup modal overlay newsletter subscribe subscription signup sidebar sidenav menu nav navbar navigation breadcrumb breadcrumbs footer "
-    "masthead topbar toolbar comment comments commentlist disqus reply replies respond reactions related recommended recommendations trending share sharing social "
-    "widget widgets pagination pager login search copyright disclaimer alert skip".split()
+    "ad ads adv advert adverts advertisement advertising adsense promo promoted promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices popup modal "
+    "newsletter subscribe subscription signup sidebar sidenav menu navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus "
+    "replies pagination pager".split()
 )
-BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
-GOOD_WORDS = frozenset("article post entry story content main body articlebody".split())
+DOUBTFUL_WORDS = frozenset("alert banner copyright disclaimer login nav notification overlay reactions recommendations recommended related reply respond search share sharing skip social trending widget widgets".split())
+NEUTRAL_WORDS = frozenset("area bar block box container group header holder inner item items js left links list main outer page right row section site slot text thread title top unit view wrap wrapper".split())
+GOOD_WORDS = frozenset("article post entry story content body articlebody".split())
+
+#: Log-odds of being content.
+PRIOR = 0.6
+ARTICLE, OUTSIDE, FAIR = 4.0, -6.0, 2.0
+BAD_TAG, BAD_NAME, DOUBTFUL = -12.0, -9.0, -4.0
+LINKS, SIGN, SENTENCE, KIND, MOST_WORDS = -4.0, -5.0, 0.5, 0.5, 2.2
+#: What it costs to part two neighbours of one parent, and two blocks of one parent with others between them.
+CLOSE, SIBLING = 0.7, 0.3
 
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?(?=[\s/>]|$)", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+STOP = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$|[,，、] ?\S")
+
+
+class Element:
+    """An element on the way to a block: its parent, depth, and what it and those above suggest."""
+
+    __slots__ = ("depth", "evidence", "good", "number", "tag", "up")
+
+    def __init__(self, tag: str, number: int, up: Element | None, evidence: float, good: bool):
+        self.tag, self.number, self.up, self.evidence, self.good = tag, number, up, evidence, good
+        self.depth = up.depth + 1 if up else 0
+
+
+ROOT = Element("", 0, None, 0.0, False)
 
 
 class Block:
-    __slots__ = ("linked", "path", "tag", "text", "verdict")
-
-    def __init__(self, text: str, tag: str, path: tuple, linked: int, verdict: str):
-        self.text, self.tag, self.path, self.linked, self.verdict = text, tag, path, linked, verdict
-
-
-def _verdict(tag: str, attributes: str, above: str) -> str:
-    """What an element says about what is in it: bad, good, header, hidden or what stands above."""
-    verdict = above
-    if above in ("bad", "hidden"):
-        return above  # an article inside a sidebar is a teaser
-    if tag in BAD_TAGS:
-        return "bad"
-    if attributes:
-        for m in ATTRIBUTE.finditer(attributes):
-            key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return "hidden"
-            if key == "role":
-                if value.lower() in BAD_ROLES:
-                    return "bad"
-                if value.lower() in ("main", "article"):
-                    verdict = "good"
-            elif key in ("class", "id", "itemprop") and tag not in ("html", "body", "main"):
-                words = set(NAME.findall(CAMEL.sub("-", value).lower()))
-                if words & BAD_WORDS and not (tag == "article" and not words & {"comment", "comments", "reply", "related", "ad", "ads", "promo", "sponsored"}):
-                    if not (words & GOOD_WORDS and key == "class" and tag == "article"):
-                        return "bad"
-                if words & GOOD_WORDS and tag in ("div", "section") and verdict == "":
-                    verdict = "fair"
-    if tag in GOOD_TAGS:
-        return "good"
-    if tag == "header":
-        return "header" if above == "good" else "bad"
-    return verdict
+    __slots__ = ("linked", "text", "within")
+
+    def __init__(self, text: str, within: Element, linked: int):
+        self.text, self.within, self.linked = text, within, linked
+
+
+def name_evidence(value: str) -> tuple[float, bool]:
+    """What a class name or id suggests, and whether it has a word that speaks for content.
+
+    Each name counts by the share of its words that mean boilerplate, the worst name for all.
+    """
+    worst, fair = 0.0, False
+    for name in value.split():
+        words = [w for w in NAME.findall(CAMEL.sub("-", name).lower()) if w not in NEUTRAL_WORDS]
+        if words:
+            worst = min(worst, sum(BAD_NAME if w in BAD_WORDS else DOUBTFUL if w in DOUBTFUL_WORDS else 0.0 for w in words) / len(words))
+            fair = fair or not GOOD_WORDS.isdisjoint(words)
+    return worst, fair
+
+
+def entered(tag: str, attributes: str, number: int, up: Element) -> Element:
+    """An element below ``up``. Inside boilerplate an article is a teaser and speaks for nothing."""
+    evidence, good = up.evidence, up.good
+    worst, fair, role = (BAD_TAG if tag in BAD_TAGS else 0.0), False, ""
+    for m in ATTRIBUTE.finditer(attributes or ""):
+        key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if key == "role":
+            role = value.lower()
+            worst = min(worst, BAD_TAG if role in BAD_ROLES else 0.0)
+        elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
+            worst = min(worst, DOUBTFUL)
+        elif key in ("class", "id", "itemprop") and tag not in ("html", "body", "article", "main"):
+            says, speaks = name_evidence(value)
+            worst, fair = min(worst, says), fair or speaks
+    if tag in GOOD_TAGS or role in GOOD_TAGS:
+        if evidence > DOUBTFUL and not good:
+            evidence, good = evidence + ARTICLE, True
+    elif fair and worst == 0.0 and evidence == 0.0:
+        evidence = FAIR
+    return Element(tag, number, up, evidence + worst, good)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. White space in a block is one space; entities are decoded."""
     out: list[Block] = []
-    stack: list[tuple[str, int, str]] = []  # element, its number, its verdict
+    stack: list[Element] = []
+    depth_of = Counter()
     pieces: list[str] = []
     number = linked = links = 0
     at, end = 0, len(page)
@@ -99,12 +136,14 @@ def blocks_of(page: str) -> list[Block]:
             pieces.clear()
             text = " ".join((entities.unescape(raw) if "&" in raw else raw).split())
             if text:
-                tag, path, verdict = "", (), ""
-                if stack:
-                    tag, path, verdict = stack[-1][0], tuple(x[1] for x in stack), stack[-1][2]
-                out.append(Block(text, tag, path, min(linked, len(text)), verdict))
+                out.append(Block(text, stack[-1] if stack else ROOT, min(linked, len(text))))
         linked = links = 0
 
+    def cut(i: int):
+        for e in stack[i:]:
+            depth_of[e.tag] -= 1
+        del stack[i:]
+
     while at < end:
         lt = page.find("<", at)
         if lt < 0:
@@ -128,22 +167,21 @@ def blocks_of(page: str) -> list[Block]:
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6]
         if name in RAW:
-            if not closing and not (attributes and attributes.endswith("/") and name in ("svg", "math")):
+            if not closing and not (attributes and attributes.endswith("/") and name == "svg"):
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
                 at = stop.end() if stop else (end if name in ("script", "style", "title", "textarea") else at)
-            if name != "math":
-                pieces.append(" ")
+            pieces.append(" ")
             continue
         if name == "br":
             pieces.append(" ")
             continue
-        if name in INLINE:
+        if name in ("annotation", "annotation-xml"):  # the source of a formula, which no reader sees
+            stop = -1 if closing else page.find(f"</{name}", at)
+            at = stop if stop >= 0 else at
+            continue
+        if name in INLINE or name in MATHML:
             if name == "a":
                 links = 0 if closing else 1
-            elif name == "span" and not closing and attributes and _verdict("span", attributes, "") in ("hidden", "bad"):
-                stop = page.find("</span>", at)  # a marked span that holds no other
-                if stop >= 0 and "<span" not in page[at:stop]:
-                    at = stop + 7
             continue
         if name in VOID:
             if name == "hr":
@@ -151,69 +189,80 @@ def blocks_of(page: str) -> list[Block]:
             continue
         close()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if depth_of[name]:
+                i = len(stack) - 1
+                while stack[i].tag != name:
+                    i -= 1
+                cut(i)
             continue
         if name in ("html", "body"):
-            stack[:] = [x for x in stack if x[0] == "html"] if name == "body" else []
-        if stack and stack[-1][0] == "head" and name not in ("head",):
-            stack.pop()
-        if name in CLOSES_P and stack and stack[-1][0] == "p":
-            stack.pop()
-        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
-            stack.pop()
+            cut(1 if name == "body" and stack and stack[0].tag == "html" else 0)
+        if stack and stack[-1].tag == "head":
+            cut(len(stack) - 1)
+        if name in CLOSES_P and stack and stack[-1].tag == "p":
+            cut(len(stack) - 1)
+        if name in HEADINGS and stack and stack[-1].tag in HEADINGS:
+            cut(len(stack) - 1)
         for i in range(len(stack) - 1, max(-1, len(stack) - 4), -1):
-            if stack[i][0] in SAME.get(name, ()):
-                del stack[i:]
+            if stack[i].tag in SAME.get(name, ()):
+                cut(i)
                 break
-            if stack[i][0] in ("ul", "ol", "dl", "table", "div", "select"):
+            if stack[i].tag in ("ul", "ol", "dl", "table", "div", "select"):
                 break
         number += 1
-        stack.append((name, number, _verdict(name, attributes, stack[-1][2] if stack else "")))
+        stack.append(entered(name, attributes, number, stack[-1] if stack else ROOT))
+        depth_of[name] += 1
     close()
     return out
 
 
-def costs(block: Block, has_article: bool) -> tuple[float, float]:
-    """(cost of content, cost of boilerplate)."""
-    if block.verdict in ("bad", "hidden"):
-        return 24.0, 0.0
-    content, boilerplate = 0.5, 0.5
-    n, dense = len(block.text), block.linked / len(block.text)
-    if block.verdict == "good":
-        boilerplate += 8.0
-    elif block.verdict == "header":
-        return (0.0, 8.0) if block.tag in HEADINGS else (8.0, 0.0)
-    elif has_article:
-        content += 8.0  # outside the article that the page marks
-    elif block.verdict == "fair":
-        boilerplate += 2.0
-    if dense > 0.5:
-        content += 3.0 * dense
-    if n >= 80:
-        boilerplate += 2.0
-    elif n < 25 and block.tag not in HEADINGS:
-        content += 0.5
-    if block.tag in HEADINGS or block.tag in ("p", "blockquote", "pre"):
-        boilerplate += 1.0
-    elif block.tag in ("li", "td", "th", "div", "", "body"):
-        content += 0.5
-    if "©" in block.text[:40]:
-        content += 4.0
-    return content, boilerplate
-
-
-def closeness(a: Block, b: Block) -> float:
-    """The capacity between two neighbours: by how much of their ways from the root is common."""
-    x, y = a.path[:-1], b.path[:-1]
-    common = 0
-    for i, j in zip(x, y, strict=False):
-        if i != j:
-            break
-        common += 1
-    return 1.5 * (1 + common) / (1 + max(len(x), len(y)))
+def log_odds(block: Block, has_article: bool) -> float:
+    """The classifier: log-odds of the block being content."""
+    e, text = block.within, block.text
+    x = PRIOR + e.evidence
+    if e.good and e.tag in HEADINGS and e.up.tag in ("header", "hgroup"):
+        x -= BAD_TAG  # the heading of the article
+    if has_article and not e.good:
+        x += OUTSIDE
+    x += min(MOST_WORDS, 0.5 * math.log2(1 + text.count(" ") / 10))
+    x += LINKS * block.linked / len(text)
+    if STOP.search(text):
+        x += SENTENCE
+    if e.tag in HEADINGS or e.tag in PROSE:
+        x += KIND
+    if "©" in text[:40]:
+        x += SIGN
+    return x
+
+
+def costs(x: float) -> tuple[float, float]:
+    """(cost of content, cost of boilerplate): the logistic losses at log-odds x."""
+    return math.log1p(math.exp(-abs(x))) + max(0.0, -x), math.log1p(math.exp(-abs(x))) + max(0.0, x)
+
+
+def closeness(a: Element, b: Element) -> float:
+    """The share of two elements' ways from the root that is common, up to their parents."""
+    a, b = a.up or a, b.up or b
+    most = max(a.depth, b.depth)
+    while a.depth > b.depth:
+        a = a.up
+    while b.depth > a.depth:
+        b = b.up
+    while a is not b and a.up:
+        a, b = a.up, b.up
+    return (1 + a.depth) / (1 + most) if a is b else 0.0
+
+
+def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
+    """Edges between neighbours, and between a block and the one before it of the same parent."""
+    edges = [(i, i + 1, CLOSE * closeness(blocks[i].within, blocks[i + 1].within)) for i in range(len(blocks) - 1)]
+    last: dict[int, int] = {}
+    for i, b in enumerate(blocks):
+        parent = (b.within.up or b.within).number
+        if last.get(parent, i - 1) != i - 1:
+            edges.append((last[parent], i, SIBLING))
+        last[parent] = i
+    return edges
 
 
 def minimum_cut(first: list[float], second: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -286,24 +335,17 @@ def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
-    marked = any(b.verdict == "good" for b in blocks)
-    price = [costs(b, marked) for b in blocks]
-    edges = [(i, i + 1, closeness(blocks[i], blocks[i + 1])) for i in range(len(blocks) - 1)]
-    last: dict[int, int] = {}
-    for i, b in enumerate(blocks):  # the next block of the same parent, where others stand between
-        parent = b.path[-2] if len(b.path) > 1 else 0
-        if last.get(parent, i - 1) != i - 1:
-            edges.append((last[parent], i, 0.5))
-        last[parent] = i
-    keep = minimum_cut([c for c, _ in price], [b for _, b in price], edges)
+    marked = any(b.within.good for b in blocks)
+    price = [costs(log_odds(b, marked)) for b in blocks]
+    keep = minimum_cut([c for c, _ in price], [b for _, b in price], smoothness(blocks))
     return "\n\n".join(b.text for b, k in zip(blocks, keep, strict=True) if k)
 
 
 def _extract(batches):
     for batch in batches:
-        texts = [main_text(raw.decode()) if raw else "" for raw in texts_of(batch, "html")]
+        texts = [main_text(text_of(raw)) for raw in texts_of(batch, "html")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(column_of(batch, "page_id"), pa.int64()), pa.array(column_of(batch, "url"), pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
+            [pa.array(column_of(batch, "page_id"), pa.int64()), batch.column(batch.schema.get_field_index("url")).cast(pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
             names=["page_id", "url", "text", "n_chars"],
         )
 
@@ -311,8 +353,8 @@ def _extract(batches):
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html; others ignored).
 
-    Null or empty html, and pages without content, give an empty text. Repeated rows each return a
-    row; null ids and addresses stay null.
+    Null or empty html, and pages without content, give an empty text. Bytes that are not UTF-8 are
+    read as U+FFFD. Repeated rows each return a row; null ids and addresses stay null.
     """
     pages = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     return pages.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
