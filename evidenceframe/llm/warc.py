@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from base64 import b32decode, b32encode
@@ -25,7 +26,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, column_of, partitions, texts_of, work_path, written
+from .common import checkpointed, column_of, partitions, range_of, text_of, texts_of, work_path, written
 
 #: Payloads of fewer bytes are never revisits.
 MIN_REVISIT = 1000
@@ -35,9 +36,10 @@ FILE_BYTES = 1 << 30
 SHARD_BYTES = (8 << 20, 1 << 30)
 #: Rows that a join may broadcast, by count; above it both sides are shuffled.
 SMALL = 400_000
-#: Cells of the histogram, at most; one that is too heavy is divided again, so often.
-CELLS, ROUNDS = 4096, 4
+#: Cells of the histogram in each round, about.
+CELLS = 4096
 DATE = "2020-01-01T00:00:00Z"
+CONTROL = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 
 
@@ -47,11 +49,16 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def record(kind: str, page_id, url: str, payload: bytes, sha1: bytes, refers_to) -> bytes:
-    """A WARC/1.1 record. A revisit carries the HTTP header alone and names its response."""
+    """A WARC/1.1 record. A revisit carries the HTTP header alone and names its response.
+
+    Control characters of the url are written as percent escapes, as a header is one line.
+    """
     digest = "sha1:" + b32encode(sha1).decode()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if kind == "response" else http
-    name = f"{page_id}/{url}/{digest}"
+    url = CONTROL.sub(lambda m: f"%{ord(m[0]):02X}", url)
+    response = f"response/{page_id}/{digest}"
+    name = response if kind == "response" and len(payload) >= MIN_REVISIT else f"{kind}/{page_id}/{url}/{digest}"
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
@@ -66,6 +73,7 @@ def record(kind: str, page_id, url: str, payload: bytes, sha1: bytes, refers_to)
     ]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"X-Refers-To-Page-ID: {refers_to}", "WARC-Truncated: length"]
+        head.append(f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'response/{refers_to}/{digest}')}>")
     return "\r\n".join([*head, f"Content-Length: {len(block)}", "", ""]).encode() + block + b"\r\n\r\n"
 
 
@@ -118,7 +126,7 @@ def records_in(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         lines = data[:end].decode().split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError(f"not a WARC record: {lines[0][:40]!r}")
-        head = dict(line.split(": ", 1) for line in lines[1:])
+        head = {key.strip(): value.strip() for key, _, value in (line.partition(":") for line in lines[1:])}
         size = int(head["Content-Length"])
         if not fill(end + 4 + size + 4):
             raise ValueError("a WARC file ends within a record")
@@ -133,33 +141,36 @@ def _small(df: DataFrame) -> DataFrame:
 def shards(pages: DataFrame, shard_bytes: int | None = None, cells: int = CELLS) -> list[int]:
     """First page_ids of the shards after the first, from a histogram of payload bytes.
 
-    Cells of equal width between the least and the greatest id are counted; heavy ones are divided
-    again. Only cell counts reach the driver.
+    Cells of equal width between the least and the greatest id are counted; those heavier than a
+    shard are divided again, until none is or it holds one id. Only cell counts reach the driver.
     """
     low, high, total = pages.agg(F.min("page_id"), F.max("page_id"), F.sum("payload_bytes")).first()
     if low is None:
         return []
     shard_bytes = shard_bytes or min(max(total // 64, SHARD_BYTES[0]), SHARD_BYTES[1])
     todo, done = [(low, high + 1)], []
-    for last in [False] * (ROUNDS - 1) + [True]:
+    inside = pages.select(F.col("page_id").alias("at"), F.lit(0).cast("bigint").alias("cell"), "payload_bytes")
+    while todo:
+        # All heavy cells at once; there are fewer than shards. A row's cell is its key, so each
+        # round is one join with the table of heavy cells and one aggregation.
+        per = max(2, cells // len(todo))
+        wide = [(i, a, max(1, -(-(b - a) // per))) for i, (a, b) in enumerate(todo)]
+        table = F.broadcast(pages.sparkSession.createDataFrame(wide, "cell long, a long, width long"))
+        inside = inside.join(table, "cell").withColumn("k", F.floor((F.col("at") - F.col("a")) / F.col("width")))
+        counts = inside.groupBy("cell", "k").agg(F.sum("payload_bytes").alias("n")).collect()
+        heavy = {}
         ranges, todo = todo, []
-        per = max(2, cells // len(ranges))
-        for a, b in ranges:
-            width = max(1, -(-(b - a) // per))
-            inside = pages.where((F.col("page_id") >= a) & (F.col("page_id") < b))
-            counts = inside.groupBy(F.floor((F.col("page_id") - a) / width).alias("k")).agg(F.sum("payload_bytes").alias("n")).collect()
-            for k, n in counts:
-                cell = (a + k * width, min(b, a + (k + 1) * width), n)
-                if n > shard_bytes and cell[1] - cell[0] > 1 and not last:
-                    todo.append(cell[:2])
-                else:
-                    done.append(cell)
-        todo.sort()
-        if len(todo) > 64:  # each costs a job; the rest stay whole
-            done += [(a, b, shard_bytes) for a, b in todo[64:]]
-            todo = todo[:64]
-        if not todo:
-            break
+        for i, k, n in counts:
+            width = wide[i][2]
+            cell = (ranges[i][0] + k * width, min(ranges[i][1], ranges[i][0] + (k + 1) * width), n)
+            if n > shard_bytes and cell[1] - cell[0] > 1:
+                heavy[i, k] = len(todo)
+                todo.append(cell[:2])
+            else:
+                done.append(cell)
+        if todo:
+            names = F.broadcast(pages.sparkSession.createDataFrame([(i, k, new) for (i, k), new in heavy.items()], "cell long, k long, new long"))
+            inside = inside.join(names, ["cell", "k"]).select("at", F.col("new").alias("cell"), "payload_bytes")
     starts, filled = [], 0
     for a, _, n in sorted(done):
         if filled and filled + n > shard_bytes:
@@ -195,8 +206,8 @@ def _write(folder: str, prefix: str, file_bytes: int):
             size += len(data)
 
         for batch in batches:
-            columns = [column_of(batch, c) for c in ("shard", "page_id", "url", "refers_to")]
-            for shard, page, url, refers, payload in zip(*columns, texts_of(batch, "html"), strict=True):
+            columns = [column_of(batch, c) for c in ("shard", "page_id", "refers_to")]
+            for shard, page, refers, url, payload in zip(*columns, texts_of(batch, "url"), texts_of(batch, "html"), strict=True):
                 payload = payload or b""
                 sha1 = hashlib.sha1(payload).digest()
                 if page != last_id:
@@ -213,7 +224,7 @@ def _write(folder: str, prefix: str, file_bytes: int):
                     at, size, count, summed = shard, 0, 0, hashlib.sha256()
                     out = fs.open_output_stream(f"{root}/_temporary/{attempt}-{at:06d}-{seq:05d}", compression=None)
                     put(_member(_first_record(f"{prefix}-{at:06d}-{seq:05d}.warc.gz")))
-                put(_member(record(kind, "" if page is None else page, url or "", payload, sha1, refers)))
+                put(_member(record(kind, "" if page is None else page, text_of(url), payload, sha1, refers)))
                 count += 1
         close()
         kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
@@ -258,11 +269,7 @@ def write_warc(pages: DataFrame, folder: str, prefix: str = "part", file_bytes:
     twice = checkpointed(facts.where("page_id is not null").groupBy("page_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("page_id").alias("twin")))
     rows = rows.join(_small(twice), rows.page_id == twice.twin, "left")
     rows = rows.withColumn("refers_to", F.when((F.col("refers_to") == F.col("page_id")) & F.col("twin").isNull(), F.lit(None)).otherwise(F.col("refers_to"))).drop("twin")
-    shard = F.lit(0)
-    if starts:
-        bounds = F.array(*map(F.lit, starts))
-        shard = F.when(F.col("page_id").isNull(), 0).otherwise(F.size(F.filter(bounds, lambda x: x <= F.col("page_id"))))
-    rows = rows.withColumn("shard", shard.cast("int"))
+    rows = rows.withColumn("shard", range_of(F.col("page_id"), starts))
     n = max(partitions(spark), min(len(starts) + 1, 100_000))
     rows = rows.repartition(n, "shard") if starts else rows.coalesce(1)
     rows = rows.sortWithinPartitions("shard", "page_id", "url", "html")
