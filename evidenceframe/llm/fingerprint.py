@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, partitions, semi_join_bounded, texts_of, written
+from .common import column_of, partitions, range_of, semi_join_bounded, text_of, texts_of, written
 
 
 def canonical(text: str) -> bytes:
@@ -36,7 +36,7 @@ def edited(text: str, following: str) -> str:
 
 def _canonical(batches):
     for batch in batches:
-        forms = [canonical((t or b"").decode()) for t in texts_of(batch)]
+        forms = [canonical(text_of(t)) for t in texts_of(batch)]
         yield pa.RecordBatch.from_arrays(
             [pa.array([xxhash.xxh3_128_hexdigest(f) for f in forms], pa.string()), pa.array(forms, pa.binary())], names=["fingerprint", "form"]
         )
@@ -63,7 +63,7 @@ def _with_next(batches):
     for batch in batches:
         rows = []
         for part, guest, doc, raw in zip(column_of(batch, "part"), column_of(batch, "guest"), column_of(batch, "doc_id"), texts_of(batch), strict=True):
-            text = (raw or b"").decode()
+            text = text_of(raw)
             mark = digest(text)
             if held is not None and held[0] == part:
                 whole = edited(held[2], text)
@@ -78,7 +78,8 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text): fingerprints of it, of its edit and of the next.
 
     The next document is the one with the next doc_id, after the last the first; rows of one doc_id
-    follow each other by text, and a null doc_id comes first. A null text counts as empty. The
+    follow each other by text, and a null doc_id comes first. A null text counts as empty; bytes that
+    are not UTF-8 count as U+FFFD. The
     likeness of two exact digests is 1 if they are equal and 0 otherwise. A single row is its own
     next document.
 
@@ -91,7 +92,7 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     cuts = sorted(set(docs.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (8 * n)) if n > 1 else []))
     cuts = [int(c) for c in cuts]
 
-    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(_range_of(F.col("doc_id"), cuts)).cast("int")
+    part = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(range_of(F.col("doc_id"), cuts)).cast("int")
     # The first document of each range that has any: as many rows as ranges.
     heads = sorted((r["part"], r["d"]) for r in docs.select("doc_id", part.alias("part")).groupBy("part").agg(F.min("doc_id").alias("d")).collect())
     if not heads:
@@ -114,7 +115,3 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         same("fingerprint", "edited_fingerprint").alias("near_edited"), same("fingerprint", "next_fingerprint").alias("near_next"),
     )
 
-
-def _range_of(value, cuts: list[int]):
-    """The number of cuts at or below a value."""
-    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]) if cuts else F.array().cast("array<bigint>"), lambda c: c <= value))

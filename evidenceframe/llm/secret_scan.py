@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, texts_of
+from .common import column_of, text_of, texts_of
 
 # The expressions of the base kinds, in the order of the kinds.
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -107,8 +107,8 @@ def _scan(batches):
     for batch in batches:
         rows = []
         for doc, raw in zip(column_of(batch, "doc_id"), texts_of(batch), strict=True):
-            text = (raw or b"").decode()
-            spans = spans_of(text, (raw or b"").lower().decode(), words)
+            text = text_of(raw)
+            spans = spans_of(text, text.encode().lower().decode(), words)
             base = [s for s in spans if s[1] in BASE]
             counts = [sum(s[1] == k for s in base) for k in BASE]
             rows.append((doc, *counts, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
@@ -121,7 +121,7 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """A row for each row of ``docs`` (doc_id, text; other columns are ignored).
 
     Spans are in code points, end exclusive. A null text counts as empty: no spans, the digest of
-    the empty string. Repeated rows each return a row; a null doc_id stays null.
+    the empty string. Bytes that are not UTF-8 count as U+FFFD. Repeated rows each return a row; a null doc_id stays null.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return docs.mapInArrow(_scan, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
