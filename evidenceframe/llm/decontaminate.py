@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import WORD_SQL, column_of, released, texts_of
 
 SIMILARITY = 0.75
-#: Items of fewer words are too weak as evidence and match nothing.
+#: Items of fewer words have no windows that the bound could tell apart; they match where they stand word for word.
 MIN_WORDS = 5
 WALKS, BANDS, SAMPLED = 10, 4, 2
 BLOCK_WORDS = 200_000
@@ -97,15 +97,20 @@ class Index:
 
     def __init__(self, items: list[tuple[int, list[bytes]]], similarity: float = SIMILARITY, seed: int = 5, walks: int = WALKS):
         rng = np.random.default_rng(seed)
-        items = [x for x in items if len(x[1]) >= MIN_WORDS]
+        items = sorted((x for x in items if x[1]), key=lambda x: len(x[1]) < MIN_WORDS)
         self.vocabulary: dict[bytes, int] = {}
         for _, words in items:
             for w in words:
                 self.vocabulary.setdefault(w, len(self.vocabulary) + 1)  # 0: in no item
         self.items = [(i, [self.vocabulary[w] for w in words]) for i, words in items]
         self.similarity, self.walks = similarity, walks
-        self.lengths = sorted({len(p) for _, p in self.items})
-        if not self.items:
+        self.lengths = sorted({len(p) for _, p in self.items if len(p) >= MIN_WORDS})
+        self.brief: dict[int, list[int]] = {}  # short items by their first word
+        for at, (_, p) in enumerate(self.items):
+            if len(p) < MIN_WORDS:
+                self.brief.setdefault(p[0], []).append(at)
+        self.steps = 0
+        if not self.lengths:
             return
         self.steps = max(2, int(1.5 * self.lengths[-1]) + 1)
         size = len(self.vocabulary) + 1
@@ -120,7 +125,7 @@ class Index:
         self.members = {}
         for q in {b[0] for b in self.bound.values()}:
             bits = np.zeros(1 << 22, bool)
-            for _, p in self.items:
+            for _, p in (x for x in self.items if len(x[1]) >= MIN_WORDS):
                 bits[self.grams(np.array(p, np.int64), q, np.arange(len(p) - q + 1))] = True
             self.members[q] = bits
         # sampled steps and the items' keys
@@ -164,7 +169,7 @@ class Index:
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(item, window starts) that share a bucket; ids ends with enough zeros for a walk."""
-        if not self.items:
+        if not self.lengths:
             return
         hits = {}
         for q, bits in self.members.items():
@@ -221,6 +226,12 @@ class Index:
             doc = np.searchsorted(offsets, where, side="right") - 1
             blocks.update(zip([item] * len(where), doc.tolist(), ((where - offsets[doc]) // n).tolist(), strict=True))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for at in np.flatnonzero(np.isin(ids, list(self.brief))).tolist() if self.brief else ():
+            for item in self.brief[int(ids[at])]:
+                pattern = self.items[item][1]
+                doc = int(np.searchsorted(offsets, at, side="right")) - 1
+                if (doc, item) not in best and ids[at : at + len(pattern)].tolist() == pattern:  # a zero parts the documents
+                    best[doc, item] = (0, at - int(offsets[doc]), at - int(offsets[doc]) + len(pattern))
         bags = {item: Counter(self.items[item][1]) for item, _, _ in blocks}
         for item, doc, block in sorted(blocks):
             pattern = self.items[item][1]
@@ -279,8 +290,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, similarity: float = SIM
 
     A row for each row of ``docs`` and item with a match: the closest stretch, the earliest of
     those, in words (end exclusive). Clean documents return nothing, so null, empty and short texts
-    do not, nor does anything match a null item, or one of fewer than ``MIN_WORDS`` words. Items
-    that repeat each return rows, and so do rows of ``docs`` that repeat.
+    do not, nor does anything match a null item or one without words; items of fewer than
+    ``MIN_WORDS`` words match without edits. Items that repeat each return rows, and so do rows of ``docs`` that repeat.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     schema = "doc_id long, item_id long, edits long, n_words long, start_word long, end_word long"

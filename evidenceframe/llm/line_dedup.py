@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 RATIO = 0.1
-MIN_PAGES = 3
+#: A line that one page alone has is no repeat, whatever share of a small site that page is.
+MIN_PAGES = 2
 
 #: What is cut off both ends of a line before lines are compared.
 _EDGE = " \t\r\x0b\x0c"
@@ -39,14 +40,8 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", ratio: float = RATI
     return over.groupBy("host").agg(F.sort_array(F.collect_set(F.struct("h1", "h2"))).alias("lines"))
 
 
-def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``docs`` with boilerplate lines removed from ``text``, plus ``n_lines`` and ``n_dropped``.
-
-    A page is one row; a line counts once a page. Lines are compared without the blanks around
-    them; blank lines are never counted or dropped. A line must be on more than ``ratio`` of its
-    site's pages and on ``min_pages`` at least. Rows with a null host form one site; null texts stay
-    null with 0 lines; a text that loses all lines becomes empty. Repeated rows count as pages.
-    """
+def _cleaned(docs: DataFrame, host: str, ratio: float, min_pages: int) -> DataFrame:
+    """``docs`` without boilerplate lines in ``text``, with ``__n_lines`` and ``__n_dropped``."""
     drop = written(boilerplate_lines(docs, host, ratio, min_pages), "boilerplate").select(F.col("host").alias("__host"), F.col("lines").alias("__lines"))
     joined = docs.join(drop, F.col(host).eqNullSafe(F.col("__host")), "left")
     lines = F.split(F.col("text"), "\n")
@@ -55,13 +50,35 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO
     kept = F.filter(lines, lambda x: ~F.array_contains(known, F.struct(F.xxhash64(key(x)).alias("h1"), F.hash(key(x)).alias("h2"))))
     return (
         joined.withColumn("__kept", kept)
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
-        .withColumn("n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("n_lines") - F.size("__kept")).cast("bigint"))
-        .withColumn("text", F.when(F.col("n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text")))
+        .withColumn("__n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("bigint"))
+        .withColumn("__n_dropped", F.when(F.col("text").isNull(), 0).otherwise(F.col("__n_lines") - F.size("__kept")).cast("bigint"))
+        .withColumn("text", F.when(F.col("__n_dropped") > 0, F.array_join("__kept", "\n")).otherwise(F.col("text")))
         .drop("__host", "__lines", "__kept")
     )
 
 
+def drop_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` with boilerplate lines removed from ``text``, plus ``n_lines`` and ``n_dropped``.
+
+    A page is one row; a line counts once a page. Lines are compared without the blanks around
+    them; blank lines are never counted or dropped. A line must be on more than ``ratio`` of its
+    site's pages and on ``min_pages`` at least. Rows with a null host form one site; null texts stay
+    null with 0 lines; a text that loses all lines becomes empty. Repeated rows count as pages.
+    Columns ``n_lines`` and ``n_dropped`` of ``docs`` are replaced.
+    """
+    cleaned = _cleaned(docs, host, ratio, min_pages).drop("n_lines", "n_dropped")
+    return cleaned.withColumnsRenamed({"__n_lines": "n_lines", "__n_dropped": "n_dropped"})
+
+
+def without_boilerplate(docs: DataFrame, host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """``docs`` with the same columns: texts without boilerplate lines, and ``n_chars``, if there, of those that lost any."""
+    cleaned = _cleaned(docs, host, ratio, min_pages)
+    if "n_chars" in docs.columns:
+        now = F.when(F.col("__n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+        cleaned = cleaned.withColumn("n_chars", now.cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)
+
+
 ORACLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, source, unnest(list_distinct(list_filter(
