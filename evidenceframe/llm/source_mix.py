@@ -15,23 +15,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, checkpointed, written
+from .common import WORD_SQL, written
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-STEPS = 60
-#: Passes that bring the rounded copies closer to the targets.
-PASSES = 6
-#: Documents of one size and source that one window ranks, about.
+#: Hashes of one size and source, or rows of one hash, that one window ranks, about.
 RANKED = 5_000
+#: Cells that a join may broadcast, by count; above it both sides are shuffled.
+SMALL = 400_000
+
+
+def _size():
+    """The number of words, 0 for a null text."""
+    return F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_SQL)), F.lit(0)).cast("bigint")
+
+
+def _mark():
+    """The hash by which documents of one size take turns."""
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), F.lit(3))
 
 
 def with_sizes(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size): size is the number of words, 0 for a null text."""
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD_SQL)), F.lit(0)).cast("bigint").alias("size"),
-    )
+    """(doc_id, source, size, h)."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), _size().alias("size"), _mark().alias("h"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -44,7 +50,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     order = Window.orderBy(F.col("source").cast("binary").asc_nulls_last())  # one row a source
     at = (F.row_number().over(order) - 1) % len(weights)
     sources = sources.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), (at + 1).cast("int")).cast("double"))
-    sources = checkpointed(sources.withColumn("capped", F.lit(False)))
+    sources = written(sources.withColumn("capped", F.lit(False)), "mix")
     total = sources.agg(F.sum("source_size")).first()[0] or 0
     level, capped = 0.0, -1
     while True:
@@ -54,42 +60,39 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
         if count == capped or not weight:
             break
         capped, level = count, (total - full) / weight
-        sources = checkpointed(sources.withColumn("capped", F.col("capped") | (F.col("w") * level > cap * F.col("source_size"))))
+        sources = written(sources.withColumn("capped", F.col("capped") | (F.col("w") * level > cap * F.col("source_size"))), "mix")
     return sources.select("source", "source_size", F.when(F.col("capped"), F.col("source_size").cast("double") * cap).otherwise(F.col("w") * level).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of ``docs``.
+def allotted(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """A row for each source and size of ``sizes`` (source, size, h): s, z, source_size, target,
+    rate, each, cut, slots, ties.
 
-    A null source is a source of its own, a null text has size 0. Documents of size 0 are taken
-    about once and add nothing. Repeated rows each count and each return a row; the order among
-    documents of one size is by a hash of the id. An empty table gives no rows. Reruns agree.
+    Documents get ``each`` copies, and one more where their hash is below ``cut``, or at it for
+    ``slots`` of the ``ties`` rows there.
     """
-    sizes = written(with_sizes(docs), "sizes")
-    goal = checkpointed(targets(sizes, weights, cap))
+    goal = written(targets(sizes, weights, cap), "mix")
     cells = sizes.groupBy("source", "size").agg(F.count("*").alias("n"))
     cells = cells.join(goal.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     pages = Window.partitionBy("source")
-    cells = checkpointed(cells.withColumn("z", F.col("size") * F.sum("n").over(pages) / F.greatest(F.col("source_size"), F.lit(1))))
-    # Newton's method, kept inside a bracket that every step narrows.
-    tilt = checkpointed(
-        goal.select("source", "source_size", "target", F.lit(0.0).alias("t"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi"), F.lit(False).alias("done"))
-    )
+    cells = written(cells.withColumn("z", F.col("size") * F.sum("n").over(pages) / F.greatest(F.col("source_size"), F.lit(1))), "mix")
+    # Newton's method, kept inside a bracket. A step that has not halved the gap is followed by one
+    # that halves the bracket, so that it ends.
+    tilt = written(
+        goal.select("source", "source_size", "target", F.lit(0.0).alias("t"), F.lit(-64.0).alias("lo"), F.lit(64.0).alias("hi"), F.lit(float("inf")).alias("was"), F.lit(False).alias("done")), "mix")
     rate = lambda t, z: cap / (1 + (cap - 1) * F.exp(-t * z))
-    for _ in range(STEPS):
+    while tilt.where("not done").limit(1).count():
         now = cells.join(tilt.select(F.col("source").alias("s"), "t"), F.col("source").eqNullSafe(F.col("s"))).withColumn("r", rate(F.col("t"), F.col("z")))
         mass = F.col("n") * F.col("size")
         sums = now.groupBy("s").agg(F.sum(mass * F.col("r")).alias("has"), F.sum(mass * F.col("z") * F.col("r") * (1 - F.col("r") / cap)).alias("slope"))
         step = tilt.join(sums, tilt.source.eqNullSafe(sums.s)).withColumn("gap", F.col("has") - F.col("target"))
         step = step.withColumn("lo", F.when(F.col("gap") < 0, F.col("t")).otherwise(F.col("lo"))).withColumn("hi", F.when(F.col("gap") >= 0, F.col("t")).otherwise(F.col("hi")))
         jump = F.col("t") - F.col("gap") / F.col("slope")
-        inside = (F.col("slope") > 0) & (jump > F.col("lo")) & (jump < F.col("hi"))
+        inside = (F.abs("gap") <= F.col("was") / 2) & (F.col("slope") > 0) & (jump > F.col("lo")) & (jump < F.col("hi"))
         done = F.col("done") | (F.abs(F.col("gap")) <= 1e-7 * F.col("target")) | (F.col("target") >= cap * F.col("source_size")) | (F.col("hi") - F.col("lo") < 1e-9)
-        tilt = checkpointed(
-            step.select("source", "source_size", "target", F.when(done, F.col("t")).when(inside, jump).otherwise((F.col("lo") + F.col("hi")) / 2).alias("t"), "lo", "hi", done.alias("done"))
+        tilt = written(
+            step.select("source", "source_size", "target", F.when(done, F.col("t")).when(inside, jump).otherwise((F.col("lo") + F.col("hi")) / 2).alias("t"), "lo", "hi", F.abs("gap").alias("was"), done.alias("done")), "mix"
         )
-        if not tilt.where("not done").limit(1).count():
-            break
     full = F.col("target") >= cap * F.col("source_size")
     final = tilt.select(F.col("source").alias("s"), F.round("t", 7).alias("t"))
     cells = cells.join(final, F.col("source").eqNullSafe(F.col("s"))).drop("s")
@@ -100,49 +103,94 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     cells = cells.withColumn("run", F.sum(F.col("n") * F.col("rate")).over(along))
     before = F.coalesce(F.lag("run").over(Window.partitionBy("source").orderBy("size")), F.lit(0.0))
     cells = cells.withColumn("give", (F.floor(F.col("run") + 0.5) - F.floor(before + 0.5)).cast("bigint"))
-    cells = _settled(checkpointed(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", "rate", "give")), cap)
-    # Within a cell, the first documents by hash get the copies that are left over. Large cells are
-    # ranked in parts whose counts are added up first.
-    docs = sizes.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))).drop("s", "z")
-    docs = docs.withColumn("h", F.xxhash64("doc_id", F.lit(3))).withColumn("part", F.pmod("h", F.ceil(F.col("n") / RANKED)))
-    parts = docs.groupBy("source", "size", "part").agg(F.count("*").alias("c"))
-    earlier = Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = checkpointed(parts.select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("part").alias("p"), F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("skip")))
-    docs = docs.join(parts, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.col("part") == F.col("p"))).drop("s", "z", "p")
-    rank = F.col("skip") + F.row_number().over(Window.partitionBy("source", "size", "part").orderBy("h", "doc_id"))
-    each = F.floor(F.col("give") / F.col("n"))
-    copies = (each + F.when(rank <= F.col("give") - each * F.col("n"), 1).otherwise(0)).cast("bigint")
-    docs = docs.withColumn("copies", copies)
-    return docs.select("doc_id", "source", "size", F.col("source_size").cast("bigint").alias("source_size"), "target", "rate", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    cells = _settled(written(cells.select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "source_size", "target", "rate", "give"), "mix"), cap)
+    # Within a cell, the first documents by hash get the copies that are left over. Rows of one hash
+    # are counted first, and large cells are ranked in parts of the hashes' range.
+    each = F.floor(F.col("give") / F.col("n")).cast("bigint")
+    cells = written(cells.select("s", "z", "n", "source_size", "target", "rate", each.alias("each"), (F.col("give") - each * F.col("n")).alias("extra")), "mix")
+    key = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z"))
+    marks = sizes.groupBy("source", "size", "h").agg(F.count("*").alias("c")).join(cells.where("extra > 0").select("s", "z", "n", "extra"), key)
+    wide = F.ceil(F.col("n") / RANKED).cast("double")
+    part = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * wide)
+    marks = written(marks.select("s", "z", "h", "c", "extra", part.alias("part")), "marks")
+    ahead = Window.partitionBy("s", "z").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = marks.groupBy("s", "z", "part", "extra").agg(F.sum("c").alias("c")).withColumn("skip", F.coalesce(F.sum("c").over(ahead), F.lit(0)))
+    parts = parts.where("skip < extra and extra <= skip + c").select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("part").alias("p2"), "skip")
+    last = marks.join(parts, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")) & (F.col("part") == F.col("p2")))
+    within = Window.partitionBy("s", "z").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("slots", F.col("extra") - F.col("skip") - F.coalesce(F.sum("c").over(within), F.lit(0))).where("slots > 0 and slots <= c")
+    last = last.select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("h").alias("cut"), "slots", F.col("c").alias("ties"))
+    return written(cells.join(last, F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2")), "left").drop("s2", "z2", "n", "extra"), "allotted")
+
+
+def _with_copies(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """``rows`` (__source, __size, __h and others) with their cell's columns and ``copies``."""
+    cells = F.broadcast(cells) if cells.limit(SMALL + 1).count() <= SMALL else cells
+    rows = rows.join(cells, F.col("__source").eqNullSafe(F.col("s")) & (F.col("__size") == F.col("z")))
+    more = F.when(F.col("__h") < F.col("cut"), 1).when((F.col("__h") == F.col("cut")) & (F.col("slots") == F.col("ties")), 1).otherwise(0)
+    out = rows.withColumn("copies", (F.col("each") + more).cast("bigint"))
+    if not cells.where("slots < ties").limit(1).count():
+        return out
+    # Rows that repeat an id and a text share the cut, and only some get the copy: these are
+    # written with numbers, and ranked in parts.
+    torn = F.coalesce((F.col("__h") == F.col("cut")) & (F.col("slots") < F.col("ties")), F.lit(False))
+    some = written(out.where(torn).withColumn("__no", F.monotonically_increasing_id()), "torn")
+    some = some.withColumn("__part", F.pmod(F.xxhash64("__no"), F.ceil(F.col("ties") / RANKED)))
+    counts = some.groupBy("s", "z", "__part").agg(F.count("*").alias("__c"))
+    earlier = Window.partitionBy("s", "z").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(F.col("s").alias("__s"), F.col("z").alias("__z"), F.col("__part").alias("__p"), F.coalesce(F.sum("__c").over(earlier), F.lit(0)).alias("__skip"))
+    some = some.join(counts, F.col("s").eqNullSafe(F.col("__s")) & (F.col("z") == F.col("__z")) & (F.col("__part") == F.col("__p")))
+    rank = F.col("__skip") + F.row_number().over(Window.partitionBy("s", "z", "__part").orderBy("__no"))
+    some = some.withColumn("copies", F.col("each") + F.when(rank <= F.col("slots"), 1).otherwise(0))
+    return out.where(~torn).unionByName(some.select(out.columns))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """(doc_id, source, size, source_size, target, rate, copies, taken) for each row of ``docs``.
+
+    A null source is a source of its own, a null text has size 0. Documents of size 0 are taken
+    about once and add nothing. Repeated rows each count and each return a row; the order among
+    documents of one size is by a hash of id and text. An empty table gives no rows. Reruns agree.
+    """
+    sizes = written(with_sizes(docs), "sizes")
+    cells = allotted(sizes, weights, cap)
+    rows = _with_copies(sizes.select("doc_id", F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("h").alias("__h")), cells)
+    return rows.select(
+        "doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"), F.col("source_size").cast("bigint").alias("source_size"), "target", "rate", "copies",
+        (F.col("copies") * F.col("__size")).alias("taken"),
+    )
 
 
 def _settled(cells: DataFrame, cap: int) -> DataFrame:
     """Cells whose copies add up closer to the targets.
 
     Each pass moves every source by as many copies as fit of its largest size that is not above the
-    gap left by rounding, so the gap falls below that size.
+    gap left by rounding, until no size fits: the gap is then below the least size that has room.
     """
-    for _ in range(PASSES):
+    while True:
         gaps = cells.groupBy("s").agg(F.sum(F.col("give") * F.col("z")).alias("has")).withColumnRenamed("s", "k")
         now = cells.join(gaps, F.col("s").eqNullSafe(F.col("k"))).drop("k").withColumn("gap", F.col("target") - F.col("has")).drop("has")
         room = F.when(F.col("gap") > 0, cap * F.col("n") - F.col("give")).otherwise(F.col("give"))
         fits = F.when((F.col("z") > 0) & (room > 0) & (F.col("z") <= F.abs("gap")), F.least(room, F.floor(F.abs("gap") / F.greatest("z", F.lit(1)))))
-        now = checkpointed(now.withColumn("move", F.coalesce(fits, F.lit(0)).cast("bigint")))
+        now = written(now.withColumn("move", F.coalesce(fits, F.lit(0)).cast("bigint")), "mix")
         best = now.where("move > 0").groupBy("s").agg(F.max("z").alias("bz")).withColumnRenamed("s", "k")
         if not best.limit(1).count():
             return cells
         turn = F.when(F.col("bz") == F.col("z"), F.signum("gap").cast("bigint") * F.col("move")).otherwise(0)
         now = now.join(best, F.col("s").eqNullSafe(F.col("k")), "left").withColumn("give", F.col("give") + F.coalesce(turn, F.lit(0)))
-        cells = checkpointed(now.select("s", "z", "n", "source_size", "target", "rate", "give"))
+        cells = written(now.select("s", "z", "n", "source_size", "target", "rate", "give"), "mix")
     return cells
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, numbered by ``copy`` from 1.
 
-    Rows with a null doc_id, and rows that repeat a doc_id, get the copies of that doc_id's first
-    row by hash order.
+    Each row is judged by itself, so rows with a null or repeated doc_id get what ``mix`` takes of
+    them. A column ``copy`` of ``docs`` is replaced, wherever its name stood.
     """
-    taken = mix(docs, weights, cap).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
-    out = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__id"))).where("__copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies")
+    docs = docs.drop("copy")
+    cells = allotted(written(with_sizes(docs), "sizes"), weights, cap)
+    kept = [F.col(c).alias(f"__{i}_{c}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*kept, F.col("source").cast("string").alias("__source"), _size().alias("__size"), _mark().alias("__h"))
+    out = _with_copies(rows, cells).where("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(f"__{i}_{c}").alias(c) for i, c in enumerate(docs.columns)], F.col("__copy").alias("copy"))
