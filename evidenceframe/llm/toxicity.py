@@ -7,7 +7,8 @@ negative part falls below zero, the step goes the other way, so that the model c
 unlabelled examples as negatives beyond what the prior allows.
 
 The classifier is fitted on at most about ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents, chosen
-by a hash of their ids; scores cover every row and whole texts.
+by a hash of their ids; scores cover every row and whole texts. Tasks count features first, and only
+those that mark positives come to the driver, so its memory does not follow the lengths of texts.
 """
 
 from __future__ import annotations
@@ -18,11 +19,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_of, released, texts_of
+from .common import column_of, pieces, released, texts_of, written
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
-MAX_FEATURES = 4_096
 THRESHOLD = 0.3
 BITS = 20
 STEPS = 400
@@ -72,14 +72,29 @@ class Features(dict):
         return out
 
 
-def _gather(batches):
-    known = Features()
-    for batch in batches:
-        texts = texts_of(batch)
-        marks = [xxhash.xxh3_64_digest(t or b"") for t in texts]
-        present = [np.sort(np.fromiter(known.present(t), np.uint32)).tobytes() for t in texts]
-        flags = [pa.array(column_of(batch, c), pa.bool_()) for c in ("positive", "drawn")]
-        yield pa.RecordBatch.from_arrays([*flags, pa.array(marks, pa.binary()), pa.array(present, pa.binary())], names=["positive", "drawn", "mark", "features"])
+def _counts(batches):
+    """(feature, p, u): in how many positive and unlabelled examples of the task a feature is present."""
+    known, sums = Features(), np.zeros((2, 1 << BITS), np.int64)
+    for batch in pieces(batches, 1_024):
+        kinds = zip(column_of(batch, "positive"), column_of(batch, "drawn"), strict=True)
+        for text, both in zip(texts_of(batch), kinds, strict=True):
+            present = np.fromiter(known.present(text), np.int64)
+            for side, is_one in zip(sums, both, strict=True):
+                if is_one:
+                    side[present] += 1
+    at = np.flatnonzero(sums.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["feature", "p", "u"])
+
+
+def _examples(used: frozenset):
+    def run(batches):
+        known = Features(used)
+        for batch in pieces(batches, 1_024):
+            present = [np.sort(np.fromiter(known.present(t), np.uint32)).tobytes() for t in texts_of(batch)]
+            names = ["positive", "drawn", "m0", "m1"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(present, pa.binary())], names=[*names, "features"])
+
+    return run
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -97,26 +112,28 @@ class PuModel:
         return float(_sigmoid(np.array(x)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> PuModel:
-    """Train on lists of feature arrays. Without examples of both kinds, every score is the prior."""
-    prior = min(max(prior, 1e-4), 0.5)
-    base = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
-        return PuModel({}, base)
-    size = 1 << BITS
-    p = np.bincount(np.concatenate(positive), minlength=size)
-    u = np.bincount(np.concatenate(unlabelled), minlength=size)
-    # Features that mark positives: more frequent there than chance allows (Chernoff bound of the
-    # Poisson tail), at a false discovery rate of FDR over all features that two positives have.
+def marking(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
+    """Features that mark positives, from the number of positive and unlabelled examples that have each.
+
+    They are more frequent there than chance allows (Chernoff bound of the Poisson tail), at a false
+    discovery rate of FDR over all features that two positives have.
+    """
     tested = np.flatnonzero(p >= 2)
-    expected = len(positive) * (u[tested] + 0.5) / len(unlabelled)
+    if not n_p or not n_u or not len(tested):
+        return np.empty(0, np.int64)
+    expected = n_p * (u[tested] + 0.5) / n_u
     k = p[tested].astype(float)
     tail = np.where(k > 3 * expected, k - expected - k * np.log(k / expected), 0.0)
     order = np.argsort(tail, kind="stable")
-    passed = np.flatnonzero(tail[order] <= np.log(FDR * np.arange(1, len(order) + 1) / max(1, len(order))))
-    good = tested[order[: passed[-1] + 1]] if len(passed) else tested[:0]
-    good = good[:MAX_FEATURES]
-    if not len(good):
+    passed = np.flatnonzero(tail[order] <= np.log(FDR * np.arange(1, len(order) + 1) / len(order)))
+    return tested[order[: passed[-1] + 1]] if len(passed) else tested[:0]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, good: np.ndarray) -> PuModel:
+    """Train on the features ``good`` of the examples. Without such features, every score is the prior."""
+    prior = min(max(prior, 1e-4), 0.5)
+    base, size = float(np.log(prior / (1 - prior))), 1 << BITS
+    if not positive or not unlabelled or not len(good):
         return PuModel({}, base)
     at = np.full(size, -1, np.int64)
     at[good] = np.arange(len(good))
@@ -166,12 +183,20 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 4, fold: int = 2) ->
     some = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1_000_000_000)) < int(min(1.0, MAX_UNLABELLED / max(1, total)) * 1_000_000_000)
     taken = texts.where("doc_id is not null").join(F.broadcast(confirmed), "doc_id", "left").where(F.col("positive") | some)
     taken = taken.select(F.coalesce("positive", F.lit(False)).alias("positive"), some.alias("drawn"), "text")
-    rows = taken.mapInArrow(released(_gather), "positive boolean, drawn boolean, mark binary, features binary").toArrow().to_pylist()
-    # copies count once; in order of the mark, so that reruns agree
-    pos = {r["mark"]: r["features"] for r in rows if r["positive"]}
-    unl = {r["mark"]: r["features"] for r in rows if r["drawn"]}
-    pos, unl = ([np.frombuffer(x[k], np.uint32) for k in sorted(x)] for x in (pos, unl))
-    return fit(pos, unl, positives / n)
+    # copies count once
+    marks = [F.xxhash64("text"), F.xxhash64("text", F.lit(1))]
+    once = taken.groupBy(marks[0].alias("m0"), marks[1].alias("m1")).agg(F.max("positive").alias("positive"), F.max("drawn").alias("drawn"), F.first("text").alias("text"))
+    once = written(once, "examples")
+    n_p, n_u = once.agg(F.count_if("positive"), F.count_if("drawn")).first()
+    sums = once.mapInArrow(released(_counts), "feature long, p long, u long").groupBy("feature").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).toArrow()
+    p, u = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    at = sums.column("feature").to_numpy().astype(np.int64)
+    p[at], u[at] = sums.column("p").to_numpy(), sums.column("u").to_numpy()
+    good = marking(p, u, n_p, n_u)
+    rows = once.mapInArrow(released(_examples(frozenset(good.tolist()))), "positive boolean, drawn boolean, m0 long, m1 long, features binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["m0"], r["m1"]))  # so that reruns agree
+    pos, unl = ([np.frombuffer(r["features"], np.uint32) for r in rows if r[kind]] for kind in ("positive", "drawn"))
+    return fit(pos, unl, positives / n, good)
 
 
 def _scores(model: PuModel):
