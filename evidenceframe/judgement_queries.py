@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.text import mixed_tokens, normal_text
-from .operators import evaluation, lexical, linking, markdown_tables, projections, routing, stages
+from .operators import evaluation, evidence, lexical, linking, markdown_tables, projections, rerank, routing, stages
 from .plans.retrieval import Corpus
 from .queries import ASKED, CHUNKS, MIXED, POSTINGS, _bm25, _brand_tables, query, table
 
@@ -261,6 +261,64 @@ def lex06_table_topk(spark, sf_dir):
     return lexical.table_search(nodes, c.questions)
 
 
+# Gate and rerank
+
+
+@query(f"""WITH {STAGED}, c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN flag = 'A' AND d >= 0.03 THEN 0 ELSE 1 END, d DESC, rank) AS place FROM s0),
+k AS (SELECT *, flag = 'A' AND d >= 0.03 AND place <= 3 AS candidate FROM c)
+SELECT query_id, node_id, candidate, CAST(least(greatest(8, 6 + count(*) FILTER (WHERE candidate) OVER (PARTITION BY query_id)), count(*) OVER (PARTITION BY query_id)) AS INTEGER) AS top_n FROM k""")
+def rrk02_guardrail(spark, sf_dir):
+    """Lines as hits; those of flag A share an anchor with the question."""
+    hits = _staged(spark, sf_dir).where("stage = 'initial'").select("query_id", "node_id", "rank", (F.col("d") * 10).cast("double").alias("score"), (F.col("flag") == "A").alias("shares_anchor"))
+    return rerank.guardrail(hits).select("query_id", "node_id", "candidate", "top_n")
+
+
+@query(f"""WITH {STAGED}, m AS (SELECT DISTINCT query_id, rank, m FROM (SELECT query_id, rank, unnest([CASE flag WHEN 'A' THEN 'table' WHEN 'N' THEN 'image' ELSE 'text' END, CASE WHEN q > 40 THEN 'table' END, CASE WHEN q < 10 THEN 'image' END, CASE WHEN d > 0.08 THEN 'formula' END, CASE WHEN page < 3 OR status = 'O' THEN 'page' END]) AS m FROM s0) WHERE m IS NOT NULL)
+SELECT query_id, m AS modality, count(*) AS n FROM m GROUP BY ALL""")
+def agg04_modality_coverage(spark, sf_dir):
+    hits = _staged(spark, sf_dir).where("stage = 'initial'")
+    told = hits.select(
+        "query_id", F.when(F.col("flag") == "A", "table").when(F.col("flag") == "N", "image").alias("modality"), F.when(F.col("q") > 40, "| a |").alias("table_markdown"), F.when(F.col("q") < 10, "a.png").alias("image_path"),
+        F.when(F.col("d") > 0.08, "x").otherwise("").alias("formula_latex"), F.when(F.col("page") < 3, F.col("page")).alias("page"), F.when(F.col("status") == "O", "page").otherwise("bm25").alias("channel"),
+    )
+    return evidence.modality_coverage(told)
+
+
+NORMAL = "CASE WHEN flag = 'A' THEN d::DOUBLE * 12 END AS rr, CASE WHEN status = 'F' THEN tax::DOUBLE * 5 END AS sv, CASE WHEN q > 20 THEN 0.02::DOUBLE * rank END AS rrf, CASE WHEN q > 10 THEN q::DOUBLE / 40 END AS sc"
+
+
+@query(f"""WITH {STAGED}, x AS (SELECT query_id, node_id, rank, {NORMAL} FROM s0), y AS (SELECT *, coalesce(rrf, sv, sc, 0) AS raw FROM x)
+SELECT query_id, node_id, round(least(1, greatest(0, coalesce(rr, sv, CASE WHEN rrf IS NULL THEN sc END, 1 / log2(rank + 1)))), 6) AS by_rank, round(least(1, greatest(0, raw)), 6) AS raw,
+  round(CASE WHEN max(raw) OVER w <= min(raw) OVER w THEN 1.0::DOUBLE ELSE (raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w) END, 6) AS by_range FROM y WINDOW w AS (PARTITION BY query_id)""")
+def evd09_normal_scores(spark, sf_dir):
+    d = lambda c: F.col(c).cast("double")
+    hits = _staged(spark, sf_dir).where("stage = 'initial'").select(
+        "query_id", "node_id", "rank", F.when(F.col("flag") == "A", d("d") * 12).alias("rerank_score"), F.when(F.col("status") == "F", d("tax") * 5).alias("score_vector"),
+        F.when(F.col("q") > 20, 0.02 * F.col("rank")).alias("score_rrf"), F.lit(None).cast("double").alias("score_bm25"), F.when(F.col("q") > 10, d("q") / 40).alias("score"),
+    )
+    for mode, name in (("rank", "by_rank"), ("raw", "raw"), ("minmax", "by_range")):
+        hits = evidence.normal_scores(hits, mode).withColumn(name, F.round("normal", 6))
+    return hits.select("query_id", "node_id", "by_rank", "raw", "by_range")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, list_distinct(list_filter([CASE WHEN o_orderkey % 5 = 0 THEN 'missing_page' END, CASE WHEN o_orderkey % 3 = 0 THEN 'low_support' END, CASE WHEN o_custkey % 4 = 0 THEN 'missing_modality:table' END, CASE WHEN o_custkey % 3 = 0 THEN 'low_support' END], lambda x: x IS NOT NULL)) AS r,
+  greatest(o_orderkey % 10 / 10.0, least(1, o_custkey % 13 / 10.0))::DOUBLE AS s, ['none', 'weak', 'partial', 'strong'][CAST(greatest(o_orderkey % 4, o_custkey % 4) + 1 AS BIGINT)] AS l, ['none', 'low', 'medium', 'high'][CAST(greatest(o_orderkey % 3, o_custkey % 4) + 1 AS BIGINT)] AS f, o_orderkey % 2 = 0 OR o_custkey % 2 = 0 AS p FROM orders),
+y AS (SELECT *, CASE WHEN list_has_any(r, ['missing_page', 'missing_modality:table']) THEN CASE WHEN f = 'high' THEN 'refuse' ELSE 'retry' END WHEN p THEN 'pass' ELSE 'retry' END AS d FROM x)
+SELECT k AS query_id, round(s, 6) AS support_score, l AS support_level, f AS conflict_level, d AS decision, CASE WHEN d <> 'pass' AND len(r) = 0 THEN 'agent_or_rule_requires_retry' ELSE array_to_string(list_sort(r), ',') END AS reasons FROM y""")
+def evd13_merge_critique(spark, sf_dir):
+    """Orders as verdicts of the rules (by key) and of a critic (by customer)."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), i.cast("int"))
+    support, conflict = ("none", "weak", "partial", "strong"), ("none", "low", "medium", "high")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("query_id"), F.array_compact(F.array(F.when(k % 5 == 0, "missing_page"), F.when(k % 3 == 0, "low_support"))).alias("gate_reasons"), (k % 10 / 10).alias("support_score"), pick(support, k % 4).alias("support_level"),
+        pick(conflict, k % 3).alias("conflict_level"), F.when(k % 2 == 0, "pass").otherwise("retry").alias("decision"), F.array_compact(F.array(F.when(c % 4 == 0, "missing_modality:table"), F.when(c % 3 == 0, "low_support"))).alias("c_gate_reasons"),
+        (c % 13 / 10).alias("c_support_score"), pick(support, c % 4).alias("c_support_level"), pick(conflict, c % 4).alias("c_conflict_level"), F.when(c % 2 == 0, "pass").otherwise("retry").alias("c_decision"),
+    )
+    got = evidence.merged_with_critique(rows)
+    return got.select("query_id", F.round("support_score", 6).alias("support_score"), "support_level", "conflict_level", "decision", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
+
+
 # Answers
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clip01, compact, overlap_ratio
@@ -191,6 +191,56 @@ def gate(questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage:
     )
 
 
+def modality_coverage(hits: DataFrame) -> DataFrame:
+    """(query_id, modality, n): hits by modality; one with a table, image, formula or page counts for these too."""
+    text = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    kinds = [
+        F.coalesce(F.nullif("modality", F.lit("")), F.lit("text")), F.when(text("table_markdown"), "table"), F.when(text("image_path"), "image"), F.when(text("formula_latex"), "formula"),
+        F.when(F.col("page").isNotNull() | (F.col("channel") == "page"), "page"),
+    ]
+    return hits.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array(*kinds)))).alias("modality")).groupBy("query_id", "modality").agg(F.count("*").alias("n"))
+
+
+def normal_scores(hits: DataFrame, mode: str = "rank") -> DataFrame:
+    """Add ``normal`` to hits (query_id, rank, rerank_score, score_rrf, score_vector, score_bm25, score).
+
+    rank: the rerank score, else the vector's, else a score that no fusion made, else 1 / log2(rank + 1).
+    raw: the first score there is. minmax: that one over the query's, 1 where they are all alike.
+    """
+    raw = F.coalesce("score_rrf", "score_vector", "score_bm25", "score", F.lit(0.0))
+    if mode == "raw":
+        value = raw
+    elif mode == "minmax":
+        of_query = Window.partitionBy("query_id")
+        low, high = F.min(raw).over(of_query), F.max(raw).over(of_query)
+        value = F.when(high <= low, 1.0).otherwise((raw - low) / (high - low))
+    else:
+        value = F.coalesce("rerank_score", "score_vector", F.when(F.col("score_rrf").isNull(), F.col("score")), 1 / F.log2(F.col("rank") + 1))
+    return hits.withColumn("normal", clip01(value))
+
+
+def merged_with_critique(rows: DataFrame, s: Settings = DEFAULTS, allow_refusal: bool = True) -> DataFrame:
+    """The rules' verdict and a critic's in one, by conservative rules.
+
+    rows: query_id, gate_reasons, support_score, support_level, conflict_level, decision, and the same
+    with ``c_`` before them, of the critic (whose reasons are the actions it recommends).
+    """
+    none = F.array().cast("array<string>")
+    reasons = F.array_distinct(F.concat(F.coalesce("gate_reasons", none), F.coalesce("c_gate_reasons", none)))
+    stronger = lambda a, b, names: F.get(F.array(*map(F.lit, names)), F.greatest(*[F.greatest(F.lit(0), F.array_position(F.array(*map(F.lit, names)), F.col(c)).cast("int") - 1) for c in (a, b)]))
+    out = rows.select(
+        "query_id", reasons.alias("reasons"), F.greatest("support_score", clip01(F.col("c_support_score"))).alias("support_score"),
+        stronger("support_level", "c_support_level", ("none", "weak", "partial", "strong")).alias("support_level"), stronger("conflict_level", "c_conflict_level", ("none", "low", "medium", "high")).alias("conflict_level"),
+        F.col("decision").alias("__rule"), F.col("c_decision").alias("__critic"),
+    )
+    hard = F.exists("reasons", lambda x: x.isin("insufficient_hits", "missing_page", "missing_source", "missing_numeric") | x.startswith("missing_modality:"))
+    one = (F.col("__rule") == "pass") | (F.col("__critic") == "pass")
+    decision = F.when(hard & (F.col("conflict_level") == "high") & F.lit(allow_refusal), "refuse").when(hard, "retry").when(one, "pass").otherwise("retry")
+    out = out.withColumn("decision", decision)
+    empty = (F.col("decision") != "pass") & (F.size("reasons") == 0)
+    return out.withColumn("reasons", F.when(empty, F.array(F.lit("agent_or_rule_requires_retry"))).otherwise(F.col("reasons"))).drop("__rule", "__critic")
+
+
 def number_buckets(values: Column, tolerance: float) -> Column:
     """Numbers that count as one: half-even rounding to multiples of the tolerance; percentages stay apart."""
     bucket = lambda v: F.bround(F.regexp_replace(v, "%", "").cast("double") / tolerance).cast("bigint").cast("string")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..settings import DEFAULTS, Settings
@@ -29,6 +29,20 @@ def rerank(hits: DataFrame, questions: DataFrame, scorer: Callable[[DataFrame],
     return out.withColumn("removed_reason", reason)
 
 
+def guardrail(hits: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Hits (query_id, node_id, rank, score, shares_anchor) with ``candidate`` and the query's ``top_n``.
+
+    The best hits that share an anchor with the question and reach the least score are candidates;
+    the reranker may return as many more hits as there are.
+    """
+    near = F.coalesce(F.col("shares_anchor"), F.lit(False)) & (F.col("score") >= s.guardrail_score)
+    of_query = Window.partitionBy("query_id")
+    place = F.row_number().over(of_query.orderBy(F.when(near, 0).otherwise(1), F.desc("score"), "rank"))
+    out = hits.withColumn("candidate", near & (place <= s.guardrail_hits))
+    widened = F.greatest(F.lit(s.rerank_top), s.context_top + F.count_if("candidate").over(of_query))
+    return out.withColumn("top_n", F.least(widened, F.count("*").over(of_query)).cast("int"))
+
+
 def prompt_context(hits: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     """(query_id, citation, node_id, chars, truncated): hits that fit the character budget, in order.
 
