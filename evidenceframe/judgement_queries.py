@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.text import mixed_tokens, normal_text
-from .operators import evaluation, evidence, lexical, linking, markdown_tables, projections, rerank, routing, stages
+from .operators import evaluation, evidence, grading, lexical, linking, markdown_tables, projections, rerank, routing, stages
 from .plans.retrieval import Corpus
-from .queries import ASKED, CHUNKS, MIXED, POSTINGS, _bm25, _brand_tables, query, table
+from .queries import ASKED, BASE, CHUNKS, MIXED, POSTINGS, _bm25, _brand_tables, query, table
+from .settings import DEFAULTS
 
 # Functions of text
 
@@ -319,6 +322,87 @@ def evd13_merge_critique(spark, sf_dir):
     return got.select("query_id", F.round("support_score", 6).alias("support_score"), "support_level", "conflict_level", "decision", F.array_join(F.array_sort("reasons"), ",").alias("reasons"))
 
 
+# Grades and advice
+
+GRADED = """g AS (SELECT query_id, node_id, rank, d::DOUBLE * 10 AS score, CASE WHEN q > 25 THEN tax::DOUBLE * 10 END AS rr, CASE flag WHEN 'A' THEN 'irrelevant' WHEN 'N' THEN CASE WHEN status = 'O' THEN 'strong' ELSE 'weak' END END AS label, tax::DOUBLE * 8 AS rel, q < 6 AS anchor, q > 48 AS flagged FROM s0)"""
+
+
+def _graded(spark, sf_dir):
+    d = lambda c: F.col(c).cast("double")
+    label = F.when(F.col("flag") == "A", "irrelevant").when(F.col("flag") == "N", F.when(F.col("status") == "O", "strong").otherwise("weak"))
+    return _staged(spark, sf_dir).where("stage = 'initial'").select(
+        "query_id", "node_id", "rank", (d("d") * 10).alias("score"), F.when(F.col("q") > 25, d("tax") * 10).alias("rerank_score"), label.alias("label"), (d("tax") * 8).alias("relevance"),
+        (F.col("q") < 6).alias("shares_anchor"), (F.col("q") > 48).alias("flagged"),
+    )
+
+
+AFTER = "round(CASE WHEN label IS NULL THEN score ELSE least(1, greatest(0, score + CASE label WHEN 'irrelevant' THEN -0.2 WHEN 'weak' THEN -0.05 ELSE 0.1 END)) END, 6)"
+
+
+@query(f"""WITH {STAGED}, {GRADED}, r AS (SELECT *, CASE WHEN label = 'irrelevant' AND least(1, rel) < 0.25 THEN 'label_and_score_threshold' END AS why FROM g)
+SELECT query_id, node_id, {AFTER} AS score_after, why AS drop_reason, why IS NOT NULL AND NOT anchor AS dropped, CASE WHEN why IS NOT NULL AND anchor THEN 'query_anchor_overlap' END AS protected, CASE WHEN why IS NOT NULL AND NOT anchor THEN 'agent_irrelevant_label' END AS removed_reason FROM r""")
+def grd02_apply_grades(spark, sf_dir):
+    return grading.graded(_graded(spark, sf_dir)).select("query_id", "node_id", F.round("score_after", 6).alias("score_after"), "drop_reason", "dropped", "protected", "removed_reason")
+
+
+@query(f"""WITH {STAGED}, {GRADED}, r AS (SELECT *, CASE WHEN label IS NULL THEN NULL WHEN flagged THEN 'agent_drop_flag' WHEN label = 'irrelevant' THEN 'label' WHEN least(1, rel) < 0.25 THEN 'score_threshold' END AS why FROM g),
+p AS (SELECT *, CASE WHEN why IS NULL THEN NULL WHEN label <> 'irrelevant' AND score >= 0.55 THEN 'prior_score' WHEN label <> 'irrelevant' AND rr >= 0.7 THEN 'rerank_score' WHEN anchor THEN 'query_anchor_overlap' END AS guard FROM r)
+SELECT query_id, node_id, why AS drop_reason, why IS NOT NULL AND guard IS NULL AS dropped, guard AS protected, CASE WHEN why IS NOT NULL AND guard IS NULL THEN CASE WHEN label = 'irrelevant' THEN 'agent_irrelevant_label' WHEN why = 'score_threshold' THEN 'agent_low_relevance_score' ELSE 'agent_chunk_drop' END END AS removed_reason FROM p""")
+def flt10_drop_rules(spark, sf_dir):
+    """The rules with any one reason enough to drop, and their protections."""
+    got = grading.graded(_graded(spark, sf_dir), replace(DEFAULTS, drop_needs_both=False))
+    return got.select("query_id", "node_id", "drop_reason", "dropped", "protected", "removed_reason")
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_custkey AS c, CASE WHEN o_orderkey % 3 = 0 THEN 'table_first' ELSE 'text_first' END AS r, ['page_first', 'cross_doc', 'sideways'][CAST(o_custkey % 3 + 1 AS BIGINT)] AS ar, o_custkey % 10 / 10.0 AS conf, CASE WHEN o_custkey % 7 = 0 THEN 'sound' ELSE 'table' END AS am FROM orders),
+e AS (SELECT *, concat_ws(',', CASE WHEN ar = 'sideways' THEN 'invalid_route' END, CASE WHEN conf < 0.55 THEN 'low_route_confidence' END, CASE WHEN am = 'sound' THEN 'invalid_modalities' END) AS errors FROM x)
+SELECT k AS query_id, CASE WHEN errors = '' THEN ar ELSE r END AS route, CASE WHEN errors = '' THEN CASE WHEN k % 2 = 0 THEN 'text,table' ELSE 'table' END ELSE CASE WHEN k % 2 = 0 THEN 'text' ELSE '' END END AS modalities,
+  k % 5 = 0 OR (errors = '' AND c % 2 = 0) AS cross_doc, errors = '' AND c % 4 = 1 AS page_level, errors, errors = '' AS used FROM e""")
+def flt12a_route_merge(spark, sf_dir):
+    """Orders as routes of the rules (by key) and of an agent (by customer)."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = table(spark, sf_dir, "orders").select(
+        k.alias("query_id"), F.when(k % 3 == 0, "table_first").otherwise("text_first").alias("route"), F.when(k % 2 == 0, F.array(F.lit("text"))).alias("modalities"), (k % 5 == 0).alias("cross_doc"), F.lit(None).cast("boolean").alias("page_level"),
+        F.get(F.array(F.lit("page_first"), F.lit("cross_doc"), F.lit("sideways")), (c % 3).cast("int")).alias("a_route"), (c % 10 / 10).alias("a_confidence"), F.array(F.when(c % 7 == 0, "sound").otherwise("table")).alias("a_modalities"),
+        (c % 2 == 0).alias("a_cross_doc"), (c % 4 == 1).alias("a_page_level"),
+    )
+    got = grading.merged_routes(rows)
+    return got.withColumns({"modalities": F.array_join("modalities", ","), "errors": F.array_join("errors", ",")})
+
+
+@query("""SELECT l_orderkey AS query_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier, CASE WHEN l_returnflag = 'R' THEN 'invalid_channel' WHEN l_linestatus = 'F' AND l_partkey % 2 = 0 THEN 'invalid_filters' END AS error, CAST(greatest(1, least(32, CAST(l_quantity AS INTEGER) - 3)) AS INTEGER) AS top_k FROM lineitem""")
+def flt12_plan_tasks(spark, sf_dir):
+    key = F.when((F.col("l_linestatus") == "F") & (F.col("l_partkey") % 2 == 0), "colour").otherwise("source")
+    tasks = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("query_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_suppkey").alias("supplier"), F.when(F.col("l_returnflag") == "R", "smell").otherwise("bm25").alias("channel"),
+        (F.col("l_quantity").cast("int") - 3).alias("top_k"), F.create_map(key, F.lit("x")).alias("filters"),
+    )
+    return grading.valid_tasks(tasks).drop("channel", "filters")
+
+
+@query(f"""WITH {STAGED}, r AS (SELECT query_id, CASE WHEN q > 45 THEN 'agent_chunk_drop' WHEN d < 0.02 THEN 'score_threshold_failed' WHEN flag = 'A' THEN 'context_top_n_limit' WHEN flag = 'N' THEN 'citation_not_selected' ELSE 'unknown_removed' END AS reason, status = 'O' AS inferred FROM s0)
+SELECT query_id, count(*) AS removed, count(*) FILTER (WHERE reason = 'agent_chunk_drop') AS agent, count(*) FILTER (WHERE reason = 'score_threshold_failed') AS threshold, count(*) FILTER (WHERE reason = 'context_top_n_limit') AS topk, count(*) FILTER (WHERE inferred) AS inferred FROM r GROUP BY query_id""")
+def agg16_removed_summary(spark, sf_dir):
+    reason = F.when(F.col("q") > 45, "agent_chunk_drop").when(F.col("d") < 0.02, "score_threshold_failed").when(F.col("flag") == "A", "context_top_n_limit").when(F.col("flag") == "N", "citation_not_selected").otherwise("unknown_removed")
+    hits = _staged(spark, sf_dir).where("stage = 'initial'")
+    return grading.removed_summary(hits.select("query_id", reason.alias("reason"), (F.col("status") == "O").alias("inferred")))
+
+
+@query(f"""WITH {STAGED}, x AS (SELECT query_id, list(d::DOUBLE * 12 - 0.1) AS v FROM s0 GROUP BY query_id), g AS (SELECT query_id, list_filter(v, lambda z: z > 0) AS v FROM x)
+SELECT query_id, round(CASE WHEN len(v) = 0 THEN 0.0::DOUBLE WHEN len(v) = 1 THEN least(1, v[1]) ELSE greatest(0, 1 - least(1, list_max(v) - list_min(v))) END, 6) AS score_consistency FROM g""")
+def agg08_span_consistency(spark, sf_dir):
+    scores = _staged(spark, sf_dir).where("stage = 'initial'").groupBy("query_id").agg(F.collect_list(F.col("d").cast("double") * 12 - 0.1).alias("v"))
+    return scores.select("query_id", F.round(grading.span_consistency(F.col("v")), 6).alias("score_consistency"))
+
+
+@query(f"""{BASE}, f AS (SELECT query_id, node_id, round(score_composite * 0.7, 6) AS sc, rank FROM composite), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, rank, node_id) AS r FROM f)
+SELECT query_id, node_id, sc AS score_composite, CAST(r AS INTEGER) AS rank, sc >= 0.2 AS passed, CASE WHEN sc < 0.2 THEN CAST(r AS INTEGER) END AS removed_rank FROM o""")
+def fin01_final_hits(spark, sf_dir):
+    """The final stage keeps the composites it is given, here seven tenths of them."""
+    hits = Corpus(spark, sf_dir).scored().withColumn("score_composite", F.round(F.col("score_composite") * 0.7, 6))
+    return grading.final_hits(hits).select("query_id", "node_id", "score_composite", "rank", "passed", "removed_rank")
+
+
 # Answers
 
 

@@ -39,6 +39,14 @@ class Settings:
     variant_boost_most: float = 0.12
     rerank_top: int = 8
     context_top: int = 6
+    drop_labels: tuple[str, ...] = ("irrelevant",)
+    drop_relevance: float = 0.25
+    drop_needs_both: bool = True
+    protect_prior: float = 0.55
+    protect_rerank: float = 0.70
+    protect_drop_labels: bool = False
+    protect_anchors: bool = True
+    route_confidence: float = 0.55
     carry_top: int = 4
     carry_score: float = 0.35
     max_retries: int = 2
