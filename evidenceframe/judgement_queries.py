@@ -455,8 +455,7 @@ def met15_assertions(spark, sf_dir):
 FAMILY = "CASE WHEN r LIKE 'related%' THEN 'related' WHEN r LIKE 'context%' OR r IN ('prev_id', 'next_id') THEN 'context' WHEN r IN ('same_page_node_ids', 'page_window') THEN 'page' ELSE 'structure' END"
 
 
-@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['prev_id', 'next_id', 'context_prev_node_id', 'context_next_node_id', 'context_node_ids', 'parent_id', 'child_ids', 'doc_prev_node_id', 'doc_next_node_id', 'same_page_node_ids', 'page_window',
-  'related_table_node_ids', 'related_formula_node_ids', 'related_image_node_ids'][CAST(l_partkey % 14 + 1 AS BIGINT)] AS r, CASE l_returnflag WHEN 'A' THEN 'auto' WHEN 'N' THEN 'routed' ELSE 'retry' END AS mode, CASE WHEN l_linestatus = 'O' THEN 'possible_conflict' ELSE 'weak' END AS reason,
+@query(f"""WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, ['parent_id', 'prev_id', 'next_id', 'context_prev_node_id', 'context_next_node_id', 'doc_prev_node_id', 'doc_next_node_id', 'child_ids', 'context_node_ids', 'same_page_node_ids', 'related_table_node_ids', 'related_formula_node_ids', 'related_image_node_ids', 'page_window'][CAST(l_partkey % 14 + 1 AS BIGINT)] AS r, CASE l_returnflag WHEN 'A' THEN 'auto' WHEN 'N' THEN 'routed' ELSE 'retry' END AS mode, CASE WHEN l_linestatus = 'O' THEN 'possible_conflict' ELSE 'weak' END AS reason,
   l_discount::DOUBLE * 10 AS seed, CASE WHEN l_linenumber % 2 = 0 THEN l_tax::DOUBLE * 10 END AS own FROM lineitem), f AS (SELECT *, {FAMILY} AS family FROM x),
 w AS (SELECT *, CASE WHEN r = 'related_table_node_ids' THEN 0.9 WHEN r = 'related_formula_node_ids' THEN 0.85 WHEN r = 'related_image_node_ids' THEN 0.8 WHEN r LIKE 'context%' OR r IN ('parent_id', 'child_ids') THEN 0.6 WHEN r IN ('prev_id', 'next_id') OR r LIKE 'doc%' THEN 0.5 ELSE 0.3 END::DOUBLE AS weight FROM f)
 SELECT l_orderkey AS query_id, l_linenumber AS line, l_partkey AS part, l_suppkey AS supplier, CAST(CASE WHEN family = 'related' THEN 100 WHEN r LIKE 'context%' THEN 80 WHEN family = 'context' THEN 60 WHEN r = 'same_page_node_ids' THEN 40 WHEN family = 'structure' THEN 30 ELSE 20 END AS INTEGER) AS priority, weight,
