@@ -226,6 +226,24 @@ def rte04_rewrite(spark, sf_dir):
     return _asks(spark, sf_dir).select("item_id", routing.rewritten(F.col("q"), F.array_compact(reasons)).alias("query"))
 
 
+TAILS = ["对比 Figure", " 第3页", " 排名 Compare", " chart", " FORMULA", " SIGMA 该页", " plain", " Chart", " 图1 equation", " 不同文档 多少"]
+
+
+def _any(words: tuple[str, ...], text: str = "q") -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+@query(f"""WITH a AS (SELECT item_id, regexp_replace(text || {TAILS!r}[CAST(item_id % 10 + 1 AS BIGINT)], '^\\s+|\\s+$', '', 'g') AS q FROM benchmark),
+k AS (SELECT *, CASE WHEN {_any(routing.TABLE)} THEN 'table' WHEN {_any(routing.IMAGE)} THEN 'image' WHEN {_any(routing.FORMULA, 'lower(q)')} THEN 'formula' WHEN {_any(routing.PAGE)} THEN 'page' END AS kind FROM a)
+SELECT item_id AS query_id, coalesce(kind || '_qa', 'general') AS intent, concat_ws(',', kind, 'text') AS modalities, {_any(routing.CROSS_DOC)} OR contains(lower(q), 'compare') AS cross_doc, {_any(routing.PAGE)} AS page_level,
+  CASE WHEN kind IN ('table', 'image', 'page') THEN kind || '_first' ELSE 'text_first' END AS route FROM k""")
+def rte01_question_analysis(spark, sf_dir):
+    """Questions with an ending that asks for something."""
+    tail = F.get(F.array(*map(F.lit, TAILS)), (F.col("item_id") % len(TAILS)).cast("int"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", tail).alias("text"))
+    return routing.analysed(asked).withColumn("modalities", F.array_join("modalities", ","))
+
+
 def _calls(words: str) -> str:
     return " OR ".join(f"contains(lower(text), '{w.strip()}')" for w in words.split(","))
 

@@ -23,6 +23,36 @@ ADDITIONS = {
 }
 
 
+# Words of a question that tell what it asks for.
+CROSS_DOC = ("对比", "差异", "多个文档", "不同文档")
+PAGE = ("第", "页", "图中", "该页", "右上角", "左下角")
+TABLE = ("表", "统计", "增长", "下降", "排名", "百分比", "多少")
+IMAGE = (
+    "图片", "图像", "照片", "截图", "图中", "图 ", "图1", "图2", "图3", "示意图", "趋势图", "视觉", "figure", "fig.", "chart", "plot", "graph", "curve", "caption", "panel", "subplot", "legend", "axis",
+    "screenshot", "diagram", "photo",
+)
+FORMULA = ("公式", "方程", "表达式", "latex", "equation", "formula", "ratio", "sigma", "theta", "tau")
+
+
+def _holds(text: Column, words: tuple[str, ...]) -> Column:
+    return F.exists(F.array(*map(F.lit, words)), lambda w: text.contains(w))
+
+
+def analysed(questions: DataFrame) -> DataFrame:
+    """(query_id, intent, modalities, cross_doc, page_level, route) of questions (query_id, text).
+
+    Words for tables, images and pages count in the case they have, those for formulas in any case. A
+    formula question has no route of its own.
+    """
+    q = F.regexp_replace(F.coalesce("text", F.lit("")), r"^\s+|\s+$", "")
+    page = _holds(q, PAGE)
+    kind = F.when(_holds(q, TABLE), "table").when(_holds(q, IMAGE), "image").when(_holds(F.lower(q), FORMULA), "formula").when(page, "page")
+    out = questions.select("query_id", kind.alias("kind"), (_holds(q, CROSS_DOC) | F.lower(q).contains("compare")).alias("cross_doc"), page.alias("page_level"))
+    intent = F.coalesce(F.concat("kind", F.lit("_qa")), F.lit("general"))
+    route = F.when(F.col("kind").isin("table", "image", "page"), F.concat("kind", F.lit("_first"))).otherwise("text_first")
+    return out.select("query_id", intent.alias("intent"), F.array_compact(F.array("kind", F.lit("text"))).alias("modalities"), "cross_doc", "page_level", route.alias("route"))
+
+
 def any_keyword(text: Column, keywords: str) -> Column:
     """Whether the text holds one of the keywords, which commas part, in any case."""
     low, out = F.lower(F.coalesce(text, F.lit(""))), F.lit(False)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,6 +25,7 @@ def shared_dir(spark: SparkSession) -> str:
     key = (spark.sparkContext.applicationId, "shared")
     if key not in _built:
         _built[key] = tempfile.mkdtemp(prefix="evidenceframe-")
+        atexit.register(shutil.rmtree, _built[key], ignore_errors=True)
     return _built[key]
 
 
