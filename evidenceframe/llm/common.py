@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import sys
 import tempfile
 import uuid
@@ -31,6 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not sc.master.split("[")[0] == "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         where = tempfile.mkdtemp(prefix="evidenceframe-")
+        atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     elif not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(where)

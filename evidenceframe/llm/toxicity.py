@@ -24,6 +24,8 @@ from .common import column_of, pieces, released, texts_of, written
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
 THRESHOLD = 0.3
+#: The highest score where nothing could be learnt.
+UNLEARNT = 0.2
 BITS = 20
 STEPS = 400
 FDR = 0.02
@@ -130,11 +132,14 @@ def marking(p: np.ndarray, u: np.ndarray, n_p: int, n_u: int) -> np.ndarray:
 
 
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, good: np.ndarray) -> PuModel:
-    """Train on the features ``good`` of the examples. Without such features, every score is the prior."""
+    """Train on the features ``good`` of the examples.
+
+    Without such features every score is the prior, but never one that would be predicted.
+    """
     prior = min(max(prior, 1e-4), 0.5)
     base, size = float(np.log(prior / (1 - prior))), 1 << BITS
     if not positive or not unlabelled or not len(good):
-        return PuModel({}, base)
+        return PuModel({}, min(base, float(np.log(UNLEARNT / (1 - UNLEARNT)))))
     at = np.full(size, -1, np.int64)
     at[good] = np.arange(len(good))
 
