@@ -428,7 +428,7 @@ def _components(docs: DataFrame, percent: int, width: int, wide: int, id_bits: i
 
     def sets_for(pairs: DataFrame) -> DataFrame:
         """(cid, tokens) of the classes of some pairs, from the text of one document of each."""
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+        ids = pairs.select(F.col("a").alias("cid")).distinct().union(pairs.select(F.col("b").alias("cid")).distinct()).distinct()
         reps = written(classes.join(ids, "cid", "left_semi").select("cid", F.col("rep").alias("doc_id")), "reps")
         whole = semi_join_bounded(docs, reps.where("doc_id is not null").select("doc_id").distinct(), "doc_id")
         if reps.where("doc_id is null").limit(1).count():
