@@ -57,10 +57,14 @@ def scratch(spark: SparkSession):
         yield
     finally:
         gone, _made[first:] = _made[first:], []
-        jvm = spark.sparkContext._jvm
         for path in gone:
-            there = jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+            discard(spark, path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a work table that nothing reads any more."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

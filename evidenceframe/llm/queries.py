@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html_extract, jaccard_join, line_dedup, quality, secret_scan, source_mix, toxicity, warc
+from . import decontaminate, fingerprint, html_extract, jaccard_join, kmeans, language_id, line_dedup, quality, secret_scan, source_mix, spelling, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,13 +53,26 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_decontaminate, op2_line_dedup, op3_secret_scan, op4_warc, op5_html_extract,
         op6_quality, op7_jaccard_join, op8_source_mix, op9_toxicity, op10_fingerprint,
+        op11_spelling_variants, op12_kmeans, op13_language_id,
     )
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL}
+    return {"op2_line_dedup": line_dedup.ORACLE_SQL, "op4_warc": warc.ORACLE_SQL, "op11_spelling_variants": spelling.ORACLE_SQL, "op12_kmeans": kmeans.ORACLE_SQL}
