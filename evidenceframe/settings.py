@@ -12,6 +12,11 @@ class Settings:
     table_small_rows: int = 12
     table_group_rows: int = 8
     split_tokens: int = 7936
+    hard_chars: int = 1800
+    hard_part_min: int = 300
+    hard_overlap: int = 80
+    formula_min: int = 8
+    formula_gap_lines: int = 2
     bm25_k1: float = 1.5
     bm25_b: float = 0.75
     top_k: int = 12
