@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import formulas, linking, structure
+from .operators import formulas, linking, segments, splitting, structure
 from .plans.retrieval import Corpus
 from .queries import CHUNKS, query, table
 from .settings import DEFAULTS
@@ -126,3 +127,80 @@ def ext05_formulas(spark, sf_dir):
     word = F.expr(_CASE.replace("\\", "\\\\").replace(" w ", " x.w ").replace("(i - 1)", "(x.i - 1)").replace("|| i ||", "|| x.i ||").replace("ELSE x.w END", "ELSE x.w END").join(["array_join(transform(words, x -> ", "), ' ')"]))
     found = texts.select("doc_id", word.alias("text"))
     return found.select("doc_id", F.explode(formulas.formulas(F.col("text"), references=True, notes=True, group=True)).alias("f")).select("doc_id", "f.*")
+
+
+# Logical segments: the lines of a document as its layout blocks, 1500 characters a page
+
+_LINES = r"""lines AS (SELECT doc_id, i, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL))),
+blocks AS (SELECT 'doc-' || doc_id AS source, i * 2 AS ord, doc_id || ':' || i AS block_id, CASE WHEN i % 8 = 0 THEN 'heading' WHEN i % 11 = 3 THEN 'formula' WHEN i % 13 = 6 THEN 'table' ELSE 'text' END AS type,
+  line AS text, CAST(off // 1500 + 1 AS INTEGER) AS page, off % 1500 / 1.5 AS y0, least(1000.0, off % 1500 / 1.5 + length(line) / 1.5) AS y1, CASE doc_id % 3 WHEN 1 THEN 'layout' WHEN 2 THEN 'content_list' END AS source_kind FROM lines
+  UNION ALL SELECT 'doc-' || doc_id, i * 2 + 1, doc_id || ':m' || i, 'table', 'x', CAST(off // 1500 + 1 AS INTEGER), 0, 1, 'model' FROM lines WHERE i % 4 = 0)"""
+_SIGNED = r"regexp_replace(regexp_replace(lower({}), '[\\${{}}_^`*#>\[\]()|]', '', 'g'), '\s+', '', 'g')"
+
+
+@query(rf"""WITH RECURSIVE {_LINES},
+barred AS (SELECT *, sum(CASE WHEN (source_kind IS NOT DISTINCT FROM kind OR kind IS NULL) AND type IN ('heading', 'table') THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ord) AS barriers
+  FROM (SELECT *, first_value(source_kind) OVER (PARTITION BY source ORDER BY ord) AS kind FROM blocks)),
+stream AS (SELECT source, ord, block_id, type, page, y0, y1, barriers, {STRIP.format("text")} AS text, CASE WHEN type = 'heading' AND NOT starts_with({STRIP.format("text")}, '#') THEN '# ' ELSE '' END || {STRIP.format("text")} AS md,
+  row_number() OVER (PARTITION BY source ORDER BY ord) AS k FROM barred
+  WHERE type <> 'table' AND {STRIP.format("text")} <> '' AND NOT regexp_matches({STRIP.format("text")}, '^[0-9]{{1,4}}$')),
+ends AS (SELECT *, ord = min(CASE WHEN type <> 'heading' THEN ord END) OVER (PARTITION BY source, page) AS first, ord = max(CASE WHEN type <> 'heading' THEN ord END) OVER (PARTITION BY source, page) AS last FROM stream),
+pairs AS (SELECT c.source, c.k, {_SIGNED.format("b.text")} AS l, {_SIGNED.format("c.text")} AS r FROM ends c JOIN ends b ON b.source = c.source AND b.k = c.k - 1
+  WHERE c.type <> 'heading' AND b.type <> 'heading' AND c.first AND b.last AND c.page = b.page + 1 AND b.y1 >= 850 AND c.y0 <= 200 AND b.barriers = c.barriers),
+paras AS (SELECT 'doc-' || doc_id AS source, {_SIGNED.format("p")} AS p FROM (SELECT doc_id, unnest(string_split_regex(text, '\n\s*\n+')) AS p FROM documents)),
+runs AS (SELECT DISTINCT source, k FROM pairs JOIN paras USING (source) WHERE l <> '' AND r <> '' AND (
+  (strpos(p, right(l, 120)) > 0 AND strpos(p, left(r, 120)) >= strpos(p, right(l, 120))) OR (strpos(p, l) > 0 AND strpos(p, r) >= strpos(p, l)))),
+kinds AS (SELECT s.source, s.k, s.block_id, s.type, s.page, s.md, r.k IS NOT NULL AS runs_on FROM stream s LEFT JOIN runs r USING (source, k)),
+scan(source, k, type, page, size, bodies, segment, merged, headed) AS (
+  SELECT source, k, type, page, CASE WHEN type = 'heading' THEN 0 ELSE length(md) END, CASE WHEN type = 'heading' THEN 0 ELSE 1 END, CASE WHEN type = 'heading' THEN 0 ELSE 1 END, FALSE, CASE WHEN type = 'heading' THEN k END FROM kinds WHERE k = 1
+  UNION ALL SELECT c.source, c.k, c.type, c.page,
+    CASE WHEN c.type = 'heading' THEN 0 WHEN b.size > 0 AND NOT brk THEN b.size + gap + length(c.md) WHEN hsize > 0 AND NOT hbrk THEN hsize + 2 + length(c.md) ELSE length(c.md) END,
+    CASE WHEN c.type = 'heading' THEN 0 ELSE 1 END,
+    CASE WHEN c.type = 'heading' THEN b.segment WHEN b.size > 0 THEN b.segment + CASE WHEN brk THEN 1 ELSE 0 END ELSE b.segment + 1 + CASE WHEN hsize > 0 AND hbrk THEN 1 ELSE 0 END END,
+    CASE WHEN c.type = 'heading' THEN FALSE WHEN b.size > 0 AND NOT brk THEN b.merged OR c.runs_on ELSE FALSE END,
+    CASE WHEN c.type <> 'heading' THEN NULL ELSE coalesce(b.headed, c.k) END
+  FROM (SELECT b.*, c.md AS next, CASE WHEN c.page <> b.page THEN NOT c.runs_on ELSE b.size + 2 + length(c.md) > 900 END AS brk, CASE WHEN c.page <> b.page THEN 1 ELSE 2 END AS gap,
+      CASE WHEN b.type = 'heading' AND c.type = 'text' THEN (SELECT sum(length(h.md) + 2) - 2 FROM kinds h WHERE h.source = b.source AND h.k BETWEEN b.headed AND b.k) ELSE 0 END AS hsize, c.page <> b.page AS hbrk
+    FROM scan b JOIN kinds c ON c.source = b.source AND c.k = b.k + 1) b JOIN kinds c ON c.source = b.source AND c.k = b.k + 1),
+numbered AS (SELECT s.source, s.k, s.type, s.segment, s.merged FROM scan s),
+heads AS (SELECT h.source, h.k, min(n.k) AS body FROM kinds h JOIN kinds n ON n.source = h.source AND n.k > h.k AND n.type <> 'heading' WHERE h.type = 'heading' GROUP BY ALL),
+placed AS (SELECT source, k, segment, merged FROM numbered WHERE type <> 'heading'
+  UNION ALL SELECT h.source, h.k, n.segment - CASE WHEN c.page <> p.page THEN 1 ELSE 0 END, n.merged AND c.page = p.page FROM heads h JOIN numbered n ON n.source = h.source AND n.k = h.body JOIN kinds c ON c.source = h.source AND c.k = h.body JOIN kinds p ON p.source = h.source AND p.k = h.body - 1 WHERE c.type = 'text'),
+joined AS (SELECT source, segment, k, block_id, b.page, b.type, md, merged, lag(b.page) OVER w AS before, lag(b.type) OVER w AS kind FROM placed JOIN kinds b USING (source, k) WINDOW w AS (PARTITION BY source, segment ORDER BY k))
+SELECT source, CAST(segment - 1 AS INTEGER) AS segment, string_agg(CASE WHEN before IS NULL THEN '' WHEN before <> page AND kind <> 'heading' AND type <> 'heading' THEN ' ' ELSE chr(10) || chr(10) END || md, '' ORDER BY k) AS text,
+  string_agg(block_id, ',' ORDER BY k) AS block_ids, min(page) AS first_page, max(page) AS last_page, bool_or(merged) AS cross_page_merge FROM joined GROUP BY source, segment""")
+def chk08_logical_segments(spark, sf_dir):
+    segments_of = segments.logical_segments(_line_blocks(spark, sf_dir), _markdown(spark, sf_dir))
+    return segments_of.select("source", "segment", "text", F.array_join("block_ids", ",").alias("block_ids"), F.array_min("pages").alias("first_page"), F.array_max("pages").alias("last_page"), "cross_page_merge")
+
+
+def _markdown(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("markdown"))
+
+
+def _line_blocks(spark, sf_dir):
+    """The lines as blocks, and a second parser's tables between them."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("i", F.col("at") + 1)
+    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    lines = lines.withColumn("off", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    y0 = (F.col("off") % 1500) / 1.5
+    i, box = F.col("i"), lambda a, b: F.array(F.lit(100.0), a.cast("double"), F.lit(900.0), b.cast("double"))
+    common = [F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.expr("cast(off div 1500 + 1 as int)").alias("page")]
+    own = lines.select(
+        *common, (i * 2).alias("ord"), F.concat_ws(":", "doc_id", "i").alias("block_id"), F.when(i % 8 == 0, "heading").when(i % 11 == 3, "formula").when(i % 13 == 6, "table").otherwise("text").alias("type"),
+        F.col("line").alias("text"), box(y0, F.least(F.lit(1000.0), y0 + F.length("line") / 1.5)).alias("box"), F.when(F.col("doc_id") % 3 == 1, "layout").when(F.col("doc_id") % 3 == 2, "content_list").alias("source_kind"),
+    )
+    other = lines.where(i % 4 == 0).select(*common, (i * 2 + 1).alias("ord"), F.concat(F.col("doc_id"), F.lit(":m"), F.col("i")).alias("block_id"), F.lit("table").alias("type"), F.lit("x").alias("text"), box(F.lit(0), F.lit(1)).alias("box"), F.lit("model").alias("source_kind"))
+    return own.unionByName(other)
+
+
+@query()
+def chk08d_repaired_chunks(spark, sf_dir):
+    """Chunks of the documents from a splitter of sentences, moved to whole sentences; tested against plain searches."""
+    small = replace(DEFAULTS, split_tokens=120)
+    docs = table(spark, sf_dir, "documents")
+    chunks = segments.chunked_segments(F.col("text"), splitting.sentence_parts(F.coalesce("text", F.lit("")), small))
+    return docs.withColumn("chunks", chunks).select("doc_id", F.posexplode_outer("chunks").alias("chunk", "text")).where("text is not null")

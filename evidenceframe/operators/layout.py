@@ -53,17 +53,26 @@ def source_priority(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.coalesce(kind, F.lit("unknown"))), F.lit(SOURCE_PRIORITY["unknown"]))
 
 
-def best_source_kind(blocks: DataFrame) -> DataFrame:
-    """Blocks with a page and text of the best kind of source in each document.
+def usable_text(blocks: DataFrame) -> DataFrame:
+    """Blocks of text, headings and formulas that have a page and text, with their kind of source as ``__kind``."""
+    usable = blocks.where(F.col("type").isin("text", "heading", "formula") & F.col("page").isNotNull() & (strip(F.coalesce("text", F.lit(""))) != ""))
+    return usable.withColumn("__kind", F.coalesce("source_kind", F.lit("unknown")))
+
+
+def best_kinds(usable: DataFrame) -> DataFrame:
+    """(source, __kind): the best kind of source of each document.
 
     Best is the highest priority, then more boxes, then more blocks, then the kind seen first.
     """
-    kind = F.coalesce("source_kind", F.lit("unknown"))
-    usable = blocks.where(F.col("type").isin("text", "heading", "formula") & F.col("page").isNotNull() & (strip(F.coalesce("text", F.lit(""))) != "")).withColumn("__kind", kind)
     groups = usable.groupBy("source", "__kind").agg(F.count("box").alias("boxes"), F.count("*").alias("n"), F.min("ord").alias("first"))
     rank = F.struct(source_priority(F.col("__kind")), "boxes", "n", -F.col("first"))
-    best = groups.groupBy("source").agg(F.max_by("__kind", rank).alias("__kind"))
-    return usable.join(best, ["source", "__kind"], "left_semi").drop("__kind")
+    return groups.groupBy("source").agg(F.max_by("__kind", rank).alias("__kind"))
+
+
+def best_source_kind(blocks: DataFrame) -> DataFrame:
+    """Blocks with a page and text of the best kind of source in each document."""
+    usable = usable_text(blocks)
+    return usable.join(best_kinds(usable), ["source", "__kind"], "left_semi").drop("__kind")
 
 
 def consensus_boxes(blocks: DataFrame, *by: str) -> DataFrame:
