@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import formulas, linking, segments, splitting, structure
+from .operators import alignment, formulas, linking, segments, splitting, structure
 from .plans.retrieval import Corpus
 from .queries import CHUNKS, query, table
 from .settings import DEFAULTS
@@ -204,3 +204,17 @@ def chk08d_repaired_chunks(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     chunks = segments.chunked_segments(F.col("text"), splitting.sentence_parts(F.coalesce("text", F.lit("")), small))
     return docs.withColumn("chunks", chunks).select("doc_id", F.posexplode_outer("chunks").alias("chunk", "text")).where("text is not null")
+
+
+# Alignment of chunks to blocks
+
+
+@query(rf"""WITH {CHUNKS}, {_LINES},
+asked AS (SELECT source, node_id, regexp_replace(text, '\s+', '', 'g') AS a FROM nodes),
+held AS (SELECT source, ord, block_id, regexp_replace(text, '\s+', '', 'g') AS b, CASE source_kind WHEN 'content_list' THEN 130 WHEN 'layout' THEN 105 WHEN 'model' THEN 80 ELSE 10 END AS priority FROM blocks),
+pairs AS (SELECT source, node_id, block_id, ord, priority, CASE WHEN contains(b, a) OR contains(a, b) THEN least(length(a), length(b)) WHEN length(a) >= 40 AND contains(b, left(a, 40)) THEN 40 WHEN length(b) >= 40 AND contains(a, left(b, 40)) THEN 40 END AS score
+  FROM asked JOIN held USING (source) WHERE b <> '')
+SELECT source, node_id AS text_id, block_id, CAST(score AS INTEGER) AS score FROM pairs WHERE score IS NOT NULL QUALIFY row_number() OVER (PARTITION BY source, node_id ORDER BY score DESC, priority DESC, ord) = 1""")
+def ext11_alignment(spark, sf_dir):
+    nodes = Corpus(spark, sf_dir).nodes
+    return alignment.best_blocks(nodes.select("source", F.col("node_id").alias("text_id"), "text"), _line_blocks(spark, sf_dir))
