@@ -30,6 +30,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 GITHUB = re.compile(r"(gh[pousr]_)([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 NPM = re.compile(r"(npm_)([A-Za-z0-9]{36})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: What a token of this format goes on with; one that fails fails from each later start within this run.
+RUNS = {"jwt": re.compile(r"[A-Za-z0-9_-]*")}
 PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----")
 BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
@@ -93,6 +95,8 @@ def spans_of(text: str, lowered: str, words: ahocorasick.Automaton) -> list[tupl
             past[kind] = m.end()
             if holds(m):
                 found.append((start, kind, m.end()))
+        elif kind in RUNS:
+            past[kind] = RUNS[kind].match(text, start).end()
     found += [(m.start(), "hex", m.end()) for m in HEX.finditer(text)]
     found.sort(key=lambda x: (x[0], KINDS.index(x[1])))
     return found

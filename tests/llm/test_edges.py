@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import unicodedata
 from collections import Counter
 
@@ -164,3 +165,18 @@ def test_toxic_documents_go_and_the_risk_falls(spark):
         return 0.2 * np.mean([plus(z(s)) for s in pos]) + max(0.0, np.mean([minus(z(s)) for s in unl]) - 0.2 * np.mean([minus(z(s)) for s in pos]))
 
     assert risk(lambda s: model.bias + sum(model.weights.get(f, 0.0) for f in s)) < 0.5 * risk(lambda s: np.log(0.25))
+
+
+def test_tokens_that_begin_again_and_again_are_linear():
+    began = time.time()
+    words = secret_scan.automaton()
+    for text in ("eyJ" * 350_000, "eyJ" * 200_000 + "." + "eyJ" * 150_000, "eyJa." * 200_000, "token" * 200_000, "password" + " " * 1_000_000, "AKIA" * 250_000, "ghp_" * 250_000, "-----BEGIN A" * 90_000):
+        secret_scan.spans_of(text, text.lower(), words)
+    assert time.time() - began < 16
+
+
+def test_tokens_after_a_failed_beginning():
+    head = secret_scan.base64.urlsafe_b64encode(b'{"alg":"x"}').decode().rstrip("=")
+    text = f"eyJeyJabc {head}.a.b eyJx.eyJy {head}.c.d eyJ.{head}.e.f"
+    found = [text[a:b] for a, kind, b in secret_scan.spans_of(text, text.lower(), secret_scan.automaton()) if kind == "jwt"]
+    assert found == [f"{head}.a.b", f"{head}.c.d", f"{head}.e.f"]
