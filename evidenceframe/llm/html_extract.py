@@ -5,7 +5,8 @@ from its words, its links and punctuation, and what its elements and their names
 losses of that estimate are the capacities of its edges to the terminals. Neighbours in the page,
 and blocks of one parent, are joined by edges that cost more the closer they are in the tree. The
 minimum cut separates content from boilerplate. The weights are set by hand, as pages carry no
-labels; those of names are small enough for a block's neighbours to outweigh them.
+labels. What a name or a form suggests of all that is below it counts only if it does not hold the
+page's main prose: a wrapper named for the sidebar beside the article is no sidebar.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ BAD_ROLES = frozenset("navigation banner contentinfo complementary search form d
 BAD_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense promo promoted promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices popup modal "
     "newsletter subscribe subscription signup sidebar sidenav menu navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist disqus "
-    "replies pagination pager".split()
+    "replies responses more pagination pager".split()
 )
 DOUBTFUL_WORDS = frozenset("alert banner copyright disclaimer login nav notification overlay reactions recommendations recommended related reply respond search share sharing skip social trending widget widgets".split())
 NEUTRAL_WORDS = frozenset("area bar block box container group header holder inner item items js left links list main outer page right row section site slot text thread title top unit view wrap wrapper".split())
@@ -50,7 +51,7 @@ GOOD_WORDS = frozenset("article post entry story content body articlebody".split
 PRIOR = 0.6
 ARTICLE, OUTSIDE, FAIR = 4.0, -6.0, 2.0
 BAD_TAG, BAD_NAME, DOUBTFUL = -12.0, -9.0, -4.0
-LINKS, SIGN, SENTENCE, KIND, MOST_WORDS = -4.0, -5.0, 0.5, 0.5, 2.2
+LINKS, SIGN, ALONE, SENTENCE, KIND, MOST_WORDS = -4.0, -5.0, -1.8, 0.5, 0.5, 2.2
 #: What it costs to part two neighbours of one parent, and two blocks of one parent with others between them.
 CLOSE, SIBLING = 0.7, 0.3
 
@@ -61,69 +62,118 @@ ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)(?:\s*
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 NAME = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+#: A line of rights, as in a page's foot, without a sign.
+RIGHTS = re.compile(r"^\W*(?:\(c\)|copyright)\b.{0,40}\b(?:19|20)\d\d\b|^.{0,200}\ball rights reserved\b", re.I)
+#: A block of so many characters is prose without punctuation too; an element holds the page's main prose if it has more than this share.
+LONG, MOST, MUCH = 80, 0.5, 800
+PLAIN = frozenset("div section center".split())
 STOP = re.compile(r"[.!?…:;。！？][\"'”’)\]]*$|[,，、] ?\S")
 
 
 class Element:
-    """An element on the way to a block: its parent, depth, and what it and those above suggest."""
+    """An element on the way to a block: its parent and depth, what it suggests by itself, and with those above.
 
-    __slots__ = ("depth", "evidence", "good", "number", "tag", "up")
+    ``own`` is its share of the log-odds, ``fair`` and ``marked`` whether it speaks for content by name or by
+    tag; ``lift`` says whether prose may overturn ``own``: "any" prose, that of one "article", or none.
+    """
+
+    __slots__ = ("depth", "evidence", "fair", "good", "lift", "marked", "number", "own", "tag", "up")
 
-    def __init__(self, tag: str, number: int, up: Element | None, evidence: float, good: bool):
-        self.tag, self.number, self.up, self.evidence, self.good = tag, number, up, evidence, good
+    def __init__(self, tag: str, number: int, up: Element | None, own: float = 0.0, fair: bool = False, marked: bool = False, lift: str | None = None):
+        self.tag, self.number, self.up, self.own, self.fair, self.marked, self.lift = tag, number, up, own, fair, marked, lift
         self.depth = up.depth + 1 if up else 0
+        self.evidence, self.good = 0.0, False
 
 
-ROOT = Element("", 0, None, 0.0, False)
+ROOT = Element("", 0, None)
 
 
 class Block:
-    __slots__ = ("linked", "text", "within")
+    """A block of text; ``alone``: short, unlike its neighbours, on a page of much prose that marks no article."""
+
+    __slots__ = ("alone", "linked", "text", "within")
 
     def __init__(self, text: str, within: Element, linked: int):
-        self.text, self.within, self.linked = text, within, linked
+        self.text, self.within, self.linked, self.alone = text, within, linked, False
 
 
-def name_evidence(value: str) -> tuple[float, bool]:
-    """What a class name or id suggests, and whether it has a word that speaks for content.
+def name_evidence(value: str) -> tuple[float, bool, bool]:
+    """What a class name or id suggests, whether it has a word that speaks for content, and whether all it says is boilerplate.
 
     Each name counts by the share of its words that mean boilerplate, the worst name for all.
     """
-    worst, fair = 0.0, False
+    worst, fair, pure = 0.0, False, False
     for name in value.split():
         words = [w for w in NAME.findall(CAMEL.sub("-", name).lower()) if w not in NEUTRAL_WORDS]
         if words:
-            worst = min(worst, sum(BAD_NAME if w in BAD_WORDS else DOUBTFUL if w in DOUBTFUL_WORDS else 0.0 for w in words) / len(words))
+            says = sum(BAD_NAME if w in BAD_WORDS else DOUBTFUL if w in DOUBTFUL_WORDS else 0.0 for w in words) / len(words)
+            if says < worst:
+                worst, pure = says, all(w in BAD_WORDS or w in DOUBTFUL_WORDS for w in words)
             fair = fair or not GOOD_WORDS.isdisjoint(words)
-    return worst, fair
+    return worst, fair, pure
 
 
 def entered(tag: str, attributes: str, number: int, up: Element) -> Element:
-    """An element below ``up``. Inside boilerplate an article is a teaser and speaks for nothing."""
-    evidence, good = up.evidence, up.good
-    worst, fair, role = (BAD_TAG if tag in BAD_TAGS else 0.0), False, ""
+    """An element below ``up``, with what it suggests by itself."""
+    own, fair, role, lift = (BAD_TAG if tag in BAD_TAGS else 0.0), False, "", ("any" if tag == "form" else None)
     for m in ATTRIBUTE.finditer(attributes or ""):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        says, why = 0.0, None
         if key == "role":
             role = value.lower()
-            worst = min(worst, BAD_TAG if role in BAD_ROLES else 0.0)
+            says, why = (BAD_TAG if role in BAD_ROLES else 0.0), ("any" if role == "form" else None)
         elif key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and HIDDEN.search(value)):
-            worst = min(worst, DOUBTFUL)
+            says = DOUBTFUL
         elif key in ("class", "id", "itemprop") and tag not in ("html", "body", "article", "main"):
-            says, speaks = name_evidence(value)
-            worst, fair = min(worst, says), fair or speaks
-    if tag in GOOD_TAGS or role in GOOD_TAGS:
-        if evidence > DOUBTFUL and not good:
-            evidence, good = evidence + ARTICLE, True
-    elif fair and worst == 0.0 and evidence == 0.0:
-        evidence = FAIR
-    return Element(tag, number, up, evidence + worst, good)
+            says, speaks, pure = name_evidence(value)
+            fair, why = fair or speaks, "article" if pure else "any"
+        if says < own:
+            own, lift = says, why
+    return Element(tag, number, up, own, fair, tag in GOOD_TAGS or role in GOOD_TAGS, lift)
+
+
+def judge(elements: list[Element], blocks: list[Block]) -> None:
+    """Evidence of all elements, in page order, from their own and that of those above.
+
+    An element that holds most of the page's prose loses what its name, or being a form, says against
+    it, unless an article stands outside of it; one with nothing but boilerplate in its name only
+    if a single article or main below it holds that prose. Inside boilerplate an article is a teaser and speaks for nothing.
+    """
+    prose, whole, marks = [0] * (len(elements) + 1), [0] * (len(elements) + 1), [0] * (len(elements) + 1)
+    for b in blocks:
+        if len(b.text) >= LONG or STOP.search(b.text):
+            prose[b.within.number] += len(b.text) - b.linked
+    for e in reversed(elements):
+        up = e.up.number
+        prose[up] += prose[e.number]
+        marks[up] += marks[e.number] + e.marked
+        whole[up] = max(whole[up], whole[e.number], prose[e.number] if e.marked else 0)
+    least = MOST * prose[0]
+    for e in elements:
+        i, own = e.number, e.own
+        if own < 0 and e.lift and prose[i] > least and marks[i] + e.marked == marks[0] and (e.lift == "any" or whole[i] > least):
+            own = 0.0
+        e.evidence, e.good = e.up.evidence, e.up.good
+        if e.marked:
+            if e.evidence > DOUBTFUL and not e.good:
+                e.evidence, e.good = e.evidence + ARTICLE, True
+        elif e.fair and own == 0.0 and e.evidence == 0.0:
+            e.evidence = FAIR
+        e.evidence += own
+    if marks[0] or prose[0] < MUCH:
+        return
+    for i, b in enumerate(blocks):
+        like = (x for x in blocks[max(0, i - 1) : i + 2] if x is not b)
+        if len(b.text) < LONG and b.within.tag in PLAIN:
+            b.alone = not any(x.within.tag == b.within.tag and x.within.up is b.within.up for x in like)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks in page order. White space in a block is one space; entities are decoded."""
     out: list[Block] = []
     stack: list[Element] = []
+    elements: list[Element] = []
+    absent: set[str] = set()  # names that no closing tag ahead has
     depth_of = Counter()
     pieces: list[str] = []
     number = linked = links = 0
@@ -168,7 +218,9 @@ def blocks_of(page: str) -> list[Block]:
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6]
         if name in RAW:
             if not closing and not (attributes and attributes.endswith("/") and name == "svg"):
-                stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                stop = None if name in absent else re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
+                if not stop:
+                    absent.add(name)
                 at = stop.end() if stop else (end if name in ("script", "style", "title", "textarea") else at)
             pieces.append(" ")
             continue
@@ -176,8 +228,11 @@ def blocks_of(page: str) -> list[Block]:
             pieces.append(" ")
             continue
         if name in ("annotation", "annotation-xml"):  # the source of a formula, which no reader sees
-            stop = -1 if closing else page.find(f"</{name}", at)
-            at = stop if stop >= 0 else at
+            stop = -1 if closing or name in absent else page.find(f"</{name}", at)
+            if stop >= 0:
+                at = stop
+            elif not closing:
+                absent.add(name)
             continue
         if name in INLINE or name in MATHML:
             if name == "a":
@@ -211,8 +266,10 @@ def blocks_of(page: str) -> list[Block]:
                 break
         number += 1
         stack.append(entered(name, attributes, number, stack[-1] if stack else ROOT))
+        elements.append(stack[-1])
         depth_of[name] += 1
     close()
+    judge(elements, out)
     return out
 
 
@@ -228,9 +285,11 @@ def log_odds(block: Block, has_article: bool) -> float:
     x += LINKS * block.linked / len(text)
     if STOP.search(text):
         x += SENTENCE
+    if block.alone:
+        x += ALONE
     if e.tag in HEADINGS or e.tag in PROSE:
         x += KIND
-    if "©" in text[:40]:
+    if "©" in text[:40] or RIGHTS.search(text[:300]):
         x += SIGN
     return x
 

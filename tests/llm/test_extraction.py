@@ -78,6 +78,34 @@ def test_pages(page, want):
     assert h.main_text(page) == want
 
 
+ONE = "The first paragraph of the article is long enough to be prose, with commas, and it ends here."
+TWO = "The second paragraph of the article says more of the same thing, at some length, and ends too."
+BODY = f"<h1>Name of it</h1><p>{ONE}</p><p>{TWO}</p>"
+WANT = f"Name of it\n\n{ONE}\n\n{TWO}"
+
+
+@pytest.mark.parametrize("page", [
+    *[f"<div class='{name}'><article>{BODY}</article></div>" for name in ("has-sidebar", "sidebar-right", "with-cookie-notice", "newsletter", "comments", "ad-container")],
+    f"<div class='content-sidebar-wrap'><main><article>{BODY}</article></main><div class='sidebar'><p>Other news of today, which is short.</p></div></div>",
+    f"<div class='newsletter-article'>{BODY}</div>", f"<form id='aspnetForm'><article>{BODY}</article></form>", f"<form id='aspnetForm'><nav><a href=x>Home</a></nav><div>{BODY}</div><input name=q></form>",
+    f"<div role='form'><div>{BODY}</div></div>", f"<div id='page' class='has-cookie-notice has-sidebar'><div class='post'>{BODY}</div><div class='cookie-notice'>We use cookies.</div></div>",
+    f"<article>{BODY}<section class='responses'><p>Nice article, thanks a lot for it, it made my day and more.</p></section></article>",
+    f"<main>{BODY}<div class='more'><article><h2>Teaser</h2><p>Another story of ours, read it soon, it is good.</p></article></div></main>",
+    f"<article>{BODY}</article><div>Copyright 2020 The Company, Inc. All rights reserved.</div>", f"<div>{BODY}</div><p>All rights reserved by the publisher.</p>",
+    f"<div>{BODY}</div><div class='comments'>" + "<p>A reader wrote this comment, and it is quite long, as they have much to say of it.</p>" * 9 + "</div>",
+    f"<article>{BODY}</article><div class='sidebar-news'>" + "<article><p>A teaser of another article, which is rather long, and ends with a stop.</p></article>" * 9 + "</div>",
+])
+def test_wrappers_lose_no_article_and_boilerplate_goes(page):
+    assert h.main_text(f"<html><body>{page}</body></html>") == WANT
+
+
+@pytest.mark.parametrize("bit", ["<svg>", "<iframe src=x>", "<annotation>", "<video>x", "<object ", "<!-- ", "<select><option>a"])
+def test_unclosed_elements_are_linear(bit):
+    began = time.time()
+    h.main_text("<p>Here it begins. " + bit * (1_000_000 // len(bit)))
+    assert time.time() - began < 8
+
+
 def test_long_and_deep_pages():
     began = time.time()
     deep = "<div>word " * 6_000
