@@ -43,9 +43,15 @@ CONTROL = re.compile(r"[\x00-\x1f\x7f\x85\u2028\u2029]")
 _NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the public namespace for URLs
 
 
-def file_system(path: str) -> tuple[pafs.FileSystem, str]:
-    """The file system of a path or URI, and the path there; the same on driver and executors."""
-    return pafs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pafs.LocalFileSystem(), path)
+def qualified(spark, path: str) -> str:
+    """The URI of a path, a bare one on the cluster's default file system, as Spark's own readers take it."""
+    there = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
+def file_system(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a URI, and the path there; the same on driver and executors."""
+    return (pafs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")) if uri.startswith("file:") else pafs.FileSystem.from_uri(uri)
 
 
 def record(kind: str, page_id, url: str, payload: bytes, sha1: bytes, refers_to) -> bytes:
@@ -257,6 +263,7 @@ def write_warc(pages: DataFrame, folder: str, prefix: str = "part", file_bytes:
     SHA-256 and length. An empty table gives no file and an empty manifest.
     """
     spark = pages.sparkSession
+    folder = qualified(spark, folder)
     pages = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     )
@@ -318,8 +325,8 @@ def _read(folder: str):
 def read_warc(manifest: DataFrame, folder: str) -> DataFrame:
     """Records of the files that a manifest lists; digests of blocks and payloads are verified."""
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
-    names = manifest.select("name")
-    return names.repartition(max(1, partitions(manifest.sparkSession)), "name").mapInArrow(_read(folder), schema)
+    spark, names = manifest.sparkSession, manifest.select("name")
+    return names.repartition(max(1, partitions(spark)), "name").mapInArrow(_read(qualified(spark, folder)), schema)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:

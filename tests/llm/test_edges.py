@@ -180,3 +180,18 @@ def test_tokens_after_a_failed_beginning():
     text = f"eyJeyJabc {head}.a.b eyJx.eyJy {head}.c.d eyJ.{head}.e.f"
     found = [text[a:b] for a, kind, b in secret_scan.spans_of(text, text.lower(), secret_scan.automaton()) if kind == "jwt"]
     assert found == [f"{head}.a.b", f"{head}.c.d", f"{head}.e.f"]
+
+
+def test_archives_on_any_path(spark, tmp_path):
+    """A bare path, and one with a scheme, are the same folder on the default file system."""
+    pages = spark.createDataFrame([(1, "u", "x" * 2000), (2, "v", "x" * 2000)], "page_id long, url string, html string")
+    for folder in (f"{tmp_path}/bare", f"file://{tmp_path}/whole"):
+        got = warc.read_warc(warc.write_warc(pages, folder), folder).collect()
+        assert sorted((r.page_id, r.record_type) for r in got) == [(1, "revisit"), (2, "response")]
+    assert warc.qualified(spark, "/a/b").startswith("file:/") and (tmp_path / "bare").is_dir() and (tmp_path / "whole").is_dir()
+
+
+def test_archives_of_null_ids_alone(spark):
+    pages = spark.createDataFrame([(None, "u", "x" * 3000), (None, "v", None), (None, "u", "x" * 3000)], "page_id long, url string, html string")
+    got = warc.round_trip(pages).collect()
+    assert sorted(r.payload_bytes for r in got) == [0, 3000, 3000] and {r.page_id for r in got} == {None}
