@@ -42,7 +42,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return source_mix.mix(_table(spark, sf_dir, "documents"))
+    return source_mix.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
