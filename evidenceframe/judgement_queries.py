@@ -413,11 +413,11 @@ def agg08_span_consistency(spark, sf_dir):
     return scores.select("query_id", F.round(grading.span_consistency(F.col("v")), 6).alias("score_consistency"))
 
 
-@query(f"""{BASE}, f AS (SELECT query_id, node_id, round(score_composite * 0.7, 6) AS sc, rank FROM composite), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, rank, node_id) AS r FROM f)
+@query(f"""{BASE}, f AS (SELECT query_id, node_id, round(score_composite * 0.7071067811865476::DOUBLE, 6) AS sc, rank FROM composite), o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, rank, node_id) AS r FROM f)
 SELECT query_id, node_id, sc AS score_composite, CAST(r AS INTEGER) AS rank, sc >= 0.2 AS passed, CASE WHEN sc < 0.2 THEN CAST(r AS INTEGER) END AS removed_rank FROM o""")
 def fin01_final_hits(spark, sf_dir):
-    """The final stage keeps the composites it is given, here seven tenths of them."""
-    hits = Corpus(spark, sf_dir).scored().withColumn("score_composite", F.round(F.col("score_composite") * 0.7, 6))
+    """The final stage keeps the composites it is given, here the side of a square for its diagonal, so that no product is a tie in rounding."""
+    hits = Corpus(spark, sf_dir).scored().withColumn("score_composite", F.col("score_composite") * 0.7071067811865476)
     return grading.final_hits(hits).select("query_id", "node_id", "score_composite", "rank", "passed", "removed_rank")
 
 

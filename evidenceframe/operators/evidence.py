@@ -8,43 +8,56 @@ from pyspark.sql import functions as F
 from ..functions.text import clip01, compact, overlap_ratio
 from ..settings import DEFAULTS, Settings
 
-# Words of a question that are no keywords.
+# Words of a question that are no keywords, and the words that it falls into.
 STOPWORDS = (
-    "a an and are as at be by for from how in is it of on or that the this to was were what when where which who why with"
+    "a an and are as at be by for from how in is it of on or the to what which with "
+    "的 了 在 是 和 与 或 中 上 下 第 页 该 请 吗 多 少 一 个 些 什 么 帮 我 简 单 介 绍 说 明 概 括 讲 述"
 ).split()
+WORD = r"[一-鿿]|[a-zA-Z][a-zA-Z0-9_./-]*|\d+(?:\.\d+)?%?"
+PURE_NUMBER = r"^\d+(?:\.\d+)?%?$"
+# Numbers, file names, pages.
+NUMBER = r"(?<![A-Za-z])(?:19|20)\d{2}(?!\d)|\d+(?:\.\d+)?%?"
+SOURCE = r"(?iU)[\w一-鿿 ._-]+\.(?:pdf|md|docx?|txt|pptx?|xlsx?)"
+PAGES = (r"第\s*(\d+)\s*页", r"(?i)\bpage\s*(\d+)\b", r"(?i)\bp\.?\s*(\d+)\b")
+# Words of a question that ask for a modality, or for a page.
+MODALITY_WORDS = {
+    "table": "表 统计 对比 排名 百分比 增长 下降 多少".split(),
+    "image": "图片 图像 截图 图中 示意图 趋势图 视觉 照片 figure fig. chart screenshot diagram photo".split(),
+    "formula": "公式 方程 表达式 latex formula equation".split(),
+}
+PAGE_WORDS = "第 页 该页 上下文 图中".split()
+# Words of questions that compare, that may be answered yes or no, and that ask for numbers.
+COMPARING = "对比 差异 多个文档 冲突 比较 compare different".split()
+YES_NO_FIRST = "is are was were do does did can could should would will has have".split()
+YES_NO = "whether true false supported contradict contradiction conflict consistent inconsistent".split()
+YES_NO_CJK = "是否 是不是 能否 可否 有没有 对吗 正确吗 成立吗 支持吗 冲突 矛盾 一致 不一致 对比 差异 不同文档".split()
+COUNTING = ["how many", "how much", *"percent percentage accuracy score rate increase decrease number numeric value statistics rank".split()]
+COUNTING_CJK = "多少 数值 数量 百分比 占比 比例 准确率 得分 分数 指标 增长 下降 排名 统计 表格 平均 最高 最低".split()
+# Words of evidence that denies or affirms; the CJK ones that affirm count without the sign before them.
+DENIES, DENIES_CJK = "no false not cannot can't".split(), "不是 不支持 不可以 不存在 没有 无".split()
+AFFIRMS, AFFIRMS_CJK = "yes true support supports supported".split(), ("不 是", "不 支持", "不 可以", "不 存在", "没 有")
 
 
-def keyword_terms(question: Column) -> Column:
-    """Distinct words of a question in order, without stop words and numbers."""
-    words = F.transform(F.regexp_extract_all(question, F.lit(r"[a-zA-Z0-9_]+"), F.lit(0)), F.lower)
-    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS) & ~w.rlike(r"^\d+(\.\d+)?%?$")))
+def _any_of(words: list[str] | tuple[str, ...], around: str = "") -> str:
+    return around + "(?:" + "|".join(w.replace(".", r"\.") for w in words) + ")" + around
 
 
-NUMBER = r"(?<![A-Za-z])(?:19|20)\d{2}(?!\d)|\d+(?:\.\d+)?%?"
-SOURCE = r"(?iU)[\w一-鿿 ._-]+\.(?:pdf|md|docx?|txt|pptx?|xlsx?)"
-_MODALITIES = {
-    "table": "表|统计|对比|排名|百分比|增长|下降|多少",
-    "image": "图片|图像|截图|图中|示意图|趋势图|视觉|照片|(?i:figure|fig\\.|chart|screenshot|diagram|photo)",
-    "formula": "公式|方程|表达式|(?i:latex|formula|equation)",
-}
-_PAGE_WORDS = "第|页|上下文|图中"
-_COMPARES = "对比|差异|多个文档|冲突|比较|compare|different"
-_POLAR = (
-    r"(?i)^\s*(is|are|was|were|do|does|did|can|could|should|would|will|has|have)\b"
-    r"|\b(whether|true|false|supported|contradict|contradiction|conflict|consistent|inconsistent)\b"
-    "|是否|是不是|能否|可否|有没有|对吗|正确吗|成立吗|支持吗|冲突|矛盾|一致|对比|差异|不同文档"
-)
-_COUNTED = (
-    r"(?i)\b(how many|how much|percent|percentage|accuracy|score|rate|increase|decrease|number|numeric|value|statistics|rank)\b"
-    "|多少|数值|数量|百分比|占比|比例|准确率|得分|分数|指标|增长|下降|排名|统计|表格|平均|最高|最低"
-)
-_NEGATIVE = r"(?i)\b(no|false|not|cannot|can't)\b|不是|不支持|不可以|不存在|没有|无"
-_POSITIVE = r"(?i)\b(yes|true|support|supports|supported)\b|(?<!不)是|(?<!不)支持|(?<!不)可以|(?<!不)存在|(?<!没)有"
+_COMPARES = _any_of(COMPARING)
+_POLAR = "|".join((r"(?i:^\s*" + _any_of(YES_NO_FIRST) + r"\b)", "(?i:" + _any_of(YES_NO, r"\b") + ")", _any_of(YES_NO_CJK)))
+_COUNTED = "(?i:" + _any_of(COUNTING, r"\b") + ")|" + _any_of(COUNTING_CJK)
+_NEGATIVE = "(?i:" + _any_of(DENIES, r"\b") + ")|" + _any_of(DENIES_CJK)
+_POSITIVE = "(?i:" + _any_of(AFFIRMS, r"\b") + ")|" + "|".join("(?<!{}){}".format(*x.split()) for x in AFFIRMS_CJK)
+
+
+def keyword_terms(question: Column) -> Column:
+    """Distinct words of a question in order, without stop words and numbers."""
+    words = F.transform(F.regexp_extract_all(question, F.lit(WORD), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(words, lambda w: ~w.isin(*STOPWORDS) & ~w.rlike(PURE_NUMBER)))
 
 
 def page_refs(question: Column) -> Column:
     """Page numbers that a question names, as text without leading zeros."""
-    found = [F.regexp_extract_all(question, F.lit(p), F.lit(1)) for p in (r"第\s*(\d+)\s*页", r"(?i)\bpage\s*(\d+)\b", r"(?i)\bp\.?\s*(\d+)\b")]
+    found = [F.regexp_extract_all(question, F.lit(p), F.lit(1)) for p in PAGES]
     return F.array_distinct(F.transform(F.concat(*found), lambda x: F.regexp_replace(x, r"^0+(?=\d)", "")))
 
 
@@ -58,7 +71,7 @@ def source_refs(question: Column) -> Column:
 
 
 def modality_refs(question: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(question.rlike(p), F.lit(m)) for m, p in _MODALITIES.items()]))
+    return F.array_compact(F.array(*[F.when(F.lower(question).rlike(_any_of(words)), F.lit(m)) for m, words in MODALITY_WORDS.items()]))
 
 
 def keyword_coverage(terms: Column, evidence: Column) -> Column:
@@ -131,17 +144,23 @@ def _conflicts(tolerance: float) -> Column:
     return F.array_compact(F.array(*[F.when(c, F.lit(name)) for c, name in found]))
 
 
-def gate(questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage: float = 0.5, s: Settings = DEFAULTS, routes: DataFrame | None = None, tolerance: float = 0.0) -> DataFrame:
-    """Per question (query_id, text): features, slots, conflicts, support score and level, and the decision.
+def gate(
+    questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage: float = 0.5, s: Settings = DEFAULTS,
+    routes: DataFrame | None = None, tolerance: float = 0.0, allow_refusal: bool = True,
+) -> DataFrame:
+    """Per question (query_id, text): features, slots, conflicts, support score and level, the decision and its reasons.
 
-    hits may also have page, modality and rerank_score; questions may have cross_doc. ``routes``
-    are the hits of the channels, for the consistency. A missing hard slot (hits, or a page, source,
-    number or modality that the question names) refuses, weak support asks for a retry, the rest
-    passes. Without rerank scores their weight is left out.
+    hits may also have page, modality, rerank_score and the scores of their channels; questions may have
+    cross_doc. ``routes`` are the hits of the channels, for the consistency. Without rerank scores
+    their weight is left out. Partial or strong support passes if no hard slot (hits, or a page, source, number or
+    modality that the question names) is missing, and the rest is retried; a missing one is refused where that is
+    allowed. Few keywords are a reason to state, not one to retry.
     """
     for name, kind in (("page", "int"), ("modality", "string"), ("rerank_score", "double")):
         hits = hits if name in hits.columns else hits.withColumn(name, F.lit(None).cast(kind))
-    hits = hits.withColumns({"score": F.coalesce("rerank_score", "score"), "text": F.concat_ws(" ", "text", "source")})
+    for name in ("score_rrf", "score_vector", "score_bm25"):
+        hits = hits if name in hits.columns else hits.withColumn(name, F.lit(None).cast("double"))
+    hits = normal_scores(hits).withColumns({"score": F.col("normal"), "text": F.concat_ws(" ", "text", "source")})
     best = F.array_sort(F.collect_list(F.struct("rank", "node_id", "source", F.col("page").cast("string").alias("page"), "text")))
     seen = hits.groupBy("query_id").agg(
         best.alias("all"), F.collect_set("modality").alias("modalities"), F.collect_set(F.col("page").cast("string")).alias("pages"), F.max("rerank_score").alias("rerank_score"),
@@ -167,8 +186,8 @@ def gate(questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage:
         ("source", F.exists("source_refs", lambda x: ~F.col("sources").contains(x))),
         ("numeric", (F.size("numbers") > 0) & ~F.exists("numbers", lambda v: low.contains(v))),
     ]
-    absent += [(f"modality:{m}", F.array_contains("modality_refs", m) & ~F.array_contains("modalities", m)) for m in _MODALITIES]
-    slots = [(F.size("page_refs") > 0) | text.rlike(_PAGE_WORDS), F.size("source_refs") > 0, F.size("numbers") > 0]
+    absent += [(f"modality:{m}", F.array_contains("modality_refs", m) & ~F.array_contains("modalities", m)) for m in MODALITY_WORDS]
+    slots = [(F.size("page_refs") > 0) | text.rlike(_any_of(PAGE_WORDS)), F.size("source_refs") > 0, F.size("numbers") > 0]
     n_slots = sum((x.cast("int") for x in slots), F.size("modality_refs"))
     got = got.withColumn("missing_slots", F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in absent])))
     uncovered = F.size(F.filter("missing_slots", lambda x: x != "hits"))
@@ -184,13 +203,30 @@ def gate(questions: DataFrame, hits: DataFrame, min_hits: int = 2, min_coverage:
     missing = F.size("missing_slots")
     score = support_score([(values[name], weights[name]) for name in FEATURES], F.col("hit_count"), F.col("conflict_level"))
     got = got.withColumn("support_score", score).withColumn("support_level", support_level(F.col("support_score"), missing, s))
-    decision = F.when(missing > 0, "refuse").when(F.col("support_level").isin("weak", "none") | (F.col("keyword_coverage") < min_coverage), "retry").otherwise("pass")
+    supported = (missing == 0) & F.col("support_level").isin("partial", "strong")
+    decision = F.when(supported, "pass").when((missing > 0) & F.lit(allow_refusal), "refuse").otherwise("retry")
+    few = (F.size("modality_refs") == 0) & (F.col("keyword_coverage") < min_coverage)
+    soft = F.when(few & (F.size("terms") > 0), F.array(F.lit("keyword"))).otherwise(F.array().cast("array<string>"))
+    got = got.withColumn("soft_missing_slots", soft).withColumn("gate_reasons", gate_reasons(few))
     return got.select(
         "query_id", "hit_count", *[F.round(c, 6).alias(c) for c in ("top_score", "avg_top5", "score_consistency", "source_diversity", "slot_coverage")], "keyword_coverage",
         "missing_slots", "conflict_level", "conflict_reasons", "support_score", "support_level", decision.alias("decision"),
+        "soft_missing_slots", "gate_reasons",
     )
 
 
+def gate_reasons(few: Column) -> Column:
+    """Reasons in order, each once: hard slots, soft ones, conflicts that weigh, then what is only advice."""
+    high, numeric = F.col("conflict_level") == "high", F.array_contains("conflict_reasons", "numeric_value_conflict")
+    named = lambda c, prefix: F.transform(c, lambda x: F.concat(F.lit(prefix), x))
+    if_ = lambda c, *names: F.when(c, F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>"))
+    parts = [
+        named("missing_slots", "missing_"), named("soft_missing_slots", "soft_missing_"), if_(high, "possible_conflict"), if_(numeric, "numeric_value_conflict"),
+        if_(F.size("conflict_reasons") > 0, "possible_conflict"), F.col("conflict_reasons"), if_(few, "low_keyword_coverage"),
+    ]
+    return F.array_distinct(F.concat(*parts))
+
+
 def modality_coverage(hits: DataFrame) -> DataFrame:
     """(query_id, modality, n): hits by modality; one with a table, image, formula or page counts for these too."""
     text = lambda c: F.coalesce(F.col(c), F.lit("")) != ""

@@ -104,23 +104,6 @@ def nearest_text(nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", "modality", before.alias("context_prev_node_id"), after.alias("context_next_node_id")).where("modality <> 'text'").drop("modality")
 
 
-def expand(seeds: DataFrame, edges: DataFrame, floor: float = 0.45, seed_ranks: int = 4, per_seed: int = 2) -> DataFrame:
-    """Neighbours of seeds (query_id, node_id, score_composite, rank) with the score they inherit.
-
-    Seeds of low score or rank give nothing; each gives at most ``per_seed``, by priority. A
-    neighbour that is a seed keeps its own row. One reached from several seeds keeps the best.
-    """
-    open_ = seeds.where((F.col("score_composite") >= floor) & (F.col("rank") <= seed_ranks))
-    out = open_.select("query_id", F.col("node_id").alias("src_id"), "score_composite", "rank").join(edges, "src_id")
-    out = out.join(seeds.select("query_id", F.col("node_id").alias("dst_id")), ["query_id", "dst_id"], "left_anti")
-    out = out.withColumn("priority", relation_priority(F.col("relation"))).withColumn("inherited", F.round(clip01(F.col("score_composite") * relation_weight(F.col("relation"))), 6))
-    w = Window.partitionBy("query_id", "src_id").orderBy(F.desc("priority"), "relation", "dst_id")
-    out = out.withColumn("n", F.row_number().over(w)).where(F.col("n") <= per_seed)
-    best = Window.partitionBy("query_id", "dst_id").orderBy(F.desc("priority"), F.desc("inherited"), "rank", "src_id")
-    out = out.withColumn("b", F.row_number().over(best)).where("b = 1")
-    return out.select("query_id", F.col("dst_id").alias("node_id"), F.col("src_id").alias("from_node_id"), "relation", F.col("inherited").alias("inherited_score"))
-
-
 def page_window(seeds: DataFrame, nodes: DataFrame, width: int = 1) -> DataFrame:
     """Nodes within ``width`` pages of a seed (query_id, node_id); a range join as an equi join."""
     at = seeds.join(nodes.select("node_id", "doc_id", "page"), "node_id")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import boxes
 from .functions.text import overlap_ratio, token_estimate, tokens
-from .operators import chunking, evidence, fusion, layout, lexical, linking, metrics, relevance, rerank, selection, splitting, variants, vectors
+from .operators import chunking, evidence, expansion, fusion, layout, lexical, linking, metrics, relevance, rerank, selection, splitting, variants, vectors
 from .plans.retrieval import Corpus
 from .sources import history
 from .streaming import events
@@ -344,13 +344,36 @@ def join02_page_window(spark, sf_dir):
 
 @query(f"""{BASE}, adj AS (SELECT node_id AS src, lag(node_id) OVER w AS p, lead(node_id) OVER w AS x FROM nodes WINDOW w AS (PARTITION BY doc_id ORDER BY chunk_index)),
 e AS (SELECT src, 'prev_id' AS relation, p AS dst FROM adj WHERE p IS NOT NULL UNION ALL SELECT src, 'next_id', x FROM adj WHERE x IS NOT NULL),
-o AS (SELECT query_id, c.node_id AS src, relation, dst, rank, round(least(1, greatest(0, score_composite * 0.5)), 6) AS inherited FROM composite c JOIN e ON e.src = c.node_id
+o AS (SELECT query_id, c.node_id AS src, relation, dst, rank, CAST(round(CAST(least(1, greatest(0, score_composite * 0.5)) AS DECIMAL(18, 9)), 6) AS DOUBLE) AS inherited FROM composite c JOIN e ON e.src = c.node_id
   WHERE score_composite >= 0.45 AND rank <= 4 AND NOT EXISTS (SELECT 1 FROM composite z WHERE z.query_id = c.query_id AND z.node_id = e.dst)),
 k AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY query_id, src ORDER BY relation, dst) <= 2)
 SELECT query_id, dst AS node_id, src AS from_node_id, relation, inherited AS inherited_score FROM k QUALIFY row_number() OVER (PARTITION BY query_id, dst ORDER BY inherited DESC, rank, src) = 1""")
 def join01_expand(spark, sf_dir):
+    """What the neighbours of the best hits bring, in mode auto."""
+    return _expanded(spark, sf_dir, "auto")
+
+
+@query()
+def join01_expand_routed(spark, sf_dir):
+    """The same for routed questions, with the pages around; tests/test_expansion.py compares with a plain walk."""
+    return _expanded(spark, sf_dir, "routed")
+
+
+@query()
+def join01_expand_retry(spark, sf_dir):
+    return _expanded(spark, sf_dir, "retry", "possible_conflict")
+
+
+def _expanded(spark, sf_dir, mode, reason=None):
     c = Corpus(spark, sf_dir)
-    return linking.expand(c.scored(), linking.adjacent_edges(c.nodes))
+    none = F.lit(None)
+    nodes = c.nodes.select("node_id", "doc_id", "page", "chunk_index", F.lit("text").alias("modality"), none.cast("boolean").alias("whole_image"), none.cast("double").alias("composite"))
+    seeds = c.scored().select("query_id", "node_id", F.col("score_composite").alias("score"), "rank").join(nodes.select("node_id", "modality", "doc_id", "page"), "node_id")
+    # Edges of the documents that have a hit; no other is followed.
+    near = nodes.join(lexical.small(seeds.select("doc_id").distinct()), "doc_id", "left_semi")
+    edges = linking.adjacent_edges(near).withColumn("pos", F.lit(0))
+    found = expansion.expand(seeds, edges, near, mode, reason).where("relation is not null")
+    return found.select("query_id", "node_id", "from_node_id", "relation", F.col("score").alias("inherited_score"))
 
 
 # Rerank, evidence, metrics
@@ -407,12 +430,6 @@ def met10_token_overlap(spark, sf_dir):
     return metrics.token_overlap(pairs).select("case_id.conv_id", "case_id.turn", "token_precision", "token_recall", "token_f1")
 
 
-BOXES = """b AS (SELECT vec_id, label, CAST(vec_id % 3 AS INTEGER) AS page, [500 + 400 * e[1], 500 + 400 * e[2], 500 + 400 * e[1] + 50 + 300 * abs(e[3]), 500 + 400 * e[2] + 50 + 300 * abs(e[4])] AS box FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),
-iou AS (SELECT x.vec_id, x.label, coalesce(max(i / (a1 + a2 - i)), 0) AS v FROM (SELECT * FROM b) x LEFT JOIN LATERAL (
-  SELECT greatest(0, least(x.box[3], y.box[3]) - greatest(x.box[1], y.box[1])) * greatest(0, least(x.box[4], y.box[4]) - greatest(x.box[2], y.box[2])) AS i, (x.box[3] - x.box[1]) * (x.box[4] - x.box[2]) AS a1, (y.box[3] - y.box[1]) * (y.box[4] - y.box[2]) AS a2
-  FROM b y WHERE y.label = x.label AND y.page = x.page AND y.vec_id % 20 = 0) ON TRUE GROUP BY x.vec_id, x.label)"""
-
-
 def _boxes(spark, sf_dir):
     e = lambda i: F.col("embedding")[i].cast("double")
     x, y = 500 + 400 * e(0), 500 + 400 * e(1)
@@ -420,27 +437,30 @@ def _boxes(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").alias("case_id"), F.col("vec_id").alias("hit_id"), (F.col("vec_id") % 3).cast("int").alias("page"), box.alias("box"))
 
 
-@query(f"WITH {BOXES} SELECT label AS case_id, count(*) AS n_hits, round(max(v), 6) AS max_iou, round(avg(CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS bbox_precision, bool_or(v > 0.5) AS relevant FROM iou GROUP BY label")
+@query("""WITH b AS (SELECT vec_id, vec_id // 24 AS case_id, vec_id % 3 AS page, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT vec_id, case_id, page, [400 + 300 * e[1], 400 + 300 * e[2], 450 + 300 * e[1] + 200 * abs(e[3]), 450 + 300 * e[2] + 200 * abs(e[4])] AS x, [400 + 300 * e[5], 400 + 300 * e[6], 450 + 300 * e[5] + 200 * abs(e[7]), 450 + 300 * e[6] + 200 * abs(e[8])] AS y FROM b),
+m AS (SELECT h.vec_id, h.case_id, greatest(0, least(h.x[3], r.y[3]) - greatest(h.x[1], r.y[1])) * greatest(0, least(h.x[4], r.y[4]) - greatest(h.x[2], r.y[2])) AS i, (h.x[3] - h.x[1]) * (h.x[4] - h.x[2]) + (r.y[3] - r.y[1]) * (r.y[4] - r.y[2]) AS a
+  FROM s h LEFT JOIN s r ON h.case_id = r.case_id AND h.page = r.page),
+v AS (SELECT vec_id, case_id, coalesce(max(i / (a - i)), 0) AS v FROM m GROUP BY ALL)
+SELECT case_id, count(*) AS n_hits, round(max(v), 6) AS max_iou, round(avg(CASE WHEN v > 0.1 THEN 1.0 ELSE 0.0 END), 6) AS bbox_precision, bool_or(v > 0.5) AS relevant FROM v GROUP BY case_id""")
 def met07_region_metrics(spark, sf_dir):
-    hits = _boxes(spark, sf_dir)
-    return metrics.region_metrics(hits, hits.where("vec_id % 20 = 0"))
-
+    """Each vector's first box against the box of the next four numbers of every vector of its case and page."""
+    return metrics.region_metrics(_side(spark, sf_dir, 0, "hit_id"), _side(spark, sf_dir, 4, "region_id"))
 
-@query()
-def met07_region_areas(spark, sf_dir):
-    """All MET-07 metrics: each vector's first box against the box of the next four numbers of every vector.
 
-    Both tables are whole. 24 neighbouring vectors are a case.
-    """
-    e = lambda i: F.col("embedding")[i].cast("double")
+def _side(spark, sf_dir, i: int, name: str):
+    """Boxes of four numbers of the vectors, of which 24 neighbouring ones are a case."""
+    e = lambda j: F.col("embedding")[i + j].cast("double")
+    x, y = 400 + 300 * e(0), 400 + 300 * e(1)
+    box = F.array(x, y, x + 50 + 200 * F.abs(e(2)), y + 50 + 200 * F.abs(e(3)))
+    case = F.floor(F.col("vec_id") / 24).alias("case_id")
+    return table(spark, sf_dir, "embeddings").select(case, F.col("vec_id").alias(name), (F.col("vec_id") % 3).cast("int").alias("page"), box.alias("box"))
 
-    def side(i: int, name: str):
-        x, y = 400 + 300 * e(i), 400 + 300 * e(i + 1)
-        box = F.array(x, y, x + 50 + 200 * F.abs(e(i + 2)), y + 50 + 200 * F.abs(e(i + 3)))
-        case = F.floor(F.col("vec_id") / 24).alias("case_id")
-        return table(spark, sf_dir, "embeddings").select(case, F.col("vec_id").alias(name), (F.col("vec_id") % 3).cast("int").alias("page"), box.alias("box"))
 
-    return metrics.region_areas(side(0, "hit_id"), side(4, "region_id"))
+@query()
+def met07_region_areas(spark, sf_dir):
+    """All MET-07 metrics, of the same boxes. Both tables are whole."""
+    return metrics.region_areas(_side(spark, sf_dir, 0, "hit_id"), _side(spark, sf_dir, 4, "region_id"))
 
 
 @query()
@@ -449,13 +469,18 @@ def fn07_union_area(spark, sf_dir):
     return grouped.select("case_id", "page", F.round(boxes.union_area(F.col("b")), 3).alias("covered"))
 
 
-STOP = ", ".join(f"'{w}'" for w in evidence.STOPWORDS)
+# Words and numbers that are no keywords, and what a word is.
+STOP = "'" + "','".join(
+    "a an and are as at be by for from how in is it of on or the to what which with 的 了 在 是 和 与 或 中 上 下 第 页 该 请 吗 多 少 一 个 些 什 么 帮 我 简 单 介 绍 说 明 概 括 讲 述".split()
+) + "'"
+TERMS = rf"list_distinct(list_filter(list_transform(regexp_extract_all({{}}, '[\x{{{{4e00}}}}-\x{{{{9fff}}}}]|[a-zA-Z][a-zA-Z0-9_./-]*|[0-9]+(?:\.[0-9]+)?%?'), lambda t: lower(t)), lambda w: w NOT IN ({STOP}) AND NOT regexp_full_match(w, '[0-9]+(\.[0-9]+)?%?')))"
+COVERED = r"CASE WHEN len(terms) = 0 THEN 1.0 ELSE CAST(len(list_filter(terms, lambda t: contains(lower(evidence), t) OR contains(regexp_replace(lower(evidence), '[\s_./-]+', '', 'g'), regexp_replace(t, '[\s_./-]+', '', 'g')))) AS DOUBLE) / len(terms) END"
 
 
 @query(f"""WITH
-k AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(b.text, '[a-zA-Z0-9_]+'), lambda t: lower(t)), lambda w: w NOT IN ({STOP}) AND NOT regexp_full_match(w, '\\d+(\\.\\d+)?%?'))) AS terms, s.turn_text AS evidence
+k AS (SELECT item_id, {TERMS.format("b.text")} AS terms, s.turn_text AS evidence
   FROM benchmark b JOIN (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS turn_text FROM conversations GROUP BY conv_id) s ON s.conv_id = b.item_id)
-SELECT item_id, CAST(len(terms) AS INTEGER) AS n_terms, round(CASE WHEN len(terms) = 0 THEN 1.0 ELSE CAST(len(list_filter(terms, lambda t: contains(lower(evidence), t) OR contains(regexp_replace(lower(evidence), '[\\s_./-]+', '', 'g'), regexp_replace(t, '[\\s_./-]+', '', 'g')))) AS DOUBLE) / len(terms) END, 6) AS coverage FROM k""")
+SELECT item_id, CAST(len(terms) AS INTEGER) AS n_terms, round({COVERED}, 6) AS coverage FROM k""")
 def evd04_keyword_coverage(spark, sf_dir):
     """Words of each benchmark item that occur in the conversation of the same number."""
     talk = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -473,10 +498,52 @@ def evd03_features(spark, sf_dir):
     return f.select("query_id", "hit_count", F.round("top_score", 6).alias("top_score"), F.round("avg_top5", 6).alias("avg_top5"), F.round("source_diversity", 6).alias("source_diversity"))
 
 
-@query()
+#: What questions of the gate ask for besides their text.
+ASKS = {0: " on page 2", 1: " in doc-3.pdf", 2: ", how many, 45%?", 3: " 公式", 4: " 对比", 5: " whether 第 1 页"}
+_NUMBERS = r"regexp_extract_all({}, '[0-9]+(?:\.[0-9]+)?%?')"
+
+
+@query(rf"""{BASE},
+posed AS (SELECT item_id AS query_id, text || CASE item_id % 7 {" ".join(f"WHEN {i} THEN '{t}'" for i, t in ASKS.items())} ELSE '' END AS q FROM benchmark),
+slots AS (SELECT query_id, q, {TERMS.format("q")} AS terms, CASE item_id % 7 WHEN 0 THEN 2 WHEN 5 THEN 1 END AS page_ref, regexp_extract(lower(q), '[\w\x{{4e00}}-\x{{9fff}} ._-]+\.pdf') AS file,
+  list_filter([CASE WHEN regexp_matches(q, '表|统计|对比|排名|百分比|增长|下降|多少') THEN 'table' END, CASE WHEN regexp_matches(lower(q), '图片|图像|截图|图中|示意图|趋势图|视觉|照片|figure|fig\.|chart|screenshot|diagram|photo') THEN 'image' END,
+    CASE WHEN regexp_matches(lower(q), '公式|方程|表达式|latex|formula|equation') THEN 'formula' END], lambda m: m IS NOT NULL) AS kinds,
+  list_distinct(list_filter({_NUMBERS.format("q")}, lambda v: rtrim(v, '%') NOT IN (coalesce(CAST(CASE item_id % 7 WHEN 0 THEN 2 WHEN 5 THEN 1 END AS VARCHAR), '')))) AS numbers FROM posed JOIN (SELECT item_id AS query_id, item_id FROM benchmark) USING (query_id)),
+h AS (SELECT query_id, node_id, rank, greatest(0, least(1, score_composite)) AS score, source, page, text || ' ' || source AS text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS place FROM composite JOIN nodes USING (node_id)),
+t AS (SELECT query_id, count(*) AS hit_count, max(score) AS top_score, list_avg(list_sort(list(score), 'DESC')[1:5]) AS avg_top5, count(DISTINCT source)::DOUBLE / count(*) AS diversity, string_agg(text, ' ' ORDER BY rank) AS evidence, list(DISTINCT page) AS pages,
+  lower(string_agg(DISTINCT source, ' ')) AS sources FROM h GROUP BY query_id),
+six AS (SELECT query_id, bool_or(pos) AND bool_or(neg) AS mixed, bool_or(pos AND neg) AS same, count(DISTINCT CASE WHEN len(v) > 0 THEN source || ':' || page END) AS places, len(list_distinct(flatten(list(v)))) AS n_values FROM (
+  SELECT query_id, source, page, regexp_matches(text, '(?i:\b(?:yes|true|support|supports|supported)\b)') AS pos, regexp_matches(text, '(?i:\b(?:no|false|not|cannot|can''t)\b)') AS neg, {_NUMBERS.format("text")} AS v FROM h WHERE place <= 6) GROUP BY query_id),
+ids AS (SELECT query_id, list(node_id) FILTER (WHERE c = 'v') AS vn, list(node_id) FILTER (WHERE c = 'b') AS bn, list(DISTINCT source) FILTER (WHERE c = 'v') AS vs, list(DISTINCT source) FILTER (WHERE c = 'b') AS bs
+  FROM (SELECT query_id, node_id, 'v' AS c FROM vec UNION ALL SELECT query_id, node_id, 'b' FROM bm25) JOIN nodes USING (node_id) GROUP BY query_id),
+x AS (SELECT s.*, coalesce(hit_count, 0) AS hit_count, coalesce(top_score, 0) AS top_score, coalesce(avg_top5, 0) AS avg_top5, coalesce(diversity, 0) AS diversity, coalesce(evidence, '') AS evidence, coalesce(sources, '') AS sources, coalesce(pages, []) AS pages,
+  coalesce(CASE WHEN vn IS NULL OR bn IS NULL THEN 0.5 ELSE greatest(len(list_intersect(vn, bn))::DOUBLE / least(len(vn), len(bn)), 0.5 * len(list_intersect(vs, bs)) / least(len(vs), len(bs))) END, CASE WHEN hit_count > 0 THEN 0.5 ELSE 0 END) AS consistency,
+  coalesce(mixed, FALSE) AS mixed, coalesce(same, FALSE) AS same, coalesce(places, 0) AS places, coalesce(n_values, 0) AS n_values,
+  regexp_matches(q, '(?i:^\s*(?:is|are|was|were|do|does|did|can|could|should|would|will|has|have)\b)|(?i:\b(?:whether|true|false|supported|contradict|contradiction|conflict|consistent|inconsistent)\b)|对比') AS polar,
+  len(numbers) > 0 OR regexp_matches(q, '(?i:\b(?:how many|how much|percent|percentage|accuracy|score|rate|increase|decrease|number|numeric|value|statistics|rank)\b)') AS counts
+  FROM slots s LEFT JOIN t USING (query_id) LEFT JOIN six USING (query_id) LEFT JOIN ids USING (query_id)),
+y AS (SELECT *, {COVERED} AS coverage, list_filter([CASE WHEN hit_count < 2 THEN 'hits' END, CASE WHEN page_ref IS NOT NULL AND NOT list_contains(pages, page_ref) THEN 'page' END, CASE WHEN file <> '' AND NOT contains(sources, trim(file)) THEN 'source' END,
+    CASE WHEN len(numbers) > 0 AND len(list_filter(numbers, lambda v: contains(lower(evidence), v))) = 0 THEN 'numeric' END] || list_transform(kinds, lambda k: 'modality:' || k), lambda z: z IS NOT NULL) AS missing,
+  list_filter([CASE WHEN polar AND same THEN 'same_hit_positive_negative' END, CASE WHEN polar AND mixed THEN 'mixed_positive_negative_evidence' END, CASE WHEN counts AND places > 1 AND n_values > 1 THEN 'numeric_value_conflict' END], lambda z: z IS NOT NULL) AS reasons,
+  CASE WHEN page_ref IS NOT NULL OR regexp_matches(q, '第|页|上下文|图中') THEN 1 ELSE 0 END + CASE WHEN file <> '' THEN 1 ELSE 0 END + CASE WHEN len(numbers) > 0 THEN 1 ELSE 0 END + len(kinds) AS n_slots FROM x),
+z AS (SELECT *, CASE WHEN list_contains(reasons, 'same_hit_positive_negative') THEN 'high' WHEN len(reasons) > 0 THEN 'medium' ELSE 'none' END AS level, CASE WHEN n_slots = 0 THEN 1.0 ELSE (n_slots - len(list_filter(missing, lambda m: m <> 'hits')))::DOUBLE / n_slots END AS slot_coverage,
+  len(kinds) = 0 AND coverage < 0.5 AS few FROM y),
+w AS (SELECT *, CASE WHEN hit_count = 0 THEN 0 ELSE round_even(least(1, (0.3 * top_score + 0.2 * avg_top5 + 0.15 * consistency + 0.1 * CASE WHEN regexp_matches(q, '对比|compare|different') THEN diversity ELSE 1 END + 0.1 * slot_coverage + 0.05 * round(coverage, 6)) / 0.9
+  * CASE level WHEN 'high' THEN 0.9 WHEN 'medium' THEN 0.95 ELSE 1 END), 4) END AS support FROM z),
+l AS (SELECT *, CASE WHEN support <= 0 THEN 'none' WHEN support >= 0.75 AND len(missing) = 0 THEN 'strong' WHEN support >= 0.45 THEN 'partial' ELSE 'weak' END AS support_level FROM w)
+SELECT query_id, CAST(hit_count AS BIGINT) AS hit_count, round(slot_coverage, 6) AS slot_coverage, round(coverage, 6) AS keyword_coverage, round(consistency, 6) AS score_consistency, array_to_string(missing, ',') AS missing_slots, level AS conflict_level, array_to_string(reasons, ',') AS conflict_reasons,
+  CAST(support AS DOUBLE) AS support_score, support_level, CASE WHEN len(missing) > 0 THEN 'refuse' WHEN support_level IN ('partial', 'strong') THEN 'pass' ELSE 'retry' END AS decision, CASE WHEN few AND len(terms) > 0 THEN 'keyword' ELSE '' END AS soft_missing_slots,
+  array_to_string(list_transform(missing, lambda m: 'missing_' || m) || list_filter([CASE WHEN few AND len(terms) > 0 THEN 'soft_missing_keyword' END, CASE WHEN level = 'high' THEN 'possible_conflict' END, CASE WHEN list_contains(reasons, 'numeric_value_conflict') THEN 'numeric_value_conflict' END,
+    CASE WHEN level <> 'high' AND len(reasons) > 0 THEN 'possible_conflict' END], lambda z: z IS NOT NULL) || list_filter(reasons, lambda z: z <> 'numeric_value_conflict') || CASE WHEN few THEN ['low_keyword_coverage'] ELSE [] END, ',') AS gate_reasons FROM l""")
 def evd02_gate(spark, sf_dir):
+    """Questions that also ask for pages, a file, numbers, a formula or a comparison."""
     c = Corpus(spark, sf_dir)
-    return evidence.gate(c.questions, c.scored_texts(), routes=c.routes())
+    more = F.lit("")
+    for i, text in ASKS.items():
+        more = F.when(F.col("query_id") % 7 == i, text).otherwise(more)
+    got = evidence.gate(c.questions.withColumn("text", F.concat("text", more)), c.scored_texts(), routes=c.routes())
+    lists = ("missing_slots", "conflict_reasons", "soft_missing_slots", "gate_reasons")
+    return got.drop("top_score", "avg_top5", "source_diversity").withColumns({n: F.array_join(n, ",") for n in lists})
 
 
 # Events

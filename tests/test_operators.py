@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evidenceframe.functions import boxes, text
-from evidenceframe.operators import chunking, evidence, fusion, lexical, linking, metrics
+from evidenceframe.operators import chunking, evidence, expansion, fusion, lexical, linking, metrics
 from evidenceframe.settings import Settings
 from evidenceframe.sources import files
 from evidenceframe.streaming import events
@@ -74,10 +74,12 @@ def test_threshold_removes_with_reason(spark):
 
 
 def test_expansion_inherits(spark):
-    seeds = spark.createDataFrame([(1, "s", 0.8, 1)], "query_id long, node_id string, score_composite double, rank int")
-    edges = spark.createDataFrame([("s", "related_table_node_ids", "t"), ("s", "prev_id", "p"), ("s", "page_window", "w")], "src_id string, relation string, dst_id string")
-    got = {r.node_id: r.inherited_score for r in linking.expand(seeds, edges).collect()}
-    assert got == {"t": 0.72, "p": 0.4}
+    seeds = spark.createDataFrame([(1, "s", 0.8, 1, "text", 1, 1)], "query_id long, node_id string, score double, rank int, modality string, doc_id long, page int")
+    edges = spark.createDataFrame([("s", "related_table_node_ids", 0, "t"), ("s", "prev_id", 0, "p"), ("s", "same_page_node_ids", 0, "w")], "src_id string, relation string, pos int, dst_id string")
+    nodes = spark.createDataFrame([("t", "table"), ("p", "text"), ("w", "text")], "node_id string, modality string")
+    nodes = nodes.selectExpr("node_id", "modality", "1L as doc_id", "1 as page", "false as whole_image", "cast(null as double) as composite")
+    got = {r.node_id: r.score for r in expansion.expand(seeds, edges, nodes).collect()}
+    assert got == {"s": 0.8, "t": 0.72, "p": 0.4}
 
 
 def test_ranking_metrics(spark):
@@ -106,11 +108,17 @@ def test_union_area_counts_cells(spark, raw):
 
 def test_keyword_coverage_and_gate(spark):
     assert one(spark, evidence.keyword_terms(F.lit("What is the BERT base 12 of BERT"))) == ["bert", "base"]
+    assert one(spark, evidence.keyword_terms(F.lit("请介绍模型 v1.2/base-x 45% 2021 this was"))) == ["模", "型", "v1.2/base-x", "this", "was"]
     assert one(spark, evidence.keyword_coverage(F.array(F.lit("bert"), F.lit("fine_tune")), F.lit("BERT fine-tune"))) == 1.0
     q = spark.createDataFrame([(1, "alpha beta"), (2, "gamma")], "query_id long, text string")
     hits = spark.createDataFrame([(1, "a", "s1", 0.9, 1, "alpha"), (1, "b", "s2", 0.8, 2, "beta")], "query_id long, node_id string, source string, score double, rank int, text string")
     got = {r.query_id: r.decision for r in evidence.gate(q, hits).collect()}
     assert got == {1: "pass", 2: "refuse"}
+    # Few keywords are a reason, not a retry; a missing slot is retried where refusal is not allowed.
+    q = spark.createDataFrame([(1, "delta epsilon"), (2, "gamma")], "query_id long, text string")
+    got = {r.query_id: r for r in evidence.gate(q, hits, allow_refusal=False).collect()}
+    assert (got[1].decision, got[1].gate_reasons) == ("pass", ["soft_missing_keyword", "low_keyword_coverage"])
+    assert (got[2].decision, got[2].gate_reasons) == ("retry", ["missing_hits", "soft_missing_keyword", "low_keyword_coverage"])
 
 
 def test_readers(spark, tmp_path):
