@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.text import mixed_tokens, normal_text
-from .operators import evaluation, evidence, grading, lexical, linking, markdown_tables, projections, rerank, routing, stages
+from .operators import evaluation, evidence, grading, lexical, linking, markdown_tables, projections, rerank, retry, routing, stages
 from .plans.retrieval import Corpus
 from .queries import ASKED, BASE, CHUNKS, MIXED, POSTINGS, _bm25, _brand_tables, query, table
 from .settings import DEFAULTS
@@ -421,6 +421,64 @@ def fin01_final_hits(spark, sf_dir):
     return grading.final_hits(hits).select("query_id", "node_id", "score_composite", "rank", "passed", "removed_rank")
 
 
+# Retry plans: each turn of a conversation as a question that failed for reasons of its number
+
+_FAILED = """turns AS (SELECT conv_id || ':' || turn AS query_id, conv_id * 7 + turn AS n FROM conversations WHERE text IS NOT NULL),
+r AS (SELECT query_id, n, n % 9 = 0 AS cross_doc, n % 10 <> 0 AS citation_ok, n % 11 / 10.0 AS best, n % 3 = 0 AS keyword, n % 7 = 0 AS hits, n % 4 = 0 AS numeric, n % 5 = 0 AS page, n % 6 = 0 AS tables, n % 8 = 0 AS conflict, n % 100 < 45 AS weak FROM turns),
+ops AS (SELECT query_id, unnest([CASE WHEN keyword THEN {'o': 1, 'channel': 'bm25', 'k': 18} END, CASE WHEN hits THEN {'o': 2, 'channel': 'bm25', 'k': 18} END, CASE WHEN hits THEN {'o': 3, 'channel': 'page', 'k': 8} END, CASE WHEN numeric THEN {'o': 4, 'channel': 'table', 'k': 8} END,
+  CASE WHEN numeric THEN {'o': 5, 'channel': 'bm25', 'k': 18} END, CASE WHEN page THEN {'o': 6, 'channel': 'page', 'k': 8} END, CASE WHEN tables THEN {'o': 7, 'channel': 'table', 'k': 8} END, CASE WHEN conflict OR cross_doc THEN {'o': 8, 'channel': 'relationship', 'k': 12} END,
+  CASE WHEN (weak OR hits OR NOT citation_ok) AND best >= 0.55 THEN {'o': 9, 'channel': 'relationship', 'k': 12} END]) AS op FROM r),
+had AS (SELECT query_id, unnest([{'o': -3, 'channel': 'vector', 'k': 12}, CASE WHEN n % 2 = 0 THEN {'o': -2, 'channel': 'bm25', 'k': CASE WHEN n % 12 = 0 THEN 30 ELSE 8 END} END, CASE WHEN n % 5 < 2 THEN {'o': -1, 'channel': 'table', 'k': 5} END]) AS op FROM r),
+grown AS (SELECT query_id, (hits OR weak OR NOT citation_ok) AS g FROM r)"""
+
+
+@query(f"""WITH {_FAILED},
+base AS (SELECT query_id, op.o AS o, op.channel AS channel, CASE WHEN g THEN greatest(op.k, least(32, greatest(op.k + 1, CAST(ceil(op.k * 1.5) AS INTEGER)))) ELSE op.k END AS k FROM had JOIN grown USING (query_id) WHERE op IS NOT NULL
+  UNION ALL SELECT query_id, op.o, op.channel, op.k FROM ops WHERE op IS NOT NULL),
+tasks AS (SELECT query_id, channel, min(o) AS o, max(k) AS top_k FROM base GROUP BY ALL),
+step AS (SELECT query_id, 1 + CASE WHEN page THEN 1 ELSE 0 END + CASE WHEN conflict OR cross_doc THEN 1 ELSE 0 END + CASE WHEN (weak OR hits OR NOT citation_ok) AND best >= 0.55 THEN 1 ELSE 0 END AS w FROM r)
+SELECT query_id, channel, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS place, CAST(top_k AS INTEGER) AS top_k, CASE WHEN w > 1 THEN CAST(least(3, w) AS INTEGER) END AS page_window FROM tasks JOIN step USING (query_id)""")
+def rte03_retry_plan(spark, sf_dir):
+    plans = retry.plan_retry(_failed(spark, sf_dir))
+    return plans.select("query_id", "page_window", F.posexplode("tasks").alias("place", "t")).select("query_id", "t.channel", "place", "t.top_k", "page_window")
+
+
+@query(f"""WITH {_FAILED},
+advice AS (SELECT query_id, n, ['page', 'bogus', 'bm25'][1:n % 4] AS add_, ['vector', 'image', 'odd'][1:n % 3 + 1] AS more, CASE WHEN n % 6 = 1 THEN 7 WHEN n % 6 = 2 THEN 0 END AS w, n % 13 = 0 AS wrong FROM r),
+base AS (SELECT query_id, op.o AS o, op.channel AS channel, op.k AS k FROM had WHERE op IS NOT NULL
+  UNION ALL SELECT query_id, i, add_[i], CASE WHEN add_[i] = 'page' THEN 8 ELSE 12 END FROM (SELECT query_id, add_, unnest(range(1, len(add_) + 1)) AS i FROM advice WHERE NOT wrong) WHERE add_[i] <> 'bogus'),
+tasks AS (SELECT query_id, channel, min(o) AS o, max(k) AS k FROM base GROUP BY ALL)
+SELECT query_id, channel, CAST(row_number() OVER (PARTITION BY query_id ORDER BY o) - 1 AS INTEGER) AS place, CAST(CASE WHEN NOT wrong AND list_contains(more, channel) THEN greatest(k + 1, k * 3 // 2) ELSE k END AS INTEGER) AS top_k,
+  CASE WHEN wrong THEN NULL WHEN w = 7 THEN 3 WHEN w = 0 THEN 1 END AS page_window, CASE WHEN wrong THEN 'invalid_filters:colour' ELSE array_to_string(list_transform(list_filter(add_, lambda c: c = 'bogus'), lambda c: 'invalid_channel:' || c) || list_transform(list_filter(more, lambda c: c = 'odd'), lambda c: 'invalid_top_k_channel:' || c), ',') END AS errors, NOT wrong AS used
+FROM tasks JOIN advice USING (query_id)""")
+def flt12b_retry_advice(spark, sf_dir):
+    """Plans of the same turns with an adviser's changes, some of them not allowed."""
+    n, strings = F.col("n"), lambda *names: F.array(*map(F.lit, names))
+    advised = _failed(spark, sf_dir).withColumns({
+        "query_text": F.col("question"), "a_query_text": F.lit("again"), "a_add": F.slice(strings("page", "bogus", "bm25"), F.lit(1), (n % 4).cast("int")), "a_increase": F.slice(strings("vector", "image", "odd"), F.lit(1), (n % 3 + 1).cast("int")),
+        "a_page_window": F.when(n % 6 == 1, 7).when(n % 6 == 2, 0), "a_filters": F.when(n % 13 == 0, F.create_map(F.lit("colour"), F.lit("red"))).otherwise(F.create_map(F.lit("source"), F.lit("src1"))), "page_window": F.lit(None).cast("int"),
+    })
+    got = retry.merged_advice(advised)
+    return got.select("query_id", "page_window", F.array_join("errors", ",").alias("errors"), "used", F.posexplode("tasks").alias("place", "t")).select("query_id", "t.channel", "place", "t.top_k", "page_window", "errors", "used")
+
+
+def _failed(spark, sf_dir):
+    n = F.col("n")
+    turns = table(spark, sf_dir, "conversations").where("text is not null").select(F.concat_ws(":", "conv_id", "turn").alias("query_id"), (F.col("conv_id") * 7 + F.col("turn")).alias("n"), F.col("text").alias("question"))
+    empty = F.expr(retry.NONE)
+    task = lambda channel, k: F.struct(F.lit(channel).alias("channel"), F.lit("q").alias("query_text"), (k if not isinstance(k, int) else F.lit(k)).alias("top_k"), empty.alias("filters"), empty.alias("metadata"))
+    had = F.array_compact(F.array(task("vector", 12), F.when(n % 2 == 0, task("bm25", F.when(n % 12 == 0, 30).otherwise(8))), F.when(n % 5 < 2, task("table", 5))))
+    slots = {"missing_keyword": n % 3 == 0, "hits": n % 7 == 0, "insufficient_hits": n % 7 == 0, "missing_numeric": n % 4 == 0, "page": n % 5 == 0, "missing_modality:table": n % 6 == 0}
+    missing = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in slots.items()]))
+    level, support = F.when(n % 8 == 0, "high").otherwise("none"), (n % 100) / 100
+    reasons = routing.retry_reasons([missing], level, n % 9 == 0, n % 10 != 0, support)
+    none = F.array().cast("array<string>")
+    return turns.select(
+        "query_id", "n", "question", had.alias("tasks"), F.lit(None).cast("int").alias("page_window"), empty.alias("filters"), missing.alias("missing_slots"), reasons.alias("reasons"), level.alias("conflict_level"),
+        none.alias("conflict_reasons"), (n % 9 == 0).alias("cross_doc"), (n % 10 != 0).alias("citation_ok"), (n % 11 / 10).alias("best_score"), F.lit(0).alias("retry_count"),
+    )
+
+
 # Answers
 
 

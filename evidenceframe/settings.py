@@ -55,6 +55,12 @@ class Settings:
     carry_top: int = 4
     carry_score: float = 0.35
     max_retries: int = 2
+    retry_factor: float = 1.5
+    retry_top_most: int = 32
+    retry_window_step: int = 1
+    retry_window_most: int = 3
+    expand_pages: int = 1
+    context_seed_score: float = 0.55
     budget_ms: int = 30_000
     budget_tokens: int = 12_000
     min_gain: float = 0.05
