@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .functions.text import mixed_tokens, normal_text
-from .operators import evaluation, evidence, grading, lexical, linking, markdown_tables, projections, rerank, retry, routing, stages
+from .operators import context, evaluation, evidence, grading, lexical, linking, markdown_tables, projections, rerank, retry, routing, stages
 from .plans.retrieval import Corpus
 from .queries import ASKED, BASE, CHUNKS, MIXED, POSTINGS, _bm25, _brand_tables, query, table
 from .settings import DEFAULTS
@@ -421,6 +421,50 @@ def fin01_final_hits(spark, sf_dir):
     return grading.final_hits(hits).select("query_id", "node_id", "score_composite", "rank", "passed", "removed_rank")
 
 
+# Context of tables and formulas among the hits
+
+_AROUND = """kinds AS (SELECT *, CASE chunk_index % 4 WHEN 2 THEN 'table' WHEN 3 THEN 'formula' ELSE 'text' END AS modality FROM nodes),
+near AS (SELECT a.node_id, max(CASE WHEN b.chunk_index < a.chunk_index THEN b.chunk_index END) AS before, min(CASE WHEN b.chunk_index > a.chunk_index THEN b.chunk_index END) AS after, any_value(a.doc_id) AS doc_id
+  FROM kinds a JOIN kinds b ON a.doc_id = b.doc_id AND b.modality = 'text' WHERE a.modality <> 'text' GROUP BY a.node_id),
+hits AS (SELECT query_id, node_id, rank, score_composite AS score, doc_id, modality, CASE WHEN rank % 7 <> 0 THEN ['irrelevant', 'strong', 'weak', 'relevant'][CAST(rank % 4 + 1 AS BIGINT)] END AS label FROM composite JOIN kinds USING (node_id))"""
+
+
+@query(f"""{BASE}, {_AROUND}
+SELECT query_id, h.node_id, k.node_id AS context_id, CAST(row_number() OVER (PARTITION BY query_id, h.node_id ORDER BY CASE k.chunk_index WHEN before THEN 0 WHEN after THEN 1 ELSE 2 END, k.chunk_index) AS INTEGER) AS place
+FROM hits h JOIN near n ON n.node_id = h.node_id JOIN nodes a ON a.node_id = h.node_id JOIN kinds k ON k.doc_id = h.doc_id AND k.modality = 'text' AND (k.chunk_index IN (before, after) OR k.page = a.page)""")
+def join06_context_hits(spark, sf_dir):
+    return _contexts(spark, sf_dir)[1]
+
+
+@query(f"""{BASE}, {_AROUND},
+f AS (SELECT query_id, h.node_id, h.rank, h.label, k.node_id AS context_id, EXISTS (SELECT 1 FROM hits x WHERE x.query_id = h.query_id AND x.node_id = k.node_id) AS there
+  FROM hits h JOIN near n USING (node_id) JOIN kinds k ON k.doc_id = h.doc_id AND k.chunk_index = coalesce(before, after) WHERE h.label IS NOT NULL),
+a AS (SELECT *, min(CASE WHEN NOT there AND label = 'strong' THEN rank END) OVER (PARTITION BY query_id, context_id) AS adder FROM f),
+c AS (SELECT *, CASE WHEN there OR adder < rank THEN 'present' WHEN adder = rank THEN 'added' ELSE 'missing' END AS context FROM a),
+gift AS (SELECT query_id, context_id AS node_id, sum(CASE label WHEN 'strong' THEN 0.06 WHEN 'relevant' THEN 0.02 ELSE 0 END) AS by_ FROM c WHERE context = 'present' GROUP BY ALL),
+own AS (SELECT query_id, node_id, context_id, context, CASE context WHEN 'present' THEN CASE label WHEN 'irrelevant' THEN -0.1 WHEN 'weak' THEN -0.03 WHEN 'relevant' THEN 0.03 ELSE 0.08 END WHEN 'added' THEN 0.08 ELSE 0 END AS by_ FROM c)
+SELECT query_id, node_id, CAST(h.rank AS INTEGER) AS rank, round(least(1, greatest(0, score + coalesce(o.by_, 0)) + coalesce(g.by_, 0)), 6) AS score_after, context_id, context, FALSE AS is_added FROM hits h LEFT JOIN own o USING (query_id, node_id) LEFT JOIN gift g USING (query_id, node_id)
+UNION ALL SELECT c.query_id, c.context_id, CAST((SELECT max(rank) FROM hits h WHERE h.query_id = c.query_id) + row_number() OVER (PARTITION BY c.query_id ORDER BY c.rank) AS INTEGER), round(least(1, 0.7 + coalesce(g.by_, 0)), 6), NULL, NULL, TRUE FROM c LEFT JOIN gift g ON g.query_id = c.query_id AND g.node_id = c.context_id WHERE context = 'added'""")
+def join07_related_context(spark, sf_dir):
+    hits, contexts = _contexts(spark, sf_dir)
+    return context.related_context(hits, contexts).withColumn("score_after", F.round("score_after", 6))
+
+
+def _contexts(spark, sf_dir):
+    """The best hits, every fourth chunk a table and the next a formula, with labels by rank; the documents' texts are the pool."""
+    c = Corpus(spark, sf_dir)
+    nodes = c.nodes.select("node_id", "doc_id", "page", "chunk_index", F.when(F.col("chunk_index") % 4 == 2, "table").when(F.col("chunk_index") % 4 == 3, "formula").otherwise("text").alias("modality"))
+    label = F.when(F.col("rank") % 7 != 0, F.get(F.array(*map(F.lit, ("irrelevant", "strong", "weak", "relevant"))), (F.col("rank") % 4).cast("int")))
+    hits = c.scored().select("query_id", "node_id", F.col("rank").cast("int").alias("rank"), F.col("score_composite").alias("score"), label.alias("label")).join(nodes, "node_id")
+    docs = hits.select("query_id", "doc_id").distinct()
+    near = nodes.join(lexical.small(docs.select("doc_id").distinct()), "doc_id", "left_semi")
+    around = linking.nearest_text(near)
+    single = around.select(F.col("node_id").alias("src_id"), F.explode(F.map_from_arrays(F.array(F.lit("context_prev_node_id"), F.lit("context_next_node_id")), F.array("context_prev_node_id", "context_next_node_id"))).alias("relation", "dst_id"))
+    pages = linking.same_page_edges(near).join(near.select(F.col("node_id").alias("dst_id"), F.col("chunk_index").alias("pos")), "dst_id")
+    edges = single.where("dst_id is not null").withColumn("pos", F.lit(0)).unionByName(pages.select("src_id", "relation", "dst_id", "pos"))
+    return hits, context.context_hits(hits, edges, near.join(docs, "doc_id").select("query_id", "node_id", "modality"))
+
+
 # Retry plans: each turn of a conversation as a question that failed for reasons of its number
 
 _FAILED = """turns AS (SELECT conv_id || ':' || turn AS query_id, conv_id * 7 + turn AS n FROM conversations WHERE text IS NOT NULL),
