@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import alignment, formulas, linking, segments, splitting, structure
+from .operators import alignment, formulas, linking, segments, splitting, structure, table_merge
 from .plans.retrieval import Corpus
 from .queries import CHUNKS, query, table
 from .settings import DEFAULTS
@@ -218,3 +218,39 @@ SELECT source, node_id AS text_id, block_id, CAST(score AS INTEGER) AS score FRO
 def ext11_alignment(spark, sf_dir):
     nodes = Corpus(spark, sf_dir).nodes
     return alignment.best_blocks(nodes.select("source", F.col("node_id").alias("text_id"), "text"), _line_blocks(spark, sf_dir))
+
+
+# Tables that a document has several times: lines of an order as its tables
+
+_TABLES = """n AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS i, l_returnflag AS f, l_linestatus AS s, l_quantity AS q, CAST(round(l_tax * 100) AS INTEGER) AS t FROM lineitem),
+x AS (SELECT *, f || '/' || s || CASE WHEN q < 3 THEN '/x' ELSE '' END AS cells, q > 5 AS tabular, CASE WHEN t % 3 > 0 THEN t % 3 END AS page, t % 2 = 0 AS laid, CASE WHEN q > 45 THEN 2 END AS n FROM n)"""
+
+
+def _order_tables(spark, sf_dir):
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    rows = table(spark, sf_dir, "lineitem").withColumns({"i": F.row_number().over(order), "t": F.round(F.col("l_tax") * 100).cast("int"), "q": F.col("l_quantity")})
+    line = F.concat(F.lit("| "), F.col("l_returnflag"), F.when(F.col("t") > 4, "  | ").otherwise(" |"), F.col("l_linestatus"), F.when(F.col("q") < 3, " | x |").otherwise(" |"))
+    text = F.concat(F.when(F.col("t") % 2 == 0, "|---|:-:|\n").otherwise(""), line)
+    return rows.select(
+        F.col("l_orderkey").cast("string").alias("source"), F.col("l_orderkey").alias("doc_id"), F.concat_ws(":", "l_orderkey", "i").alias("node_id"), F.col("i").alias("chunk_index"), F.when(F.col("q") > 5, "table").otherwise("text").alias("modality"),
+        text.alias("text"), F.when(F.col("t") % 3 > 0, F.col("t") % 3).alias("page"), F.lit(None).cast("string").alias("section"), F.when(F.col("t") % 2 == 0, "structured").alias("page_source"), F.lit(None).cast("string").alias("source_kind"),
+        F.lit(None).cast("string").alias("raw_type"), F.when(F.col("q") > 45, 2).alias("structured_duplicates"), F.col("q"), F.col("i").alias("ord"),
+    )
+
+
+@query(f"""WITH {_TABLES},
+g AS (SELECT doc_id, CASE WHEN tabular THEN cells ELSE '#' || i END AS key, list(i ORDER BY i) AS ids, arg_max(i, (page IS NOT NULL, laid, coalesce(n, 0), -i)) AS best, max(n) AS n FROM x GROUP BY ALL)
+SELECT doc_id, doc_id || ':' || best AS node_id, CAST(len(ids) AS INTEGER) AS duplicates, array_to_string(list_transform(list_filter(ids, lambda i: i <> best), lambda i: doc_id || ':' || i), ',') AS merged_ids, CAST(n AS INTEGER) AS structured_duplicates FROM g""")
+def ext08_table_nodes(spark, sf_dir):
+    got = table_merge.coalesced_nodes(_order_tables(spark, sf_dir))
+    in_order = F.array_join(F.transform(F.array_sort(F.transform("occurrences", lambda o: F.struct(o["chunk_index"].alias("i"), o["node_id"].alias("n")))), lambda o: o["n"]), ",")
+    return got.select("doc_id", "node_id", "duplicates", in_order.alias("merged_ids"), "structured_duplicates")
+
+
+@query()
+def ext07_table_blocks(spark, sf_dir):
+    """The same tables as blocks of two parsers with boxes; tests/test_table_merge.py compares with a walk."""
+    x = (F.col("q") % 4 * 100).cast("double")
+    box = F.when(F.col("q") % 3 > 0, F.array(x, x, x + 90, x + 40 + F.col("q") % 2))
+    blocks = _order_tables(spark, sf_dir).withColumns({"block_id": F.col("node_id"), "box": box, "source_kind": F.when(F.col("q") % 5 > 1, "layout").otherwise("model"), "raw_type": F.when(F.col("q") > 48, "chart").otherwise("table")})
+    return table_merge.coalesced_blocks(blocks.drop("structured_duplicates")).withColumn("merged_ids", F.array_join("merged_ids", ","))
