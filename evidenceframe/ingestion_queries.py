@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from .operators import alignment, formulas, linking, segments, splitting, structure, table_merge
+from .operators import alignment, formulas, image_units, linking, segments, splitting, structure, table_merge
 from .plans.retrieval import Corpus
 from .queries import CHUNKS, query, table
 from .settings import DEFAULTS
@@ -254,3 +254,15 @@ def ext07_table_blocks(spark, sf_dir):
     box = F.when(F.col("q") % 3 > 0, F.array(x, x, x + 90, x + 40 + F.col("q") % 2))
     blocks = _order_tables(spark, sf_dir).withColumns({"block_id": F.col("node_id"), "box": box, "source_kind": F.when(F.col("q") % 5 > 1, "layout").otherwise("model"), "raw_type": F.when(F.col("q") > 48, "chart").otherwise("table")})
     return table_merge.coalesced_blocks(blocks.drop("structured_duplicates")).withColumn("merged_ids", F.array_join("merged_ids", ","))
+
+
+@query()
+def ext12_image_units(spark, sf_dir):
+    """Lines of the documents as images, captions and descriptions; tests/test_image_units.py has cases by hand."""
+    i = F.expr("int(split(block_id, ':')[1])")
+    blocks = _line_blocks(spark, sf_dir).where("source_kind is null or source_kind <> 'model'").withColumn("i", i)
+    kind = F.when(F.col("i") % 6 == 2, "image").when(F.col("i") % 6 == 3, "image_caption").when(F.col("i") % 11 == 4, "image_caption").when(F.col("i") % 13 == 5, "image_semantic").otherwise(F.col("type"))
+    text = F.when(kind == "image_caption", F.concat(F.lit("Figure "), (F.col("i") % 5).cast("string"), F.lit(". "), F.col("text"))).otherwise(F.col("text"))
+    path = F.when(F.col("i") % 6 == 2, F.concat(F.lit("images/"), (F.col("i") % 4).cast("string"), F.lit(".png")))
+    lists = ("caption_ids", "semantic_ids", "image_ids")
+    return image_units.image_units(blocks.withColumns({"text": text, "type": kind, "image_path": path})).withColumns({c: F.array_join(c, ",") for c in lists})
