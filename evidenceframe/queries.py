@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import boxes
 from .functions.text import overlap_ratio, token_estimate, tokens
-from .operators import chunking, evidence, expansion, fusion, layout, lexical, linking, metrics, relevance, rerank, selection, splitting, variants, vectors
+from .operators import chunking, derived, evidence, expansion, fusion, layout, lexical, linking, metrics, relevance, rerank, selection, splitting, variants, vectors
 from .plans.retrieval import Corpus
 from .sources import history
 from .streaming import events
@@ -321,7 +321,7 @@ def ext17_adjacent_edges(spark, sf_dir):
     return linking.adjacent_edges(Corpus(spark, sf_dir).nodes)
 
 
-@query(f"WITH {CHUNKS} SELECT a.node_id AS src_id, 'same_page_node_ids' AS relation, b.node_id AS dst_id FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.node_id <> b.node_id")
+@query(f"WITH {CHUNKS} SELECT a.node_id AS src_id, 'same_page_node_ids' AS relation, b.node_id AS dst_id FROM nodes a JOIN nodes b ON a.doc_id = b.doc_id AND a.page = b.page AND a.node_id <> b.node_id QUALIFY row_number() OVER (PARTITION BY a.node_id ORDER BY b.chunk_index) <= 30")
 def ext17_same_page_edges(spark, sf_dir):
     return linking.same_page_edges(Corpus(spark, sf_dir).nodes)
 
@@ -457,6 +457,39 @@ def _side(spark, sf_dir, i: int, name: str):
     return table(spark, sf_dir, "embeddings").select(case, F.col("vec_id").alias(name), (F.col("vec_id") % 3).cast("int").alias("page"), box.alias("box"))
 
 
+_DERIVED = """b AS (SELECT vec_id, label, vec_id // 24 AS case_id, CAST(vec_id % 3 AS INTEGER) AS page, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT vec_id, label, case_id, page, [400 + 300 * e[1], 400 + 300 * e[2], 450 + 300 * e[1] + 200 * abs(e[3]), 450 + 300 * e[2] + 200 * abs(e[4])] AS x, [400 + 300 * e[5], 400 + 300 * e[6], 450 + 300 * e[5] + 200 * abs(e[7]), 450 + 300 * e[6] + 200 * abs(e[8])] AS y FROM b),
+p AS (SELECT r.case_id, r.vec_id AS spec, h.vec_id AS node_id, h.case_id = r.case_id AS own, greatest(0, least(h.x[3], r.y[3]) - greatest(h.x[1], r.y[1])) * greatest(0, least(h.x[4], r.y[4]) - greatest(h.x[2], r.y[2])) AS i, (h.x[3] - h.x[1]) * (h.x[4] - h.x[2]) + (r.y[3] - r.y[1]) * (r.y[4] - r.y[2]) AS a
+  FROM s r JOIN s h ON h.label = r.label AND h.page = r.page),
+m AS (SELECT case_id, node_id, spec, i / (a - i) AS iou FROM p WHERE i / (a - i) > 0.1)"""
+
+
+@query(f"WITH {_DERIVED} SELECT case_id, node_id, round(max(iou), 6) AS iou, arg_max(spec, (iou, -spec)) AS spec_idx FROM m GROUP BY ALL")
+def join14_derived_labels(spark, sf_dir):
+    """All vectors' first boxes as an index against the regions of their next four numbers, of the same label and page."""
+    got = derived.region_labels(_derived(spark, sf_dir)[2])
+    return got.select("case_id", "node_id", F.round("iou", 6).alias("iou"), "spec_idx")
+
+
+@query(f"""WITH {_DERIVED}, l AS (SELECT DISTINCT case_id, node_id FROM m), w AS (SELECT case_id, count(*) AS wanted FROM l GROUP BY 1),
+h AS (SELECT s.case_id, count(*) AS n, count(l.node_id) AS r, count(*) FILTER (WHERE s.vec_id % 2 = 0) AS precise FROM s LEFT JOIN l ON l.case_id = s.case_id AND l.node_id = s.vec_id GROUP BY 1),
+v AS (SELECT case_id, n, r, coalesce(wanted, 0) AS w, precise::DOUBLE / n AS p, r::DOUBLE / n AS q, r::DOUBLE / nullif(wanted, 0) AS rec FROM h LEFT JOIN w USING (case_id))
+SELECT case_id, CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END AS bbox_hit_rate, CASE WHEN w = 0 THEN 0 ELSE round(p, 6) END AS bbox_precision, coalesce(round(rec, 6), 0) AS bbox_recall, CASE WHEN w = 0 OR p + rec = 0 THEN 0 ELSE round(2 * p * rec / (p + rec), 6) END AS bbox_f1,
+  CASE WHEN w = 0 THEN 0 ELSE round(q, 6) END AS bbox_region_precision, coalesce(round(rec, 6), 0) AS bbox_region_recall, CASE WHEN w = 0 OR q + rec = 0 THEN 0 ELSE round(2 * q * rec / (q + rec), 6) END AS bbox_region_f1 FROM v""")
+def met08_derived_metrics(spark, sf_dir):
+    """The boxes of a case's own vectors as its hits, those of even number above the threshold."""
+    specs, index, matches = _derived(spark, sf_dir)
+    hits = index.select(F.floor(F.col("node_id") / 24).alias("case_id"), "node_id", "page", "box", (F.col("node_id") % 2 == 0).alias("precise"))
+    return derived.derived_metrics(hits, derived.region_labels(matches))
+
+
+def _derived(spark, sf_dir):
+    labels = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("string").alias("source"))
+    side = lambda i, name: _side(spark, sf_dir, i, "vec_id").join(labels, "vec_id").withColumnRenamed("vec_id", name)
+    specs, index = side(4, "spec_idx"), side(0, "node_id").drop("case_id")
+    return specs, index, derived.matched_boxes(specs, index)
+
+
 @query()
 def met07_region_areas(spark, sf_dir):
     """All MET-07 metrics, of the same boxes. Both tables are whole."""

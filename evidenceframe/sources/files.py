@@ -45,10 +45,14 @@ def read_tables(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases from JSON lines; lines that start with # and blank lines are left out."""
+    """Evaluation cases from JSON lines; lines that start with # and blank lines are left out.
+
+    Reading the question of a case that has none stops the run.
+    """
     lines = spark.read.text(path).where((F.trim("value") != "") & ~F.ltrim("value").startswith("#"))
     cases = lines.select(F.from_json("value", CASES, {"mode": "FAILFAST"}).alias("c")).select("c.*")
-    return cases.where(F.col("question").isNotNull())
+    stop = F.raise_error(F.concat(F.lit("a case without a question: "), F.coalesce("id", F.lit("no id"))))
+    return cases.withColumn("question", F.when(F.trim("question") != "", F.col("question")).otherwise(stop.cast("string")))
 
 
 def upsert(existing: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:

@@ -129,7 +129,10 @@ def test_readers(spark, tmp_path):
     got = files.read_markdown(spark, str(tmp_path)).orderBy("title").collect()
     assert [(r.title, r.tags, r.content) for r in got] == [("One", ["x", "y"], "Body"), ("b", [], "plain")]
     assert files.read_tables(spark, str(tmp_path)).first().markdown == "| a | b |\n| --- | --- |\n| 1 |  |"
-    assert files.read_cases(spark, str(tmp_path / "cases.jsonl")).count() == 1
+    assert files.read_cases(spark, str(tmp_path / "cases.jsonl")).first().question == "q"
+    (tmp_path / "bad.jsonl").write_text('{"id": "1", "question": "q"}\n{"id": "2"}\n')
+    with pytest.raises(Exception, match="without a question: 2"):
+        files.read_cases(spark, str(tmp_path / "bad.jsonl")).collect()
 
 
 def test_streams_match_tables(spark, tmp_path):
