@@ -31,8 +31,11 @@ ANCHOR_WORDS = [
 ]
 NOT_NAMES = ["At", "In", "On", "The", "This", "That", "Which", "What", "Where", "When", "According", "Figure", "Fig"]
 NOT_LOOSE = ["which", "what", "where", "according", "value", "larger"]
+# Tokens, names, names with an index and what they become, and the fields of a hit that may share an anchor.
 TOKEN = r"[A-Za-z][A-Za-z0-9_.-]*|[0-9]+(?:\.[0-9]+)?"
 NAME = r"\b[A-Z][A-Za-z0-9]+(?:-[A-Z][A-Za-z0-9]+)*\b|\b[A-Z]{2,}\b"
+INDEXED, SPELT_INDEX = r"([A-Za-z]+)_\{?([A-Za-z0-9]+)\}?", "$1_$2 $1 $2"
+ANCHOR_FIELDS = ("text", "table_markdown", "formula_latex", "caption", "ocr_text", "object_description", "title", "section")
 
 _SPELT = str.maketrans({c: f" {name} " for c, name in SYMBOLS.items()} | dict.fromkeys("≈~", " approximately "))
 
@@ -55,7 +58,7 @@ def one_spaced(text: Column) -> Column:
 
 def plain_symbols(text: Column) -> Column:
     """Symbols spelt out, marks removed, and a name with an index also as its two words."""
-    return one_spaced(F.regexp_replace(_plain(text), r"([A-Za-z]+)_\{?([A-Za-z0-9]+)\}?", "$1_$2 $1 $2"))
+    return one_spaced(F.regexp_replace(_plain(text), INDEXED, SPELT_INDEX))
 
 
 def query_tokens(text: Column) -> Column:
@@ -112,11 +115,12 @@ def anchors(text: Column, strong: bool = True) -> Column:
     return distinct_in_order(F.transform(F.concat(kept, names), F.lower))
 
 
-def with_shared_anchor(hits: DataFrame, anchors: str = "anchors", text: str = "text") -> DataFrame:
-    """Add shares_anchor: whether a hit's text, in its plain form, holds one of the question's anchors.
+def with_shared_anchor(hits: DataFrame, anchors: str = "anchors", fields: tuple[str, ...] = ANCHOR_FIELDS) -> DataFrame:
+    """Add shares_anchor: whether one of the fields that a hit has, in its plain form, holds one of the question's anchors.
 
     For hits, which are few; the plain form of a text is made in Python.
     """
-    plain = hits.withColumn("__plain", F.lower(plain_symbols(F.col(text))))
+    there = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in fields if c in hits.columns]
+    plain = hits.withColumn("__plain", F.lower(plain_symbols(F.concat_ws(" ", *there))))
     found = F.exists(anchors, lambda a: F.col("__plain").contains(a))
     return plain.withColumn("shares_anchor", F.coalesce(found, F.lit(False))).drop("__plain")

@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from evidenceframe.functions import boxes, text
-from evidenceframe.operators import chunking, evidence, expansion, fusion, lexical, linking, metrics
+from evidenceframe.operators import chunking, evidence, expansion, fusion, lexical, metrics, variants
 from evidenceframe.settings import Settings
 from evidenceframe.sources import files
 from evidenceframe.streaming import events
@@ -143,3 +143,12 @@ def test_streams_match_tables(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {tuple(r) for r in spark.table("counts").collect()} == {tuple(r) for r in events.windowed_counts(rows).collect()}
+
+
+def test_anchors_in_any_field(spark):
+    fields = ("text", "table_markdown", "formula_latex", "caption", "ocr_text", "object_description", "title", "section")
+    rows = [(i, ["sigma_1"], *["Sigma_{1} of it" if i == j else None for j in range(8)]) for i in range(9)]
+    kind = "i int, anchors array<string>, " + ", ".join(f"{f} string" for f in fields)
+    hits = spark.createDataFrame(rows, kind)
+    assert {r.i: r.shares_anchor for r in variants.with_shared_anchor(hits).collect()} == {i: i < 8 for i in range(9)}
+    assert {r.i for r in variants.with_shared_anchor(hits.select("i", "anchors", "text")).where("shares_anchor").collect()} == {0}
