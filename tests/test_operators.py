@@ -1,3 +1,5 @@
+import math
+import random
 import uuid
 
 import pytest
@@ -49,6 +51,26 @@ def test_bm25_finds_the_terms_and_counts_repeats(spark):
     assert got[1].node_id == "1" and got[2].score == pytest.approx(2 * got[1].score, abs=2e-6)
 
 
+def test_search_sends_the_best_of_each_task_and_not_each_pair(spark):
+    """200 nodes share a word with each of 5 questions: at most k a task and question leave it, and they are the right ones."""
+    rnd = random.Random(3)
+    texts = {f"n{i:03}": " ".join(["the", *rnd.choices(["a", "b", "c", "d"], k=rnd.randint(0, 4))]) for i in range(200)}
+    asked = {i: "the a " + " ".join(rnd.choices("bcde", k=3)) for i in range(5)}
+    index = lexical.build(spark.createDataFrame(list(texts.items()), "node_id string, text string").repartition(2))
+    questions = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    terms = questions.select("query_id", F.explode(text.tokens(F.col("text"))).alias("term"), F.lit(1.0).alias("weight"))
+    assert lexical.best_nodes(index.counted, terms, 6, lambda tf, dl: tf).count() <= 2 * 5 * 6
+    mean = sum(len(t.split()) for t in texts.values()) / 200
+    df = {w: sum(w in t.split() for t in texts.values()) for w in "the a b c d".split()}
+
+    def score(q: str, t: list[str]) -> float:
+        norm = lambda tf: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean))
+        return round(sum(math.log(1 + (200 - df[w] + 0.5) / (df[w] + 0.5)) * norm(t.count(w)) for w in q.split() if w in df), 6)
+
+    want = {(q, n, r) for q, words in asked.items() for r, n in enumerate(sorted(texts, key=lambda n: (-score(words, texts[n].split()), n))[:6], 1)}
+    assert {(r.query_id, r.node_id, r["rank"]) for r in lexical.search(index, questions, 6).collect()} == want
+
+
 def test_tokens_lower_after_cutting(spark):
     assert one(spark, text.tokens(F.lit("Ab-c_1 数据 É"))) == ["ab", "c_1", "数", "据"]
 
