@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from .chunking import html_table_markdown
 
-# An HTML table, and lines that hold a pipe, one after another.
+# An HTML table, and lines that hold a pipe, one after another. A greedy group that repeats takes Java's
+# stack line by line, and overflows on long tables; a possessive one does not, and as nothing after it can fail it finds the same.
 HTML = r"(?is)<table\b.*?</table>"
-PIPES = r"[^\n|]*\|[^\n]*(?:\n[^\n|]*\|[^\n]*)*\n?"
+PIPES = r"(?<![^\n])[^\n|]*+\|[^\n]*+(?:\n[^\n|]*+\|[^\n]*+)*+\n?"
 
 
 def spans(text: Column, pattern: str) -> Column:

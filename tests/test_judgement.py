@@ -102,3 +102,11 @@ def test_edges_of_texts_and_labels(spark):
         one.select(projections.sized(F.array(F.lit(1.0)), 3)).collect()
     assert one.select(linking.relation_weight(F.lit("odd")), linking.relation_priority(F.lit("odd"))).first()[:] == (0.6, 10)
     assert one.select(routing.rewritten(F.lit(" ? "), F.array().cast("array<string>"))).first()[0] == " ? "
+
+
+def test_a_long_table_does_not_overflow_the_stack(spark):
+    """30 000 lines with pipes, and a line without any of 30 000 characters before them."""
+    rows = "\n".join(["| a | b |", "| --- | --- |", *[f"| {i} | x |" for i in range(30_000)]])
+    text = "x" * 30_000 + "\n" + rows
+    got = spark.range(1).select(F.lit(text).alias("t")).select(F.explode(markdown_tables.table_blocks(F.col("t"))).alias("b")).select("b.start", "b.end", "b.markdown").collect()
+    assert [tuple(r) for r in got] == [(30_001, len(text), rows)]
