@@ -1,5 +1,6 @@
 import math
 import random
+import time
 import uuid
 
 import pytest
@@ -34,6 +35,14 @@ def test_table_chunks_repeat_the_header(spark):
     assert one(spark, chunking.table_chunks(F.lit(""))) == []
 
 
+def test_chunks_of_a_long_table_cut_its_lines_once(spark):
+    """40 000 rows, which took minutes while each group cut the whole table again."""
+    began = time.time()
+    table = F.concat(F.lit("| a |\n| --- |\n"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(40_000)), lambda i: F.concat(F.lit("| "), i.cast("string"), F.lit(" |"))), "\n"))
+    got = spark.range(1).select(table.alias("t")).select(F.explode(chunking.table_chunks(F.col("t"))).alias("c")).agg(F.count("*"), F.sum(F.size(F.split("c", "\n")) - 2)).first()
+    assert tuple(got) == (5_000, 40_000) and time.time() - began < 60
+
+
 def test_html_table(spark):
     html = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td></tr><tr><td> </td></tr></table>"
     assert one(spark, chunking.html_table_markdown(F.lit(html))).split("\n") == ["| a | b |", "| --- | --- |", "| 1 |  |"]
