@@ -48,13 +48,18 @@ def bare(text: Column) -> Column:
 
 def occurrences(patterns: DataFrame, texts: DataFrame) -> DataFrame:
     """(source, pattern, text) of distinct patterns that occur in distinct texts of their source."""
-    grams = texts.select("source", "text", F.explode(minimizers(F.col("text"))).alias("key"))
+    # Minimizers go with a hash of their text; only what a key finds gets the text itself, and texts of one hash are all compared.
+    named = texts.withColumn("id", F.xxhash64("text"))
+    grams = named.select("source", "id", F.explode(minimizers(F.col("text"))).alias("key"))
     counts = grams.groupBy("source", "key").agg(F.count("*").alias("n"))
     long, short = patterns.where(F.length("pattern") >= WINDOW), patterns.where(F.length("pattern") < WINDOW)
-    keys = long.select("source", "pattern", F.explode(minimizers(F.col("pattern"))).alias("key")).join(counts, ["source", "key"], "left")
+    known = long.withColumn("pattern_id", F.xxhash64("pattern"))
+    keys = known.select("source", "pattern_id", F.explode(minimizers(F.col("pattern"))).alias("key")).join(counts, ["source", "key"], "left")
     # A pattern with a minimizer that no text has occurs nowhere.
-    rarest = keys.groupBy("source", "pattern").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).where("k.n > 0").select("source", "pattern", "k.key")
-    found = rarest.join(grams, ["source", "key"]).where(F.col("text").contains(F.col("pattern"))).select("source", "pattern", "text")
+    rarest = keys.groupBy("source", "pattern_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")).alias("k")).where("k.n > 0").select("source", "pattern_id", "k.key")
+    near = rarest.join(grams, ["source", "key"]).select("source", "pattern_id", "id")
+    near = near.join(known, ["source", "pattern_id"]).join(named, ["source", "id"])
+    found = near.where(F.col("text").contains(F.col("pattern"))).select("source", "pattern", "text")
     # Short patterns of a document go to its texts as one list; most documents have few.
     lists = short.groupBy("source").agg(F.collect_set("pattern").alias("patterns"))
     near = texts.join(lists, "source").select("source", F.explode(F.filter("patterns", lambda p: F.col("text").contains(p))).alias("pattern"), "text")

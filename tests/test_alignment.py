@@ -64,3 +64,16 @@ def test_minimizers_of_a_part_are_those_of_the_whole(spark):
     rows = spark.createDataFrame([(0, whole)] + [(i, whole[a : a + 16 + i]) for i, a in enumerate(range(0, 480, 9), 1)] + [(99, "short"), (100, None)], "i int, t string")
     got = {r.i: set(r.m) for r in rows.select("i", alignment.minimizers(F.col("t")).alias("m")).collect()}
     assert all(m and m <= got[0] for i, m in got.items() if 0 < i < 54) and not got[99] and not got[100] and len(got[0]) < 200
+
+
+def test_minimizers_carry_no_text(spark):
+    """Texts of a thousand characters have some hundreds of minimizers each; no row of those may hold the text."""
+    rnd = random.Random(5)
+    rows = [("s", "".join(rnd.choices("abcdefgh", k=1000))) for _ in range(40)]
+    texts = spark.createDataFrame(rows, "source string, text string")
+    patterns = spark.createDataFrame([(s, t[100:160]) for s, t in rows], "source string, pattern string")
+    found = alignment.occurrences(patterns, texts)
+    assert {tuple(r) for r in found.collect()} == {("s", t[100:160], t) for _, t in rows}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    grams = [line for line in plan.split("\n") if "Generate explode" in line]
+    assert grams and not any("text#" in line.split("Generate", 1)[1].split("[key#")[0] and "pattern" not in line for line in grams if "text#" in line), grams
