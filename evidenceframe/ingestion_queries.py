@@ -201,9 +201,8 @@ def _line_blocks(spark, sf_dir):
 def chk08d_repaired_chunks(spark, sf_dir):
     """Chunks of the documents from a splitter of sentences, moved to whole sentences; tested against plain searches."""
     small = replace(DEFAULTS, split_tokens=120)
-    docs = table(spark, sf_dir, "documents")
-    chunks = segments.chunked_segments(F.col("text"), splitting.sentence_parts(F.coalesce("text", F.lit("")), small))
-    return docs.withColumn("chunks", chunks).select("doc_id", F.posexplode_outer("chunks").alias("chunk", "text")).where("text is not null")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", splitting.sentence_parts(F.coalesce("text", F.lit("")), small).alias("chunks"))
+    return segments.chunked_rows(docs).select("doc_id", F.posexplode_outer("chunks").alias("chunk", "text")).where("text is not null")
 
 
 # Alignment of chunks to blocks
