@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clip01
 from ..settings import DEFAULTS, Settings
+from .lexical import small
 
 KEY = ["query_id", "node_id"]
 
@@ -34,8 +35,10 @@ def image_context(hits: DataFrame, nodes: DataFrame, s: Settings = DEFAULTS) ->
     a page are found once, whatever the number of questions.
     """
     w = Window.partitionBy("doc_id", "page").orderBy("chunk_index", "node_id")
-    texts = nodes.where("modality = 'text'").withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= s.image_context_top)
-    images = hits.join(nodes.where("modality = 'image'").select("node_id", "doc_id", "page"), "node_id").select("query_id", "score", "rank", "doc_id", "page")
+    images = small(hits).join(nodes.where("modality = 'image'").select("node_id", "doc_id", "page"), "node_id").select("query_id", "score", "rank", "doc_id", "page")
+    # of few hits' pages only; no other text is ranked
+    here = nodes.where("modality = 'text'").select("node_id", "doc_id", "page", "chunk_index").join(small(images.select("doc_id", "page").distinct()), ["doc_id", "page"], "left_semi")
+    texts = here.withColumn("__k", F.row_number().over(w)).where(F.col("__k") <= s.image_context_top)
     near = images.join(texts.select("node_id", "doc_id", "page", "__k"), ["doc_id", "page"])
     added = near.groupBy(*KEY).agg(F.min_by(F.struct("score", "rank", "__k"), F.struct("rank", "__k")).alias("h")).join(hits.select(*KEY), KEY, "left_anti")
     added = added.select(*KEY, clip01(F.col("h.score") * s.image_context_weight).alias("score"), F.col("h.rank").alias("a"), F.col("h.__k").alias("b"), F.lit("image_context").alias("channel"))
