@@ -7,9 +7,12 @@ the order in which they were merged, a fold over each group's ids.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,16 @@ def table_rows(text: Column) -> Column:
     return F.filter(rows, lambda r: ~F.forall(r, lambda c: c.rlike("^[-: ]+$")))
 
 
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once a row, also where the expression repeats it: as a lambda variable."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def block_fingerprint(text: Column) -> Column:
     """A table's cells without blanks, row by row; of any other text all but its blanks."""
     bare = lambda x: F.regexp_replace(x, r"(?U)\s+", "")
-    rows = table_rows(F.coalesce(text, F.lit("")))
-    joined = F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, bare), "|")), "\n")
-    return F.when(F.size(rows) > 0, joined).otherwise(bare(F.coalesce(text, F.lit(""))))
+    joined = lambda rows: F.array_join(F.transform(rows, lambda r: F.array_join(F.transform(r, bare), "|")), "\n")
+    return _once(table_rows(F.coalesce(text, F.lit(""))), lambda rows: F.when(F.size(rows) > 0, joined(rows)).otherwise(bare(F.coalesce(text, F.lit("")))))
 
 
 def _ordered(box) -> tuple[float, ...]:
@@ -84,9 +91,8 @@ def coalesced_blocks(blocks: DataFrame, keep_charts: bool = True) -> DataFrame:
     raw = F.col("raw_type") if "raw_type" in blocks.columns else F.lit(None).cast("string")
     before = F.coalesce("structured_duplicate_count", F.lit(1)) if "structured_duplicate_count" in blocks.columns else F.lit(1)
     chart = F.lower(F.coalesce(raw, F.lit(""))).contains("chart") | F.lower(F.coalesce("source_kind", F.lit(""))).contains("chart")
-    mark = block_fingerprint(F.col("text"))
     # Blocks without text are each a group; the others meet by a digest of their fingerprint.
-    group = F.when(mark == "", F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.sha2(mark, 256))
+    group = _once(block_fingerprint(F.col("text")), lambda mark: F.when(mark == "", F.concat(F.lit("#"), F.col("ord").cast("string"))).otherwise(F.sha2(mark, 256)))
     slim = blocks.select(
         "source", F.col("ord").cast("long").alias("ord"), F.col("block_id").cast("string").alias("block_id"), group.alias("mark"), F.col("page").cast("int").alias("page"), F.col("box").cast("array<double>").alias("box"), "source_kind", raw.alias("raw_type"),
         chart.alias("chart"), before.cast("long").alias("n"), source_priority(F.col("source_kind")).alias("priority"), F.length(F.coalesce("text", F.lit(""))).alias("length"),
@@ -110,21 +116,45 @@ def coalesced_blocks(blocks: DataFrame, keep_charts: bool = True) -> DataFrame:
     kinds = {"source": pa.string(), "block_id": pa.string(), "duplicates": pa.int64(), "merged_ids": pa.list_(pa.string()), "first_ord": pa.int64()}
 
     def scanned(batches):
-        """The groups of a task one after another, in order; only one group's clusters are held."""
-        rows = (row for batch in batches for row in batch.to_pylist())
-        out = []
-        for (source, _), group in groupby(rows, key=lambda row: (row["source"], row["mark"])):
+        """The groups of a task one after another, in order; only one group's clusters are held. Blocks alone in their group are not walked."""
+        alone, out = [], []
+
+        def rows():
+            for batch in batches:
+                single = _singles(batch)
+                own = batch.filter(pa.array(single))
+                ids = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1), pa.int32()), own.column("block_id"))
+                alone.append(pa.RecordBatch.from_arrays([*map(own.column, ("source", "block_id", "n")), ids, own.column("ord")], names=list(kinds)))
+                yield from batch.filter(pa.array(~single)).to_pylist()
+
+        for (source, _), group in groupby(rows(), key=lambda row: (row["source"], row["mark"])):
             out += [(source, c.ids[0], c.n, c.ids, c.first) for c in clusters(group)]
+            while alone:
+                yield alone.pop()
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
                 out = []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds.values(), strict=True)], names=list(kinds))
+        yield from alone
 
     dealt = slim.repartition("source", "mark").sortWithinPartitions("source", "mark", "ord")
     return dealt.mapInArrow(scanned, "source string, block_id string, duplicates long, merged_ids array<string>, first_ord long")
 
 
+def _singles(batch: pa.RecordBatch) -> np.ndarray:
+    """Rows whose group no neighbour shares; the first and last of a batch may go on in another one."""
+    new = np.ones(batch.num_rows + 1, bool)
+    for at, c in enumerate(("source", "mark")):
+        column = batch.column(c)
+        same = pc.equal(column[1:], column[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+        both_null = pc.and_(column[1:].is_null(), column[:-1].is_null()).to_numpy(zero_copy_only=False)
+        new[1:-1] = ~(same | both_null) if not at else new[1:-1] | ~(same | both_null)
+    single = new[1:] & new[:-1]
+    single[:1] = single[-1:] = False
+    return single
+
+
 def content_key(text: Column) -> Column:
     """The rows of a table, from markdown or HTML, as one value; null without any."""
     bare = strip(F.coalesce(text, F.lit("")))

@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evidenceframe.operators import table_merge as t
@@ -96,3 +97,12 @@ def test_html_tables_are_their_markdown(spark):
     texts = ["<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>", "| a | b |\n|---|---|\n| 1 | 2 |", "no table", "| --- | --- |", None]
     got = [r.k for r in spark.createDataFrame([(x,) for x in texts], "x string").select(t.content_key(F.col("x")).alias("k")).collect()]
     assert got[0] == got[1] == '[["a","b"],["1","2"]]' and got[2:] == [None] * 3
+
+
+def test_blocks_alone_in_their_group_are_not_walked(spark):
+    """Of a batch only its ends and the groups of several blocks are."""
+    blocks = [("s", i, f"b{i}", f"| {i} |" if i < 297 else "| x |", None, None, "layout", "table") for i in range(300)]
+    got = t.coalesced_blocks(spark.createDataFrame(blocks, BLOCKS).coalesce(1)).collect()
+    assert sum(len(r.merged_ids) for r in got) == 300 and {r.block_id for r in got if r.first_ord < 297} == {f"b{i}" for i in range(297)}
+    single = t._singles(pa.RecordBatch.from_pydict({"source": ["a", "a", "a", None, None, "b", "b", "c"], "mark": ["1", "2", "2", "2", "3", "3", "4", "4"]}))
+    assert single.tolist() == [False, False, False, True, True, True, True, False]
