@@ -11,8 +11,15 @@ A document's set holds the hashes of its distinct word shingles. Two documents l
 3. Classes that share a token meet one leader for each token. A class is compared with the likeliest
    of its leaders; links found join components, and then only leaders in other components are left.
    Classes close to a leader form a group with it, in parts of about ``GROUP``.
-4. Token-group matrix: each group stores its token union as one column of bits, a bit for each hash
-   bucket of tokens. Groups that share a token meet. A class has at most as many tokens in the
+4. The classes close to one leader, if they are more than ``GROUP``, are its ball. A class linked with
+   the leader cannot link with one that is not close to it (Jaccard distance keeps the triangle
+   inequality). Within the ball, let c be a class in its middle and E(x) the tokens that only one of
+   x and c has: x and y differ in as many tokens as E(x) and E(y). If u is not linked with c, a link of
+   u and v needs more than half of E(v) in E(u), but for what v is longer than c: so each v shows a
+   part of E(v), rare tokens first, in which u seeks all of E(u). Near misses, which differ from c
+   each in its own way, thus meet nobody.
+5. Token-group matrix: each group stores its token union as one column of bits, a bit for each hash
+   bucket of tokens. Groups that share a token meet, but for what the balls have decided. A class has at most as many tokens in the
    other group as its own bits that the column also has; if that is too few, the group stays closed
    for it. The members of an opened group that are not yet in the class's component are bounded one
    by one in the same way. Of those, the likeliest of each two components are compared exactly
@@ -123,16 +130,36 @@ def may_hold(n: int, x: bytes, column: bytes, percent: int) -> bool:
     return 100 * (n - lacking) >= percent * n
 
 
-def head(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
-    """The tokens of which two linked sets share one: frequent ones last, others by hash."""
-    n = len(tokens)
-    size = n - -(-percent * n // 100) + 1
+def shown(f: int, m: int, k: int, percent: int) -> int:
+    """How many of the ``f`` tokens in which v (of ``m`` tokens) and a class c (of ``k``) differ v shows.
+
+    A class that links with v but not with c shares more than half of
+    ``f - (100 - percent) / (100 + percent) * (m - k)`` of them: one among any so many, at least.
+    """
+    shared = (f * (100 + percent) - (100 - percent) * (m - k)) // (2 * (100 + percent)) + 1
+    return max(0, f - shared + 1)
+
+
+def core(percent: int) -> int:
+    """Percent of likeness with a leader from which on a class links with none that is not close to the leader."""
+    return max(percent, 100 - percent + min(CLOSE, percent))
+
+
+def rare_first(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The tokens in the order that puts frequent ones last, others as they come."""
     if len(hot):
         at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
         is_hot = hot[at] == tokens
         if is_hot.any():
             tokens = np.concatenate([tokens[~is_hot], tokens[is_hot][np.argsort(rank[at[is_hot]], kind="stable")]])
-    return tokens[:size]
+    return tokens
+
+
+def head(tokens: np.ndarray, hot: np.ndarray, rank: np.ndarray, percent: int) -> np.ndarray:
+    """The tokens of which two linked sets share one: frequent ones last, others by hash."""
+    n = len(tokens)
+    size = n - -(-percent * n // 100) + 1
+    return rare_first(tokens, hot, rank)[:size]
 
 
 def size_class(n: int, percent: int) -> int:
@@ -264,7 +291,7 @@ def _heads(width: int, percent: int, hot: np.ndarray, rank: np.ndarray, salts: n
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """Rows (token, cid, lead, many) for the tokens of a bucket that two classes or more hold.
+    """Rows (token, cid, lead, many, wide) for the tokens of a bucket that two classes or more hold.
 
     A token that only two hold is one row: the other one is its leader. Of a token that is dealt in
     parts, each part has a leader of its own and all its rows stay; parts meet in the matrix.
@@ -287,7 +314,7 @@ def _shared(table: pa.Table) -> pa.Table:
     place = np.uint64(table.column("bucket")[0].as_py() * int(_M) % 2**64) + np.repeat(k[start], length).astype(np.uint64) * _P
     token = _signed((t ^ (t >> np.uint64(17))) * _P + np.where(wide, np.uint64(1), place))
     keep = (many > 2) | (many == 2) & (o != lead)
-    return pa.table({"token": token[keep], "cid": o[keep], "lead": lead[keep], "many": many[keep].astype(np.int64)})
+    return pa.table({"token": token[keep], "cid": o[keep], "lead": lead[keep], "many": many[keep].astype(np.int64), "wide": wide[keep]})
 
 
 def _led(percent: int):
@@ -303,6 +330,58 @@ def _led(percent: int):
     return run
 
 
+def _placed(percent: int, hot: np.ndarray, rank: np.ndarray):
+    """For each class of a ball (of ``c``): whether it is of the core, and how far it seems from the ball's middle.
+
+    Taken as the middle: the tokens that half of the ball holds, by the known counts of frequent
+    tokens. This only picks a class to measure the others from; any gives the same links.
+    """
+    least = core(percent)
+
+    def common(tokens, c):
+        if not len(hot):
+            return np.zeros(len(tokens), bool)
+        at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
+        return (hot[at] == tokens) & (2 * rank[at] >= c)
+
+    def run(batches):
+        for batch in pieces(batches, 64):
+            a, b, many, ta, tb = (column_of(batch, c) for c in ("a", "b", "c", "ta", "tb"))
+            inner, off = [], []
+            for c, x, y in zip(many, ta, tb, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                added, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                inner.append(100 * (len(y) - len(added)) >= least * (len(x) + len(added)))
+                off.append(int((~common(added, c)).sum() + common(gone, c).sum()))
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(inner, pa.bool_()), pa.array(off, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "core", "off"])
+
+    return run
+
+
+def _apart(percent: int, hot: np.ndarray, rank: np.ndarray):
+    """For each class of a ball: whether it links with the middle, and the tokens in which the two differ.
+
+    The first ``part`` of the tokens are shown; those after them are there for a class that seeks.
+    """
+
+    def run(batches):
+        for batch in pieces(batches, 64):
+            a, b, ta, tb = (column_of(batch, c) for c in ("a", "b", "ta", "tb"))
+            linked, parts, tokens = [], [], []
+            for x, y in zip(ta, tb, strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                added, gone = np.setdiff1d(y, x, assume_unique=True), np.setdiff1d(x, y, assume_unique=True)
+                linked.append(100 * (len(y) - len(added)) >= percent * (len(x) + len(added)))
+                parts.append(shown(len(added) + len(gone), len(y), len(x), percent))
+                known = rare_first(np.concatenate([added, gone]), hot, rank)
+                tokens.append(_signed(known[: parts[-1]] if linked[-1] else known))
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_()), pa.array(parts, pa.int32()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "linked", "part", "tokens"])
+
+    return run
+
+
 def _grouped(table: pa.Table) -> pa.Table:
     """A group: its members, and its column of the matrix, the union of their bits (null if alone)."""
     members = sorted(zip(*(table.column(c).to_pylist() for c in ("cid", "root", "n", "bits")), strict=True))
@@ -414,13 +493,14 @@ def _components(docs: DataFrame, percent: int, width: int, wide: int, id_bits: i
     by_hash = np.argsort(hot)
     hot, rank = hot[by_hash], hints.column("c").to_numpy().astype(np.int64)[by_hash]
     del hints
+    ordered = (hot, rank)
     total = rows.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, partitions(spark), -(-int(total * (100 - percent) / 100 * (TOKEN_BYTES + 9)) // BUCKET_BYTES))
     shared = (
         docs.where("text is not null")
         .mapInArrow(released(_heads(width, percent, hot, rank, -(-rank // wide), buckets, ids_of)), "bucket long, tokens binary, owners binary, sizes binary")
         .groupBy("bucket")
-        .applyInArrow(_shared, "token long, cid long, lead long, many long")
+        .applyInArrow(_shared, "token long, cid long, lead long, many long, wide boolean")
     )
     shared = written(shared, "shared")
     one = classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), F.col("bits").alias("xa"))
@@ -443,19 +523,51 @@ def _components(docs: DataFrame, percent: int, width: int, wide: int, id_bits: i
         )
         return written(both.mapInArrow(released(_compared(percent)), "a long, b long"), "links")
 
+    def ra_of(labels: DataFrame) -> DataFrame:
+        return labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+
+    def rb_of(labels: DataFrame) -> DataFrame:
+        return labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+
     # One leader for each shared token. Of its leaders a class is first compared with the likeliest.
     met = written(shared.where("cid <> lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct(), "met")
     led = written(met.join(one, "a").join(other, "b").mapInArrow(released(_led(percent)), "a long, b long, may boolean, like double"), "led")
     may = led.where("may")
     best = written(may.groupBy("b").agg(F.max_by("a", F.struct("like", -F.col("a"))).alias("a")).select("a", "b"), "best")
-    whole = sets_for(may)
+    big = led.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > GROUP)
+    ball = written(led.join(big, "a", "left_semi").select("a", "b"), "ball")
+    whole = sets_for(may.select("a", "b").union(ball))
     nodes = met.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     labels = relabelled(written(nodes.select("node", F.col("node").alias("root")), "labels"), links(best, whole))
     # Then with those that are still in another component.
-    ra, rb = labels.select(F.col("node").alias("a"), F.col("root").alias("ra")), labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = may.select("a", "b").join(ra, "a").join(rb, "b").where("ra <> rb").select("a", "b").join(best, ["a", "b"], "left_anti")
+    apart = may.select("a", "b").join(ra_of(labels), "a").join(rb_of(labels), "b").where("ra <> rb").select("a", "b").join(best, ["a", "b"], "left_anti")
     labels = relabelled(labels, links(apart, whole))
 
+    # Balls. Where some are not in their leader's component, all are measured from a class in the middle.
+    sets_a, sets_b = (whole.select(F.col("cid").alias(c), F.col("tokens").alias(f"t{c}")) for c in "ab")
+    balls = ball.join(big, "a").join(sets_a, "a").join(sets_b, "b").select("a", "b", "c", "ta", "tb")
+    balls = written(balls.mapInArrow(released(_placed(percent, *ordered)), "a long, b long, core boolean, off long"), "balls")
+    asked = balls.join(ra_of(labels), "a").join(rb_of(labels), "b").where("ra <> rb").select("a").distinct()
+    middle = balls.join(asked, "a", "left_semi").groupBy("a").agg(F.min_by("b", F.struct("off", "b")).alias("mid"))
+    members = balls.select("a", "b").union(middle.select("a", F.col("a").alias("b"))).join(middle, "a").where("b <> mid")
+    members = written(members.select(F.col("mid").alias("a"), "b").distinct(), "members")
+    members = members.join(sets_a, "a").join(sets_b, "b").mapInArrow(released(_apart(percent, *ordered)), "a long, b long, linked boolean, part int, tokens array<long>")
+    members = written(members, "members")
+    labels = relabelled(labels, members.where("linked").select("a", "b"))
+    # Classes in the middle's component show, the others seek too.
+    ends = members.join(ra_of(labels), "a").join(rb_of(labels), "b").withColumn("seek", F.expr("ra <> rb"))
+    ends = ends.join(ends.where("seek").select("a").distinct(), "a", "left_semi")
+    ends = ends.select("a", "b", "rb", "seek", "part", F.posexplode(F.when(F.col("seek"), F.col("tokens")).otherwise(F.slice("tokens", F.lit(1), F.col("part")))).alias("at", "token"))
+    ends = written(ends.select("a", "b", "rb", "token", "seek", (F.col("at") < F.col("part")).alias("shows")), "ends")
+    # Of the holders of a token, those in the component that has most of them do not meet one another.
+    most = ends.groupBy("a", "token", "rb").agg(F.count("*").alias("c")).groupBy("a", "token").agg(F.max_by("rb", F.struct("c", "rb")).alias("major"), F.sum("c").alias("c"))
+    ends = ends.join(most.where("c > 1").drop("c"), ["a", "token"])
+    met_by = [F.explode(F.when(F.col("rb") != F.col("major"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(k)))).alias("by") for k in (0, 1)]
+    seeks = ends.where("seek").select("a", "token", F.col("b").alias("u"), F.col("rb").alias("ru"), met_by[0])
+    shows = ends.where("shows").select("a", "token", F.col("b").alias("v"), F.col("rb").alias("rv"), met_by[1])
+    near = seeks.join(shows, ["a", "token", "by"]).where("ru <> rv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+    near = written(near.join(one, "a").join(other, "b").mapInArrow(released(_led(percent)), "a long, b long, may boolean, like double").where("may"), "near")
+
     # Groups of similar classes. A class close to no leader is a group of its own.
     kin = led.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("kin"))
     groups = labels.join(kin, "node", "left").select(F.col("node").alias("cid"), "root", F.coalesce("kin", "node").alias("kin"))
@@ -469,12 +581,20 @@ def _components(docs: DataFrame, percent: int, width: int, wide: int, id_bits: i
 
     # Groups that share a token and are not one component meet. Of a token's groups those that lie
     # in the component which has most of them do not meet one another.
-    held = shared.where("many > 2").select("token", "cid").join(groups, "cid").groupBy("token", "grp").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-    held = written(held, "held")
-    most = held.where("r0 = r1").groupBy("token", "r0").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("r0", F.struct("c", "r0")).alias("major"))
-    held = written(held.join(most, "token", "left").withColumn("odd", F.expr("major is null or r0 <> major or r1 <> major")).drop("major"), "held")
-    odd = held.where("odd").select("token", F.col("grp").alias("grp2"), F.col("r0").alias("s0"), F.col("r1").alias("s1"))
-    meet = held.join(odd, "token").where("(not odd or grp <= grp2) and not (r0 = r1 and s0 = s1 and r0 = s0)")
+    # Of one ball neither its core nor two other members meet: what links there is known.
+    state = balls.select(F.col("a").alias("lead"), F.col("b").alias("cid"), F.when(F.col("core"), 2).otherwise(1).alias("state"))
+    leaders = balls.select("a").distinct().select(F.col("a").alias("lead"), F.col("a").alias("cid"), F.lit(2).alias("state"))
+    held = shared.where("many > 2").select("token", "cid", "lead", "wide").join(state.union(leaders), ["lead", "cid"], "left")
+    held = held.withColumn("state", F.coalesce("state", F.lit(0))).where("wide or state < 2").join(groups, "cid")
+    # In the parts of a wide token members of different balls meet.
+    held = held.groupBy("token", "grp", "state", F.expr("if(wide, lead, 0)").alias("part"), "wide").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+    held = written(held.withColumn("free", F.expr("wide or state = 0")), "held")
+    most = held.where("free and r0 = r1").groupBy("token", "r0").agg(F.count("*").alias("c")).groupBy("token").agg(F.max_by("r0", F.struct("c", "r0")).alias("major"))
+    held = written(held.join(most, "token", "left").withColumn("odd", F.expr("not free or major is null or r0 <> major or r1 <> major")).drop("major"), "held")
+    names = {"grp": "grp2", "state": "state2", "part": "part2", "free": "free2", "r0": "s0", "r1": "s1"}
+    odd = held.where("odd").select("token", *(F.col(k).alias(v) for k, v in names.items()))
+    known = "part = part2 and (state = 2 or state2 = 2 or state = 1 and state2 = 1)"
+    meet = held.where("free").join(odd, "token").where(f"(not odd or not free2 or grp <= grp2) and not (r0 = r1 and s0 = s1 and r0 = s0) and not ({known})")
     meet = meet.select(F.least("grp", "grp2").alias("grp"), F.greatest("grp", "grp2").alias("grp2")).distinct()
 
     def matrix_of(groups: DataFrame) -> DataFrame:
@@ -491,16 +611,24 @@ def _components(docs: DataFrame, percent: int, width: int, wide: int, id_bits: i
         found = meet.join(asked, "grp2").join(matrix.drop("column"), "grp")
         return written(found.mapInArrow(released(_opened(percent, likeliest)), "a long, b long, grp long, grp2 long, more boolean"), "opened")
 
+    def still(pairs: DataFrame) -> DataFrame:
+        """Pairs of different components, with their roots."""
+        return pairs.join(ra_of(labels), "a").join(rb_of(labels), "b").where("ra <> rb")
+
+    # Of what the balls found, too, the likeliest of each two components first.
+    near_first = still(near).groupBy(F.least("ra", "rb").alias("ra"), F.greatest("ra", "rb").alias("rb")).agg(F.max_by(F.struct("a", "b"), F.struct("like", "a", "b")).alias("p")).select("p.a", "p.b")
     likely = opened(matrix_of(groups), meet, True)
-    tried = may.select("a", "b").union(likely.select("a", "b"))
-    pairs = written(likely.select("a", "b").distinct().join(may, ["a", "b"], "left_anti"), "pairs")
+    pairs = written(likely.select("a", "b").union(near_first).distinct().join(may, ["a", "b"], "left_anti"), "pairs")
+    tried = may.select("a", "b").union(pairs)
     labels = relabelled(labels, links(pairs, sets_for(pairs)))
+    late = written(still(near).select("a", "b").join(tried, ["a", "b"], "left_anti"), "late")
     rest = written(likely.where("more").select("grp", "grp2").distinct(), "rest")
     if rest.limit(1).count():
         some_groups = rest.select(F.explode(F.array("grp", "grp2")).alias("grp")).distinct()
         again = groups.drop("root").join(some_groups, "grp", "left_semi").join(labels.withColumnRenamed("node", "cid"), "cid").select("cid", "root", "grp")
-        late = opened(matrix_of(again), rest, False).select("a", "b").distinct()
-        pairs = written(late.join(tried, ["a", "b"], "left_anti"), "pairs")
+        late = late.union(opened(matrix_of(again), rest, False).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")).distinct()
+    if late.limit(1).count():
+        pairs = written(late, "pairs")
         labels = relabelled(labels, links(pairs, sets_for(pairs)))
 
     merged = classes.select("cid", "rep").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))

@@ -74,6 +74,31 @@ def test_links_of_a_large_group_grow_with_its_size(spark):
         common.connected_components = whole
 
 
+def test_near_misses_of_a_large_group_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Classes that share most of a text, each but one with edits of its own: those too far apart to link meet nobody."""
+    rnd, n, base = random.Random(3), 240, [f"w{i}" for i in range(130)]
+    texts = []
+    for i in range(n):
+        mine = list(base)
+        for at in rnd.sample(range(130), 4 if i % 2 else 1):
+            mine[at] = f"own{i}x{at}"
+        texts.append(" ".join(mine))
+    texts[7] = " ".join(base)
+    want, compared, whole = roots(texts), [], jaccard_join.written
+
+    def counted(df, name):
+        out = whole(df, name)
+        if name in ("opened", "near", "pairs"):
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    got = jaccard_join.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == set(enumerate(want))
+    assert len(set(want)) > n // 4
+    assert sum(compared) <= 4 * n, compared
+
+
 def test_components(spark):
     rnd = random.Random(9)
     chain = [(i, i + 1) for i in range(0, 40)] + [(100 - i, 99 - i) for i in range(30)] + [(7, 7)]
