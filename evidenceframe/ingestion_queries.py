@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -180,12 +183,23 @@ def _markdown(spark, sf_dir):
     return docs.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.col("text").alias("markdown"))
 
 
+def _numbered(batches):
+    """Lines of texts with their number from 1 and the characters before them; a text's lines are in one row, so nothing is shuffled for them."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):
+            batch = whole.slice(at, 200)
+            parts = pc.split_pattern(batch.column("text"), "\n")
+            owner, line = pc.list_parent_indices(parts), pc.list_flatten(parts)
+            first = (parts.offsets.to_numpy() - parts.offsets[0].as_py())[:-1][owner.to_numpy()]
+            n = pc.utf8_length(line).to_numpy().astype(np.int64) + 1
+            before = np.cumsum(n) - n
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(owner), pa.array((np.arange(len(n)) - first + 1).astype(np.int32)), line, pa.array(before - before[first])], names=["doc_id", "i", "line", "off"])
+
+
 def _line_blocks(spark, sf_dir):
     """The lines as blocks, and a second parser's tables between them."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("i", F.col("at") + 1)
-    before = Window.partitionBy("doc_id").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("off", F.coalesce(F.sum(F.length("line") + 1).over(before), F.lit(0)))
+    lines = docs.select("doc_id", "text").mapInArrow(_numbered, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, i int, line string, off long")
     y0 = (F.col("off") % 1500) / 1.5
     i, box = F.col("i"), lambda a, b: F.array(F.lit(100.0), a.cast("double"), F.lit(900.0), b.cast("double"))
     common = [F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("source"), F.expr("cast(off div 1500 + 1 as int)").alias("page")]

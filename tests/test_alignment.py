@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from evidenceframe import ingestion_queries
 from evidenceframe.operators import alignment
 from evidenceframe.operators.layout import SOURCE_PRIORITY
 
@@ -77,3 +78,32 @@ def test_minimizers_carry_no_text(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     grams = [line for line in plan.split("\n") if "Generate explode" in line]
     assert grams and not any("text#" in line.split("Generate", 1)[1].split("[key#")[0] and "pattern" not in line for line in grams if "text#" in line), grams
+
+
+@pytest.mark.parametrize("most", [0, 30_000])
+def test_large_documents_are_looked_up_by_keys(spark, monkeypatch, most):
+    """All documents, or one of two, beyond what is walked: the same rows."""
+    rnd = random.Random(7)
+    words = lambda n: " ".join(rnd.choice(["alpha", "beta", "γδ", "x", "longer-word", "1999"]) for _ in range(n))
+    blocks = [(s, at, f"{s}{at}", words(rnd.choice([1, 5, 12, 40])), 1, None, rnd.choice([None, [1.0]]), rnd.choice(["layout", "model", None])) for s, n in (("s", 3), ("t", 60)) for at in range(n)]
+    texts = [(b[0], i, rnd.choice([b[3], b[3][5:], b[3] + " end", b[3][:70] + " else"])) for i, b in enumerate(blocks)]
+    monkeypatch.setattr(alignment, "WALKED", most)
+    large = alignment._crowded(spark.createDataFrame(texts, "source string, text_id int, text string"), spark.createDataFrame(blocks, BLOCKS))
+    assert sorted(r.source for r in large) == (["s", "t"] if most == 0 else ["t"])
+    want = plain(texts, blocks)
+    assert aligned(spark, texts, blocks) == want and len(want) > 40
+
+
+def test_texts_and_blocks_are_shuffled_once(spark):
+    blocks = spark.createDataFrame([("s", 0, "b", "some words", 1, None, None, "layout")], BLOCKS)
+    plan = alignment.best_blocks(spark.createDataFrame([("s", 1, "some")], "source string, text_id int, text string"), blocks)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_lines_are_numbered_in_their_row(spark, tmp_path):
+    texts = ["", "a\n\né𝛼汉\n", None, "one", "\n", "x" * 3000 + "\nlast"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    blocks = ingestion_queries._line_blocks(spark, str(tmp_path)).where("type <> 'table' or source_kind is null or source_kind <> 'model'")
+    want = {(f"{d}:{i}", line, sum(len(x) + 1 for x in t.split("\n")[: i - 1]) // 1500 + 1) for d, t in enumerate(texts) if t is not None for i, line in enumerate(t.split("\n"), 1)}
+    assert {(r.block_id, r.text, r.page) for r in blocks.collect()} == want
+    assert "Exchange" not in blocks._jdf.queryExecution().executedPlan().toString()
