@@ -53,10 +53,14 @@ def source_priority(kind: Column) -> Column:
     return F.coalesce(F.try_element_at(known, F.coalesce(kind, F.lit("unknown"))), F.lit(SOURCE_PRIORITY["unknown"]))
 
 
+def has_text() -> Column:
+    """Whether a block is a text, heading or formula with a page and text."""
+    return F.col("type").isin("text", "heading", "formula") & F.col("page").isNotNull() & F.coalesce("text", F.lit("")).rlike(r"\S")
+
+
 def usable_text(blocks: DataFrame) -> DataFrame:
     """Blocks of text, headings and formulas that have a page and text, with their kind of source as ``__kind``."""
-    usable = blocks.where(F.col("type").isin("text", "heading", "formula") & F.col("page").isNotNull() & (strip(F.coalesce("text", F.lit(""))) != ""))
-    return usable.withColumn("__kind", F.coalesce("source_kind", F.lit("unknown")))
+    return blocks.where(has_text()).withColumn("__kind", F.coalesce("source_kind", F.lit("unknown")))
 
 
 def best_kinds(usable: DataFrame) -> DataFrame:
